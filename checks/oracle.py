@@ -25,7 +25,7 @@ def strip(x: str) -> str:
 
 def iso(x: str) -> str:
     return (
-        f"CASE WHEN microseconds({x}) % 1000000 = 0 "
+        f"CASE WHEN epoch_us({x}) % 1000000 = 0 "
         f"THEN strftime({x}, '%Y-%m-%dT%H:%M:%S') "
         f"ELSE strftime({x}, '%Y-%m-%dT%H:%M:%S.%f') END"
     )
