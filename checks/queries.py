@@ -34,7 +34,7 @@ from reviewgate.plans import reports
 from reviewgate.plans.moderation import decide, prepare_input, scored_reviews
 from reviewgate.plans.summaries import stored_summaries
 from reviewgate.schemas import REVIEW
-from reviewgate.session import scratch_path
+from reviewgate.session import scratch_path, tune
 from reviewgate.sources import reviews as review_source
 from reviewgate.sources import tables
 from reviewgate.streaming import moderation as stream_moderation_jobs
@@ -50,8 +50,7 @@ NOW = "2024-06-01 00:00:00"
 
 def query(run: Query) -> Query:
     def pinned(spark: SparkSession, sf: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return run(spark, sf)
+        return run(tune(spark), sf)
 
     QUERIES[run.__name__] = pinned
     return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reviewgate.constants import FENCED_OBJECT, OUTER_BRACES
+from reviewgate.constants import BLANKS, FENCED_OBJECT, OUTER_BRACES
 from reviewgate.functions.text import strip
 
 # How a JSON value's type reads in a Python error text.
@@ -25,7 +25,7 @@ def without_fence(response: Column) -> Column:
 
     def dropped(opening: str) -> Column:
         body = F.replace(text, F.lit(opening + "\n"), F.lit(""))
-        return strip(F.replace(body, F.lit("\n```"), F.lit("")))
+        return F.btrim(F.replace(body, F.lit("\n```"), F.lit("")), F.lit(BLANKS))
 
     return (
         F.when(F.startswith(text, F.lit("```json")), dropped("```json"))

@@ -16,8 +16,26 @@ from reviewgate.constants import BLANKS
 
 
 def strip(col: Column) -> Column:
-    """Remove blanks of any kind from both ends, without a regex."""
-    return F.btrim(col, F.lit(BLANKS))
+    """Remove blanks of any kind from both ends, without a regex.
+
+    ``btrim`` with a character set indexes every character of the text first, so
+    a text that has no blank at either end is passed through untouched.
+    """
+    blanks = F.lit(BLANKS)
+    clean = ~blanks.contains(F.left(col, F.lit(1))) & ~blanks.contains(
+        F.right(col, F.lit(1))
+    )
+    return F.when(clean, col).otherwise(F.btrim(col, blanks))
+
+
+def shorter_than(col: Column, n: int, probe: int = 64) -> Column:
+    """Whether the stripped text has fewer than ``n`` characters.
+
+    The stripped head of a text is part of the stripped text, so a head with
+    enough characters settles it; only other texts are stripped whole.
+    """
+    head = F.btrim(F.left(col, F.lit(probe)), F.lit(BLANKS))
+    return F.coalesce((F.length(head) < n) & (F.length(strip(col)) < n), F.lit(True))
 
 
 def fixed(col: Column, digits: int) -> Column:
@@ -32,9 +50,9 @@ def rounded(col: Column, digits: int) -> Column:
 def isoformat(ts: Column) -> Column:
     """ISO 8601 text; the fraction appears only when there is one."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(
-        F.date_format(ts, "SSSSSS") == "000000", whole
-    ).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return F.when(F.unix_micros(ts) % 1_000_000 == 0, whole).otherwise(
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    )
 
 
 def parse_iso(col: Column) -> Column:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from reviewgate import constants as K
 from reviewgate.functions import responses as R
-from reviewgate.functions.collections import fill_keys, listed, same_text
+from reviewgate.functions.collections import fill_keys, listed, no_strings, same_text
 from reviewgate.functions.numbers import clamp, in_score_range
-from reviewgate.functions.text import fixed, strip
+from reviewgate.functions.text import fixed, shorter_than
 
 c = F.col
 SCORES = [f"{aspect}_score" for aspect in K.ASPECTS]
@@ -38,11 +38,16 @@ def audit_response(
     failed = c(call_error) if call_error else F.lit(None).cast("string")
     rows = df.withColumns(
         {
-            "_short": F.length(strip(F.coalesce(c("content"), F.lit("")))) < 5,
+            "_short": shorter_than(c("content"), 5),
             "_call_error": failed,
             "_doc": R.strict_json(c(response)),
         }
     ).withColumns({f"_{s}": R.member(c("_doc"), s) for s in SCORES})
+    # Taken out once here: inside a CASE branch they would be evaluated per use.
+    rows = rows.withColumns(
+        {f"_{s}_value": R.as_double(c(f"_{s}")) for s in SCORES}
+        | {f"_{s}_kind": R.json_type(c(f"_{s}")) for s in SCORES}
+    )
 
     absent = F.coalesce(*[F.when(c(f"_{s}").isNull(), F.lit(f"'{s}'")) for s in SCORES])
     root = R.json_type(c("_doc"))
@@ -57,8 +62,8 @@ def audit_response(
     )
 
     def score(name: str) -> Column:
-        value = R.as_double(c(f"_{name}"))
-        numeric = R.is_number(R.json_type(c(f"_{name}")))
+        value = c(f"_{name}_value")
+        numeric = R.is_number(c(f"_{name}_kind"))
         return (
             F.when(c("_system").isNotNull() | c("_short"), 10.0)
             .when(c("_call_error").isNotNull(), 8.0)
@@ -98,7 +103,12 @@ def audit_response(
         F.lit(None).cast("map<string,double>").alias("confidence_scores"),
     )
     return rows.withColumn("analysis", analysis).drop(
-        "_short", "_call_error", "_doc", "_system", "_text", *[f"_{s}" for s in SCORES]
+        "_short",
+        "_call_error",
+        "_doc",
+        "_system",
+        "_text",
+        *[f"_{s}{part}" for s in SCORES for part in ("", "_value", "_kind")],
     )
 
 
@@ -114,23 +124,17 @@ def parse_tolerant(df: DataFrame, response: str = "raw_response") -> DataFrame:
     )
 
 
-def _float_error(doc: Column, key: str) -> Column:
-    """Text of the conversion error when a present member is no number."""
-    value = R.member(doc, key)
-    kind = R.json_type(value)
-    text = R.as_text(value)
+def _float_error(kind: Column, text: Column) -> Column:
+    """Text of the conversion error of a member that is no number."""
     return F.when(
-        value.isNotNull() & R.as_double(value).isNull(),
-        F.when(
-            kind == "STRING",
-            F.concat(F.lit("could not convert string to float: '"), text, F.lit("'")),
-        ).otherwise(
-            F.concat(
-                F.lit("float() argument must be a string or a real number, not '"),
-                R.python_type(kind),
-                F.lit("'"),
-            )
-        ),
+        kind == "STRING",
+        F.concat(F.lit("could not convert string to float: '"), text, F.lit("'")),
+    ).otherwise(
+        F.concat(
+            F.lit("float() argument must be a string or a real number, not '"),
+            R.python_type(kind),
+            F.lit("'"),
+        )
     )
 
 
@@ -141,46 +145,66 @@ LIST_FIELDS = {
 }
 
 
-def _aspect(aspect: str, response: Column, call_error: Column, limit: float):
-    """(error text or NULL, result struct) of one aspect's response."""
-    doc = c(f"_{aspect}_doc")
+def _with_aspect(rows: DataFrame, aspect: str, call_error: Column, limit: float) -> DataFrame:
+    """Add the aspect's result struct and ``_{aspect}_error`` (NULL when read).
+
+    Members are taken out of the document once, in a projection of their own,
+    so that no later expression repeats the path lookup; types are only asked
+    for on the rare rows where a conversion failed.
+    """
     key = f"{aspect}_score"
-    conversion = F.coalesce(_float_error(doc, key), _float_error(doc, "confidence"))
-    root = R.json_type(doc)
-    not_object = F.when(
-        doc.isNotNull() & ~root.startswith("OBJECT"),
+    rows = rows.withColumn("_doc", R.tolerant_json(c(f"{aspect}_response")))
+    rows = rows.withColumns(
+        {
+            "_score": R.member(c("_doc"), key),
+            "_sure": R.member(c("_doc"), "confidence"),
+            "_why": R.member(c("_doc"), "explanation"),
+        }
+    )
+    rows = rows.withColumns(
+        {"_score_value": R.as_double(c("_score")), "_sure_value": R.as_double(c("_sure"))}
+    )
+    bare = c("_doc").isNotNull() & F.coalesce("_score", "_sure", "_why").isNull()
+    rows = rows.withColumns(
+        {
+            "_root": F.when(bare, R.json_type(c("_doc"))),
+            "_bad": F.when(c("_score").isNotNull() & c("_score_value").isNull(), c("_score"))
+            .when(c("_sure").isNotNull() & c("_sure_value").isNull(), c("_sure")),
+        }
+    )
+    rows = rows.withColumns(
+        {
+            "_bad_kind": F.when(c("_bad").isNotNull(), R.json_type(c("_bad"))),
+            "_clamped": clamp(c("_score_value")),
+        }
+    )
+    no_object = c("_root").isNotNull() & ~c("_root").startswith("OBJECT")
+    unexpected = F.when(
+        no_object,
         F.concat(
             F.lit("'"),
-            R.python_type(root),
+            R.python_type(c("_root")),
             F.lit("' object does not support item assignment"),
         ),
-    )
+    ).when(c("_bad_kind").isNotNull(), _float_error(c("_bad_kind"), R.as_text(c("_bad"))))
     error = F.when(
         call_error.isNotNull(),
         F.concat(F.lit(f"Failed to analyze {aspect}: "), call_error),
-    ).when(
-        F.coalesce(not_object, conversion).isNotNull(),
-        F.concat(
-            F.lit(f"Unexpected error in {aspect} analysis: "),
-            F.coalesce(not_object, conversion),
-        ),
-    )
-    score = clamp(R.as_double(R.member(doc, key)))
+    ).otherwise(F.concat(F.lit(f"Unexpected error in {aspect} analysis: "), unexpected))
     result = F.struct(
-        score.alias(key),
-        F.coalesce(R.as_text(R.member(doc, "explanation")), F.lit(K.NO_EXPLANATION)).alias(
-            "explanation"
-        ),
-        F.coalesce(R.as_double(R.member(doc, "confidence")), F.lit(0.5)).alias("confidence"),
+        c("_clamped").alias(key),
+        F.coalesce(R.as_text(c("_why")), F.lit(K.NO_EXPLANATION)).alias("explanation"),
+        F.coalesce("_sure_value", F.lit(0.5)).alias("confidence"),
         *[
-            F.coalesce(
-                R.as_strings(R.member(doc, name)), F.array().cast("array<string>")
-            ).alias(name)
+            F.coalesce(R.as_strings(R.member(c("_doc"), name)), no_strings()).alias(name)
             for name in LIST_FIELDS[aspect]
         ],
-        (score > F.lit(limit)).alias("threshold_exceeded"),
+        (c("_clamped") > F.lit(limit)).alias("threshold_exceeded"),
+    )
+    return rows.withColumns({aspect: result, f"_{aspect}_error": error}).drop(
+        "_doc", "_score", "_sure", "_why", "_score_value", "_sure_value",
+        "_root", "_bad", "_bad_kind", "_clamped",
     )
-    return error, result
 
 
 def comprehensive_analysis(
@@ -196,15 +220,13 @@ def comprehensive_analysis(
     """
     limits = thresholds or K.ANALYZER_THRESHOLDS
     call_errors = call_errors or {}
-    rows = df.withColumns(
-        {f"_{a}_doc": R.tolerant_json(c(f"{a}_response")) for a in K.ASPECTS}
-    )
-    errors, results = [], {}
+    rows = df
     for a in K.ASPECTS:
         failed = c(call_errors[a]) if a in call_errors else F.lit(None).cast("string")
-        error, results[a] = _aspect(a, c(f"{a}_response"), failed, limits[a])
-        errors.append(error)
-    rows = rows.withColumns({**results, "analysis_error": F.coalesce(*errors)})
+        rows = _with_aspect(rows, a, failed, limits[a])
+    rows = rows.withColumn(
+        "analysis_error", F.coalesce(*[f"_{a}_error" for a in K.ASPECTS])
+    )
     combined = F.struct(
         *[c(a)[f"{a}_score"].alias(f"{a}_score") for a in K.ASPECTS],
         F.create_map(
@@ -216,7 +238,7 @@ def comprehensive_analysis(
     )
     return rows.withColumn(
         "analysis", F.when(c("analysis_error").isNull(), combined)
-    ).drop(*[f"_{a}_doc" for a in K.ASPECTS])
+    ).drop(*[f"_{a}_error" for a in K.ASPECTS])
 
 
 def batch_analysis(df: DataFrame, **options) -> DataFrame:

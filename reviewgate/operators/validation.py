@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reviewgate.constants import CATEGORIES, EVENT_TYPES, MODES, REGIONS
 from reviewgate.functions.collections import listed
 from reviewgate.functions.numbers import in_score_range
-from reviewgate.functions.text import strip
+from reviewgate.functions.text import shorter_than, strip
 
 c = F.col
 
@@ -45,7 +45,7 @@ def validate_api(df: DataFrame) -> DataFrame:
 
 def validate_model(df: DataFrame) -> DataFrame:
     """The stored review's rules; content is checked as given, then stripped."""
-    blank = F.length(strip(c("content"))) == 0
+    blank = shorter_than(c("content"), 1)
     checked = df.withColumn(
         "errors",
         listed(
@@ -158,7 +158,7 @@ def normalise_input(df: DataFrame) -> DataFrame:
     for name in ("review_id", "content", "product_id", "user_id"):
         error = error.when(c(name).isNull(), F.lit(f"Missing required field: {name}"))
     error = (
-        error.when(F.length(strip(c("content"))) == 0, "Review content cannot be empty")
+        error.when(shorter_than(c("content"), 1), "Review content cannot be empty")
         .when(
             F.length("content") > 5000,
             "Review content exceeds maximum length of 5000 characters",

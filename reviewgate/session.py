@@ -20,9 +20,19 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot never compiles a method of over 8000 bytes. Response reading makes
+    # longer ones; below this limit Spark splits them instead of fusing the stage.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the defaults to a session somebody else made."""
+    for key, value in DEFAULTS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", app: str = "reviewgate") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = (
