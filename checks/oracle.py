@@ -816,6 +816,38 @@ sql(
   3.0::DOUBLE AS bias_threshold, {_ERRORS} AS errors FROM whole""",
     _ASPECTS,
 )
+_LENGTHS = {
+    "lengths": "SELECT review_id, "
+    + ", ".join(
+        f"length({filled(text, content='content')}) AS {a}_n"
+        for a, text in _ASPECT_PROMPTS.items()
+    )
+    + " FROM reviews",
+    "failures": "SELECT *, coalesce("
+    + ", ".join(
+        f"CASE WHEN {a}_n % 19 = 0 THEN 'Failed to analyze {a}: model unavailable' END"
+        for a in K.ASPECTS
+    )
+    + ") AS err FROM lengths",
+    "results": "SELECT *, "
+    + ", ".join(
+        f"CASE WHEN err IS NULL THEN ({a}_n % {m}) / 10.0 ELSE 0.0 END AS {a}_score"
+        for a, m in (("toxicity", 101), ("bias", 89), ("hallucination", 97))
+    )
+    + " FROM failures",
+}
+_TOP3, _LEVEL3, _FOUND3 = risk(
+    "toxicity_score", "bias_score", "hallucination_score", ("5.0", "3.0", "6.0")
+)
+sql(
+    "analyze_content",
+    "reviews",
+    f"""SELECT review_id, {_SCORES}, CASE WHEN err IS NULL THEN bias_n || ' characters'
+    ELSE 'Analysis failed: ' || err END AS bias_note, err AS analysis_error,
+  {_LEVEL3} AS risk_level, {_TOP3} AS max_score, {bar(_FOUND3)} AS threshold_violations,
+  len({_FOUND3}) = 0 AS should_approve FROM results""",
+    _LENGTHS,
+)
 sql(
     "model_cost_rows",
     "reviews",
@@ -1193,6 +1225,7 @@ FROM (SELECT * FROM audit WHERE {where} ORDER BY ts DESC, audit_id LIMIT {limit}
 sql("audit_by_key", "audit", f"{_AUDIT_ROW} FROM audit WHERE review_id = 'rev-17'")
 sql("audit_by_review", "audit", _newest("review_id = 'rev-17'", 50))
 sql("audit_by_user", "audit", _newest("user_id = 'user-5'", 100))
+sql("lookup_layout", "audit", _newest("user_id = 'user-5'", 100))
 sql("audit_by_product", "audit", _newest("product_id = 'prod-7'", 100))
 sql("audit_by_type", "audit", _newest("event_type = 'POLICY_DECISION'", 100))
 _REVIEW_ROW = f"""SELECT review_id, product_id, user_id, status, rating,

@@ -30,6 +30,7 @@ from reviewgate.operators.policy import (
     unknown_modes,
 )
 from reviewgate.operators.scoring import mock_scores, model_cost
+from reviewgate.plans import analysis as analysis_plans
 from reviewgate.plans import reports
 from reviewgate.plans.moderation import decide, prepare_input, scored_reviews
 from reviewgate.plans.summaries import stored_summaries
@@ -517,6 +518,39 @@ def batch_analysis(spark, sf):
     )
 
 
+def aspect_scorer():
+    """A stand-in model that answers single-aspect prompts."""
+
+    def score(prompt: str) -> str:
+        n = len(prompt)
+        for aspect, modulus in (("toxicity", 101), ("bias", 89), ("hallucination", 97)):
+            if f'"{aspect}_score"' in prompt[-600:]:
+                if n % 19 == 0:
+                    raise RuntimeError("model unavailable")
+                return (
+                    f'{{"{aspect}_score": {n % modulus / 10}, '
+                    f'"explanation": "{n} characters", "confidence": 0.75}}'
+                )
+        return ""
+
+    return score
+
+
+@query
+def analyze_content(spark, sf):
+    """Three prompts per review, one scoring pass, tolerant reading, risk."""
+    rows = analysis_plans.analyze_content(
+        X.reviews(spark, sf).drop(*SCORES), aspect_scorer(), base_delay=0.0
+    )
+    return rows.select(
+        "review_id",
+        *_analysis_columns(),
+        c("analysis.explanations")["bias"].alias("bias_note"),
+        "analysis_error",
+        *_risk_columns(),
+    )
+
+
 def _risk_columns() -> list[Column]:
     return [
         c("risk.risk_level").alias("risk_level"),
@@ -934,6 +968,15 @@ def audit_by_type(spark, sf):
     return _audit_columns(lookups.audit_by_type(X.audit_log(spark, sf), "POLICY_DECISION"))
 
 
+@query
+def lookup_layout(spark, sf):
+    """A lookup through the stored copy that is laid out by its key."""
+    path = scratch_path(spark, "audit-by-user")
+    tables.write_access_path(X.audit_log(spark, sf), path, "user_id", buckets=16)
+    rows = tables.read_access_path(spark, path, "user_id", "user-5", buckets=16)
+    return _audit_columns(lookups.audit_by_user(rows, "user-5"))
+
+
 def _review_columns(rows: DataFrame) -> DataFrame:
     return rows.select(
         "review_id", "product_id", "user_id", "status", "rating", iso(), "content"

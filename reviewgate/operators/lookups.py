@@ -133,6 +133,7 @@ def update_status(reviews: DataFrame, updates: DataFrame) -> DataFrame:
 def join_stages(reviews: DataFrame, analyses: DataFrame, decisions: DataFrame) -> DataFrame:
     """Put separately stored stages of a review back on one row.
 
-    A review without a stored stage keeps its row, with NULL there.
+    The stages are keyed tables (one row per review id, as ``put_by_key`` keeps
+    them). A review without a stored stage keeps its row, with NULL there.
     """
     return reviews.join(analyses, "review_id", "left").join(decisions, "review_id", "left")

@@ -64,14 +64,19 @@ def score_prompts(
     in_flight: int = 5,
     retries: int = 3,
     base_delay: float = 1.0,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Call the scorer on every prompt column of every row, without a shuffle.
+    """Call the scorer on every prompt column of every row.
 
     ``prompts`` maps a prompt column to the struct column that receives
     ``response_text, call_error, attempts, elapsed_ms``. Several prompt columns
-    are scored in one pass over the rows.
+    are scored in one pass over the rows. There is no shuffle unless
+    ``partitions`` is given: it fixes the number of tasks, and with
+    ``in_flight`` the most calls the service can ever see at once.
     """
     prompts = prompts or {"prompt": "scored"}
+    if partitions:
+        df = df.repartition(partitions)
     kept = [f for f in df.schema if f.name not in prompts]
     schema = T.StructType(
         kept + [T.StructField(out, SCORER_RESULT) for out in prompts.values()]
@@ -101,7 +106,7 @@ def score_distinct(
     build_prompt: Callable[[DataFrame], DataFrame],
     inputs: list[str],
     *,
-    hot_share: float = 0.001,
+    hot_share: float = 1e-4,
     path: str | None = None,
     **options,
 ) -> DataFrame:
@@ -111,8 +116,9 @@ def score_distinct(
     third of the table costs one call and one shuffled row per task. Responses
     are written before they are joined back: a model call is never repeated by
     a recomputed stage. Joining back, the texts that hold more than
-    ``hot_share`` of the rows (there can be at most ``1 / hot_share`` of those)
-    are broadcast, the others are joined on their hash.
+    ``hot_share`` of the rows are broadcast; there can be at most
+    ``1 / hot_share`` of those, however large the table is. The others are
+    joined on their hash, where adaptive execution splits what is still uneven.
     """
     # Two hashes: 64 bits alone would collide on a table of billions of texts.
     plain = [F.coalesce(c(x).cast("string"), F.lit("\x00")) for x in inputs]

@@ -91,10 +91,8 @@ def put_by_key(
     neither read nor written.
     """
     spark = updates.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    new = materialise(
-        latest_per_key(updates.withColumn("bucket", bucket), key, version), "upsert"
-    )
+    bucketed = updates.withColumn("bucket", _bucket(c(key), buckets))
+    new = materialise(latest_per_key(bucketed, key, version), "upsert")
     touched = [r[0] for r in new.select("bucket").distinct().limit(buckets).collect()]
     current = None
     if _exists(spark, path):
@@ -106,6 +104,37 @@ def put_by_key(
     ).partitionBy("bucket").parquet(path)
 
 
+def write_access_path(
+    df: DataFrame, path: str, key: str, time: str = "timestamp", buckets: int = 256
+) -> None:
+    """Store a copy of a table for lookups by ``key``, newest first.
+
+    Takes the place of a secondary index: a lookup reads the one bucket folder
+    its key hashes to, and within it only the row groups whose range holds the
+    key. A bucket with a hot key is split over several files by ``rebalance``.
+    """
+    df.withColumn("bucket", _bucket(F.col(key), buckets)).hint(
+        "rebalance", "bucket"
+    ).sortWithinPartitions("bucket", key, F.desc(time)).write.mode("overwrite").partitionBy(
+        "bucket"
+    ).parquet(path)
+
+
+def read_access_path(
+    spark: SparkSession, path: str, key: str, value: str, buckets: int = 256
+) -> DataFrame:
+    """Rows of one key. The bucket is a constant, so other folders are pruned."""
+    rows = spark.read.parquet(path)
+    found = rows.filter(
+        (c("bucket") == _bucket(F.lit(value), buckets)) & (c(key) == value)
+    )
+    return found.drop("bucket")
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     from pyspark.errors import AnalysisException
 
