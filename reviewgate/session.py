@@ -41,6 +41,8 @@ def local_session(cores: int | str = "*", app: str = "reviewgate") -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
+        # A call site per column expression costs a round trip to the JVM each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
