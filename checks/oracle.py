@@ -241,7 +241,7 @@ SELECT product_id, count(*) AS reviews_processed,
   count(*) FILTER (WHERE coalesce(analysis_passed, true)) AS reviews_included,
   count(*) FILTER (WHERE NOT coalesce(analysis_passed, true)) AS reviews_excluded,
   coalesce(avg(rating) FILTER (WHERE coalesce(analysis_passed, true)), 0.0)
-    AS average_rating
+    AS average_rating, 0::BIGINT AS unreadable_ratings
 FROM sreviews GROUP BY product_id"""
 
 CTE["lines"] = f"""
@@ -464,7 +464,9 @@ sql(
     "audit_roundtrip",
     "events_raw",
     f"""SELECT audit_id, {iso("ts")} AS timestamp, event_type, region,
-  processing_duration_ms, nullif(memory_used_mb, 0) AS memory_used_mb FROM events_raw""",
+  processing_duration_ms, nullif(memory_used_mb, 0) AS memory_used_mb,
+  CASE WHEN memory_used_mb = 0 THEN 1 ELSE CAST(epoch(ts) AS BIGINT) + 2555 * 86400 END AS ttl
+FROM events_raw""",
 )
 sql(
     "fill_explanations",

@@ -300,10 +300,18 @@ def summary_to_item(spark, sf):
 
 @query
 def audit_roundtrip(spark, sf):
-    item = items.audit_to_item(_raw_events(spark, sf))
-    back = items.item_to_audit(item.withColumnRenamed("timestamp", "timestamp"))
+    events = _raw_events(spark, sf).withColumn(
+        "ttl", F.when(c("memory_used_mb") == 0, F.lit(1).cast("long"))
+    )
+    back = items.item_to_audit(items.audit_to_item(events))
     return back.select(
-        "audit_id", iso(), "event_type", "region", "processing_duration_ms", "memory_used_mb"
+        "audit_id",
+        iso(),
+        "event_type",
+        "region",
+        "processing_duration_ms",
+        "memory_used_mb",
+        "ttl",
     )
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewgate.constants import MODEL_RETENTION_DAYS
 from reviewgate.functions.collections import blank_to_null, empty_to_null
 from reviewgate.functions.text import isoformat, parse_iso
+from reviewgate.operators.audit import ttl_stamp
 
 c = F.col
 EXACT_NUMBER = T.DecimalType(38, 18)
@@ -106,10 +108,12 @@ def audit_to_item(df: DataFrame) -> DataFrame:
 
 
 def item_to_audit(df: DataFrame) -> DataFrame:
+    """The inverse; an absent duration is 0, an absent expiry is set."""
     return df.withColumns(
         {
             "timestamp": parse_iso(c("timestamp")),
             "processing_duration_ms": F.coalesce("processing_duration_ms", F.lit(0)),
+            "ttl": ttl_stamp(parse_iso(c("timestamp")), MODEL_RETENTION_DAYS, c("ttl")),
         }
     )
 

@@ -70,6 +70,25 @@ class PolicySet:
             {f"{prefix}_{n}": [e.get(n) for e in entries.values()] for n in names},
         )
 
+    @staticmethod
+    def load(rules: DataFrame) -> PolicySet:
+        """The policy set of a stored listing; a larger one is refused."""
+        rows = rules.select("policy_type", "policy_key", "limit_name", "limit_value")
+        # An entry has at most three limits.
+        found = rows.limit(3 * MAX_POLICY_ROWS + 1).collect()
+        if len(found) > 3 * MAX_POLICY_ROWS:
+            raise ValueError(f"a policy set holds at most {MAX_POLICY_ROWS} entries")
+        policies = {kind: {} for kind in K.DEFAULT_POLICIES}
+        for kind, key, name, value in found:
+            if kind not in policies:
+                continue
+            if kind in K.ASPECTS:
+                policies[kind][key] = value
+            else:
+                limit = bool(value) if name == "gdpr_required" else value
+                policies[kind].setdefault(key, {})[name] = limit
+        return PolicySet(policies)
+
     def listing(self, spark: SparkSession) -> DataFrame:
         """Every rule in long form, with the version of the set."""
         rows = []

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewgate import constants as K
-from reviewgate.functions.text import fill, fixed
+from reviewgate.functions.text import fill, fixed, shorter_than
+from reviewgate.operators.validation import whole_number
 
 c = F.col
 
@@ -19,13 +20,21 @@ def analysis_prompt(df: DataFrame, name: str = "prompt") -> DataFrame:
             K.ANALYSIS_PROMPT,
             {
                 "product_category": F.coalesce("product_category", F.lit("other")),
-                "rating": F.coalesce(c("rating").cast("string"), F.lit("3")),
+                "rating": F.coalesce(whole_number(c("rating")).cast("string"), F.lit("3")),
                 "content": c("content"),
             },
         ),
     )
 
 
+def gated_prompt(df: DataFrame) -> DataFrame:
+    """The combined prompt of rows that may be scored, NULL for the others: a
+    text under five characters or a rating that is no number costs no call."""
+    unread = c("rating").isNotNull() & whole_number(c("rating")).isNull()
+    ready = ~shorter_than(c("content"), 5) & ~unread
+    return analysis_prompt(df).withColumn("prompt", F.when(ready, c("prompt")))
+
+
 def aspect_prompts(df: DataFrame) -> DataFrame:
     """One prompt per aspect, as three columns of the same row."""
     templates = {

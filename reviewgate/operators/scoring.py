@@ -1,7 +1,7 @@
 """Calling a model over a table of prompts.
 
-A scorer is any picklable ``Callable[[str], str]`` (prompt text in, response text
-out). It runs inside ``mapInPandas`` with a bounded number of calls in flight
+A scorer is any picklable callable that takes a prompt text and returns the
+response text, or a tuple ``(text, input tokens, output tokens)``. It runs inside ``mapInPandas`` with a bounded number of calls in flight
 per task, so the partition count of the stage bounds the load on the service.
 """
 
@@ -28,7 +28,7 @@ from reviewgate.session import materialise
 # Executors need not have this package installed: ship this module by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-Scorer = Callable[[str], str]
+Scorer = Callable[[str], str | tuple[str, int, int]]
 c = F.col
 
 
@@ -36,7 +36,11 @@ class Throttled(Exception):
     """Raised by a scorer when the service asks to slow down; it is retried."""
 
 
-def _call(scorer: Scorer, prompt: str, retries: int, base_delay: float):
+def _call(scorer: Scorer, prompt: str | None, retries: int, base_delay: float):
+    """(response, error, attempts, ms, input tokens, output tokens) of one call.
+    An absent prompt is not called."""
+    if prompt is None:
+        return None, None, 0, 0, None, None
     started = time.monotonic()
     attempts, response, error = 0, None, None
     while True:
@@ -53,7 +57,9 @@ def _call(scorer: Scorer, prompt: str, retries: int, base_delay: float):
         except Exception as failure:  # a failed call is a result, not a failed job
             error = str(failure)
             break
-    return response, error, attempts, int((time.monotonic() - started) * 1000)
+    elapsed_ms = int((time.monotonic() - started) * 1000)
+    text, *usage = response if isinstance(response, tuple) else (response, None, None)
+    return text, error, attempts, elapsed_ms, *usage
 
 
 def score_prompts(
@@ -69,8 +75,9 @@ def score_prompts(
     """Call the scorer on every prompt column of every row.
 
     ``prompts`` maps a prompt column to the struct column that receives
-    ``response_text, call_error, attempts, elapsed_ms``. Several prompt columns
-    are scored in one pass over the rows. There is no shuffle unless
+    ``response_text, call_error, attempts, elapsed_ms, input_tokens,
+    output_tokens``. Several prompt columns are scored in one pass over the rows;
+    a NULL prompt is not called. There is no shuffle unless
     ``partitions`` is given: it fixes the number of tasks, and with
     ``in_flight`` the most calls the service can ever see at once.
     """
@@ -119,6 +126,7 @@ def score_distinct(
     ``hot_share`` of the rows are broadcast; there can be at most
     ``1 / hot_share`` of those, however large the table is. The others are
     joined on their hash, where adaptive execution splits what is still uneven.
+    ``shared_by`` tells how many rows a call served.
     """
     # Two hashes: 64 bits alone would collide on a table of billions of texts.
     plain = [F.coalesce(c(x).cast("string"), F.lit("\x00")) for x in inputs]
@@ -130,8 +138,9 @@ def score_distinct(
         score_prompts(prompted, scorer, **options), "scored-prompts", path
     )
     total = scored.agg(F.sum("_rows")).first()[0] or 0
-    hot = scored.filter(c("_rows") > F.lit(total * hot_share)).select("_h", "_m", "scored")
-    cold = scored.filter(c("_rows") <= F.lit(total * hot_share)).select("_h", "_m", "scored")
+    result = ["_h", "_m", "scored", c("_rows").alias("shared_by")]
+    hot = scored.filter(c("_rows") > F.lit(total * hot_share)).select(*result)
+    cold = scored.filter(c("_rows") <= F.lit(total * hot_share)).select(*result)
     hot_keys = hot.select("_h", "_m")
     on = ["_h", "_m"]
     from_hot = keyed.join(F.broadcast(hot), on)
@@ -184,19 +193,27 @@ def model_metadata(
     )
 
 
-def model_cost(df: DataFrame) -> DataFrame:
-    """Cost of a call from its token counts, and the metadata record."""
+def model_cost(
+    df: DataFrame,
+    model_id: str = K.LIBRARY_MODEL_ID,
+    prompt_version: str = K.LIBRARY_PROMPT_VERSION,
+    config: dict[str, str] | None = None,
+) -> DataFrame:
+    """Cost of a call from its token counts, and the metadata record.
+
+    Rows that shared a call (``shared_by``) share its cost, so that costs add up
+    to what was spent.
+    """
     cost = call_cost(c("input_tokens"), c("output_tokens"))
+    if "shared_by" in df.columns:
+        cost = cost / c("shared_by")
     elapsed = c("elapsed_ms") if "elapsed_ms" in df.columns else None
+    settings = K.LIBRARY_INFERENCE_CONFIG if config is None else config
     return df.withColumns(
         {
             "cost_usd": cost,
             "model_metadata": model_metadata(
-                K.LIBRARY_MODEL_ID,
-                K.LIBRARY_PROMPT_VERSION,
-                K.LIBRARY_INFERENCE_CONFIG,
-                elapsed,
-                cost,
+                model_id, prompt_version, settings, elapsed, cost
             ),
         }
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from reviewgate import constants as K
 from reviewgate.functions import responses as R
@@ -21,7 +22,23 @@ def _passed() -> Column:
 
 
 def _rating() -> Column:
-    return F.coalesce(c("rating").cast("string").try_cast("double"), F.lit(3.0))
+    """The rating as a number; 3 when absent, NULL when it is no number."""
+    return F.when(c("rating").isNull(), 3.0).otherwise(
+        c("rating").cast("string").try_cast("double")
+    )
+
+
+def review_line(df: DataFrame) -> Column:
+    """A review's line in a prompt. A rating that arrived as text shows as a
+    decimal number, a whole number as it is."""
+    text = isinstance(df.schema["rating"].dataType, StringType)
+    number = _rating() if text else c("rating")
+    return F.concat(
+        F.lit("Rating: "),
+        F.coalesce(number.cast("string"), F.lit("3")),
+        F.lit("/5 - "),
+        F.coalesce("content", F.lit("")),
+    )
 
 
 def product_stats(reviews: DataFrame) -> DataFrame:
@@ -33,6 +50,7 @@ def product_stats(reviews: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.when(_passed(), _rating())), F.lit(0.0)).alias(
             "average_rating"
         ),
+        F.count_if(_passed() & _rating().isNull()).alias("unreadable_ratings"),
     )
 
 
@@ -62,12 +80,7 @@ def review_lines(reviews: DataFrame, n: int = PROMPT_REVIEWS) -> DataFrame:
         "product_id",
         "timestamp",
         "review_id",
-        F.concat(
-            F.lit("Rating: "),
-            F.coalesce(c("rating").cast("string"), F.lit("3")),
-            F.lit("/5 - "),
-            F.coalesce("content", F.lit("")),
-        ).alias("line"),
+        review_line(reviews).alias("line"),
     )
     first = top_n_per_key(rows, ["product_id"], [F.asc("timestamp"), F.asc("review_id")], n)
     return (
@@ -79,10 +92,28 @@ def review_lines(reviews: DataFrame, n: int = PROMPT_REVIEWS) -> DataFrame:
 
 def summary_prompts(reviews: DataFrame) -> DataFrame:
     """Statistics and summary prompt per product; the prompt is NULL when no
-    review passed."""
-    return product_prompt(
+    review passed or a passed review's rating is no number."""
+    rows = product_prompt(
         product_stats(reviews).join(review_lines(reviews), "product_id", "left")
     )
+    return rows.withColumn("prompt", F.when(c("unreadable_ratings") == 0, c("prompt")))
+
+
+def single_review_prompt(df: DataFrame, asked: Column) -> DataFrame:
+    """Summary prompt over one review per row, where ``asked`` holds."""
+    rows = df.withColumns(
+        {
+            "reviews_included": F.lit(1),
+            "reviews_text": review_line(df),
+            "average_rating": _rating(),
+        }
+    )
+    prompt = F.when(asked & c("average_rating").isNotNull(), c("prompt"))
+    return (
+        product_prompt(rows)
+        .withColumn("prompt", prompt)
+        .drop("reviews_included", "reviews_text", "average_rating")
+    )
 
 
 def parse_summary(
@@ -176,15 +207,21 @@ def summary_records(
     prompts: DataFrame, response: str = "summary_response", call_error: str | None = None
 ) -> DataFrame:
     """Finished summary rows: read responses for products with passed reviews,
-    the fixed record for the others, in one projection."""
+    the fixed record for products without, the error record for products with a
+    rating that is no number; all in one projection."""
     rows = parse_summary(prompts, response, call_error)
+    failed = c("unreadable_ratings") > 0
     none = c("reviews_included") == 0
-    return rows.select(
+
+    def counted(name: str) -> Column:
+        return F.when(failed, F.lit(0)).otherwise(c(name)).alias(name)
+
+    done = rows.select(
         "product_id",
         F.when(none, K.ALL_REJECTED_TEXT).otherwise(c("summary")).alias("summary"),
-        "reviews_processed",
-        "reviews_included",
-        "reviews_excluded",
+        counted("reviews_processed"),
+        counted("reviews_included"),
+        counted("reviews_excluded"),
         "average_rating",
         F.when(none, "neutral").otherwise(c("sentiment")).alias("sentiment"),
         F.when(none, 0.0).otherwise(c("confidence")).alias("confidence"),
@@ -194,9 +231,23 @@ def summary_records(
         F.when(none, F.array(F.lit(K.ALL_REJECTED_REASON)))
         .otherwise(F.array().cast("array<string>"))
         .alias("exclusion_reasons"),
-        (~none).alias("ai_generated"),
-        F.when(~none, K.MODEL_ID).alias("model_used"),
+        (~none & ~failed).alias("ai_generated"),
+        F.when(~none & ~failed, K.MODEL_ID).alias("model_used"),
+        failed.alias("_failed"),
     )
+    no_themes = F.array().cast("array<string>")
+    return done.withColumns(
+        {
+            "summary": F.when(c("_failed"), K.SUMMARY_SYSTEM_ERROR).otherwise(c("summary")),
+            "average_rating": F.when(~c("_failed"), c("average_rating")),
+            "sentiment": F.when(~c("_failed"), c("sentiment")),
+            "confidence": F.when(~c("_failed"), c("confidence")),
+            "key_themes": F.when(c("_failed"), no_themes).otherwise(c("key_themes")),
+            "exclusion_reasons": F.when(
+                c("_failed"), F.array(F.lit(K.SYSTEM_ERROR))
+            ).otherwise(c("exclusion_reasons")),
+        }
+    ).drop("_failed")
 
 
 def exclusion_reasons(

@@ -12,13 +12,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewgate import constants as K
 from reviewgate.operators.analysis import audit_response
 from reviewgate.operators.audit import audit_records
 from reviewgate.operators.policy import PolicySet, threshold_policy
-from reviewgate.operators.prompts import analysis_prompt
+from reviewgate.operators.prompts import gated_prompt
 from reviewgate.operators.routing import is_approved, responses
-from reviewgate.operators.scoring import Scorer, score_distinct, score_prompts
-from reviewgate.operators.summaries import parse_summary
+from reviewgate.operators.scoring import Scorer, model_cost, score_distinct, score_prompts
+from reviewgate.operators.summaries import parse_summary, single_review_prompt
 from reviewgate.operators.validation import input_defaults, split, validate_api
 from reviewgate.sources.tables import append_audit, write_dead_letters, write_rows
 
@@ -80,26 +81,50 @@ def moderate(prepared: DataFrame, **options) -> DataFrame:
 def scored_reviews(
     df: DataFrame, scorer: Scorer, distinct: bool = True, **options
 ) -> DataFrame:
-    """Add ``raw_response`` and ``call_error`` by calling the scorer.
+    """Add ``raw_response``, ``call_error``, time and tokens by calling the scorer.
 
     ``distinct`` scores equal (content, category, rating) once; without it the
-    stage has no shuffle and may run in a stream.
+    stage has no shuffle and may run in a stream. Rows the content gate will
+    refuse are not sent.
     """
     if distinct:
         rows = score_distinct(
-            df, scorer, analysis_prompt, ["content", "product_category", "rating"], **options
+            df, scorer, gated_prompt, ["content", "product_category", "rating"], **options
         )
     else:
-        rows = score_prompts(analysis_prompt(df), scorer, **options)
+        rows = score_prompts(gated_prompt(df), scorer, **options).withColumn(
+            "shared_by", F.lit(1).cast("long")
+        )
     return rows.withColumns(
         {
             "raw_response": c("scored.response_text"),
             "call_error": c("scored.call_error"),
             "elapsed_ms": c("scored.elapsed_ms"),
+            "input_tokens": c("scored.input_tokens"),
+            "output_tokens": c("scored.output_tokens"),
         }
     ).drop("scored")
 
 
+def summarise_approved(decided: DataFrame, scorer: Scorer, **options) -> DataFrame:
+    """Add ``summary`` to approved reviews, one model call each."""
+    prompts = single_review_prompt(decided, is_approved(c("policy_result")))
+    scored = score_prompts(prompts, scorer, **options).withColumns(
+        {
+            "_response": c("scored.response_text"),
+            "_error": c("scored.call_error"),
+            "_asked": c("scored.attempts") > 0,
+        }
+    )
+    read = parse_summary(scored.drop("scored"), "_response", "_error")
+    text = F.when(c("_asked"), c("summary")).otherwise(K.SUMMARY_SYSTEM_ERROR)
+    return read.withColumn(
+        "summary", F.when(is_approved(c("policy_result")), text)
+    ).drop(
+        "_response", "_error", "_asked", "sentiment", "confidence", "key_themes", "status_code"
+    )
+
+
 def run_moderation(
     submissions: DataFrame,
     scorer: Scorer,
@@ -108,13 +133,15 @@ def run_moderation(
     run_id: str,
     entered_at: datetime | None = None,
     policies: PolicySet | None = None,
+    summary_scorer: Scorer | None = None,
     **scorer_options,
 ) -> dict[str, DataFrame]:
     """Batch job: validate, score, decide, then write decisions, responses, audit
     log and dead letters under ``out``.
 
     Decisions are written once and everything after them reads that table, so
-    neither a lost executor nor the second sink repeats a model call.
+    neither a lost executor nor the second sink repeats a model call. With a
+    ``summary_scorer`` every approved review also gets a summary of its own.
     """
     spark = submissions.sparkSession
     moment = (
@@ -126,11 +153,16 @@ def run_moderation(
     write_dead_letters(bad, f"{out}/dead_letters", run_id, moment)
     prepared = prepare_input(good, moment, run_id)
     scored = scored_reviews(prepared, scorer, **scorer_options)
+    costed = model_cost(scored, K.MODEL_ID, K.PROMPT_VERSION, K.INFERENCE_CONFIG)
     decided = write_rows(
-        decide(scored, call_error="call_error", policies=policies),
+        decide(costed, call_error="call_error", policies=policies),
         f"{out}/decisions",
         run_id,
     )
+    if summary_scorer is not None:
+        decided = write_rows(
+            summarise_approved(decided, summary_scorer), f"{out}/summarised", run_id
+        )
     answered = write_rows(responses(decided), f"{out}/responses", run_id)
     log = append_audit(
         audit_records(

@@ -357,6 +357,8 @@ def build_report(
     generated_at: datetime | None = None,
     apply_filters: bool = False,
     cap: int | None = None,
+    function_name: str = "unknown",
+    request_id: str = "unknown",
 ) -> DataFrame:
     """One row: the report as JSON text with its size and record count."""
     if not start_date or not end_date:
@@ -386,6 +388,10 @@ def build_report(
             F.lit(product_id).cast("string").alias("product_id"),
             F.lit(user_id).cast("string").alias("user_id"),
         ).alias("filters"),
+        F.struct(
+            F.lit(function_name).alias("function_name"),
+            F.lit(request_id).alias("request_id"),
+        ).alias("generator"),
     )
     # Only the compliance report has a record total; the others report 0.
     total = (

@@ -122,4 +122,11 @@ SUMMARY = _struct(
 )
 
 # What a scorer stage adds to each row.
-SCORER_RESULT = _struct(response_text=S, call_error=S, attempts=I, elapsed_ms=L)
+SCORER_RESULT = _struct(
+    response_text=S,
+    call_error=S,
+    attempts=I,
+    elapsed_ms=L,
+    input_tokens=I,
+    output_tokens=I,
+)

@@ -63,6 +63,8 @@ def test_documented_examples(spark, tmp_path):
     assert [r["errors"] for r in dead] == [["content"]]
     events = {r["review_id"]: r["event_type"] for r in out["audit"].collect()}
     assert events == {"r1": "ANALYSIS", "r2": "ANALYSIS", "r3": "POLICY_DECISION"}
+    metadata = out["audit"].select("model_metadata.*").collect()
+    assert {r["prompt_version"] for r in metadata} == {"2.0"}
     # A second run under the same id leaves one copy of everything.
     again = run_moderation(
         submitted(spark), model(), str(tmp_path), run_id="day-1", entered_at=NOW, base_delay=0.0
@@ -70,6 +72,23 @@ def test_documented_examples(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/audit").count() == again["responses"].count() == 3
 
 
+def test_each_approved_review_gets_a_summary(spark, tmp_path):
+    def summary_model(prompt):
+        assert "Analyze these 1 customer reviews" in prompt
+        return '{"summary": "Short and kind."}' if "Great" in prompt else "garbage"
+
+    out = run_moderation(
+        submitted(spark), model(), str(tmp_path), run_id="day-1", entered_at=NOW,
+        base_delay=0.0, summary_scorer=summary_model,
+    )
+    got = {r["review_id"]: r["summary"] for r in out["responses"].collect()}
+    assert got == {
+        "r1": "Short and kind.",
+        "r2": "Customer reviews provide mixed feedback about this product.",
+        "r3": None,
+    }
+
+
 def test_routes_cover_every_row(spark, sf):
     decided = X.decided(X.reviews(spark, sf))
     missing = decided.withColumn(

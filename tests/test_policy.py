@@ -156,6 +156,13 @@ def test_policy_set_is_bounded_and_listed(spark):
     assert ("regional_compliance", "eu-west-1", "gdpr_required", 1.0) in {
         tuple(r[:4]) for r in listing
     }
+    assert PolicySet.load(PolicySet().listing(spark)) == PolicySet()
+    huge = spark.range(3 * MAX_POLICY_ROWS + 5).selectExpr(
+        "'toxicity' AS policy_type", "cast(id AS string) AS policy_key",
+        "'threshold' AS limit_name", "1D AS limit_value",
+    )
+    with pytest.raises(ValueError):
+        PolicySet.load(huge)
 
 
 def test_policy_entry(spark):

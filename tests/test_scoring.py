@@ -7,6 +7,7 @@ from reviewgate.operators.scoring import (
     Throttled,
     _call,
     mock_scorer,
+    model_cost,
     score_distinct,
     score_prompts,
 )
@@ -34,6 +35,8 @@ def test_throttled_calls_are_retried():
         raise ValueError("bad request")
 
     assert _call(broken, "p", 3, 0.0)[:3] == (None, "bad request", 1)
+    assert _call(broken, None, 3, 0.0) == (None, None, 0, 0, None, None)
+    assert _call(lambda p: ("text", 12, 34), "p", 3, 0.0)[4:] == (12, 34)
 
 
 def test_backoff_doubles(monkeypatch):
@@ -115,6 +118,32 @@ def test_scored_reviews_with_the_mock(spark):
         assert {r["call_error"] for r in got} == {None}
 
 
+def test_refused_rows_cost_no_call(spark, tmp_path):
+    df = spark.createDataFrame(
+        [(1, " ab ", "books", "4"), (2, None, "books", "4"), (3, "long enough", "books", "4.5"),
+         (4, "long enough", "books", None), (5, "long enough", None, " 3 ")],
+        "id int, content string, product_category string, rating string",
+    )
+    for i, distinct in enumerate((True, False)):
+        folder = tmp_path / str(i)
+        folder.mkdir()
+        got = scored_reviews(df, counting_scorer(str(folder)), distinct=distinct, base_delay=0.0)
+        asked = [r["id"] for r in got.collect() if r["raw_response"] or r["call_error"]]
+        assert sorted(asked) == [4, 5]
+        assert len(os.listdir(folder)) == 2
+
+
+def test_costs_of_shared_calls_add_up(spark):
+    def model(prompt):
+        return "{}", 1000, 500
+
+    rows = scored_reviews(reviews(spark, 90).fillna("empty", ["content"]), model)
+    one = 1000 / 1000 * 0.0008 + 500 / 1000 * 0.0032
+    calls = reviews(spark, 90).select("content").distinct().count()
+    total = model_cost(rows).agg(F.sum("cost_usd")).first()[0]
+    assert abs(total - calls * one) < 1e-9
+
+
 def test_partitions_bound_the_tasks(spark):
     df = analysis_prompt(reviews(spark, 30).fillna("", ["content"]))
     assert score_prompts(df, mock_scorer, partitions=3).rdd.getNumPartitions() == 3

@@ -29,9 +29,9 @@ def reviews(spark):
 
 def test_statistics(spark):
     got = {r["product_id"]: r for r in S.product_stats(reviews(spark)).collect()}
-    assert tuple(got["p"])[1:] == (3, 2, 1, 4.5)
-    assert tuple(got["bad"])[1:] == (1, 0, 1, 0.0)
-    assert tuple(got["hot"])[1:] == (400, 400, 0, 3.0)
+    assert tuple(got["p"])[1:] == (3, 2, 1, 4.5, 0)
+    assert tuple(got["bad"])[1:] == (1, 0, 1, 0.0, 0)
+    assert tuple(got["hot"])[1:] == (400, 400, 0, 3.0, 0)
     rejected = S.rejected_products(S.product_stats(reviews(spark))).collect()
     assert [(r["product_id"], r["exclusion_reasons"], r["sentiment"]) for r in rejected] == [
         ("bad", ["ALL_REVIEWS_REJECTED"], "neutral")
@@ -42,7 +42,9 @@ def test_prompt_lists_the_first_ten_reviews(spark):
     got = {r["product_id"]: r["prompt"] for r in S.summary_prompts(reviews(spark)).collect()}
     assert got["bad"] is None
     assert (
-        "Rating: 5/5 - Great product, highly recommend it.\nRating: 4/5 - Good value for money."
+        # The ratings of these reviews arrived as text.
+        "Rating: 5.0/5 - Great product, highly recommend it.\n"
+        "Rating: 4.0/5 - Good value for money."
         in got["p"]
     )
     assert "Analyze these 2 customer reviews for product p" in got["p"]
@@ -50,7 +52,7 @@ def test_prompt_lists_the_first_ten_reviews(spark):
     first = sorted(
         ((i % 40, f"h{i:04d}", i) for i in range(400))
     )[:10]
-    lines = "\n".join(f"Rating: {1 + i % 5}/5 - text {i}" for _, _, i in first)
+    lines = "\n".join(f"Rating: {1 + i % 5}.0/5 - text {i}" for _, _, i in first)
     assert f"REVIEWS TO ANALYZE:\n{lines}\n\nAVERAGE" in got["hot"]
     tree = plan_of(S.review_lines(reviews(spark)))
     assert "WindowGroupLimit" in tree
@@ -126,11 +128,20 @@ def test_summarise_products(spark):
             raise RuntimeError("busy")
         return '{"summary": "Liked.", "sentiment": "positive", "confidence": 0.9}'
 
-    rows = summarise_products(reviews(spark), model, base_delay=0.0)
+    odd = [("odd", "o1", "Fine enough", "six", T0, True, 1.0),
+           ("whole", "w1", "Fine enough", "4", T0, True, 1.0)]
+    mixed = reviews(spark).unionByName(spark.createDataFrame(odd, SCHEMA))
+    rows = summarise_products(mixed, model, base_delay=0.0)
     got = {r["product_id"]: r for r in rows.collect()}
-    assert set(got) == {"p", "bad", "hot"}
+    assert set(got) == {"p", "bad", "hot", "odd", "whole"}
+    assert got["odd"]["summary"] == "Summary generation failed due to system error"
+    assert (got["odd"]["reviews_processed"], got["odd"]["exclusion_reasons"]) == (
+        0, ["SYSTEM_ERROR"],
+    )
+    whole = mixed.filter("product_id = 'whole'").withColumn("rating", F.lit(4))
+    assert "Rating: 4/5 - Fine enough" in S.summary_prompts(whole).first()["prompt"]
     assert (got["p"]["summary"], got["p"]["average_rating"]) == ("Liked.", 4.5)
     assert got["hot"]["summary"] == "Unable to generate summary due to system error: busy"
     assert got["bad"]["exclusion_reasons"] == ["ALL_REVIEWS_REJECTED"]
     assert not got["bad"]["ai_generated"] and got["p"]["ai_generated"]
-    assert stored_summaries(rows).count() == 3
+    assert stored_summaries(rows).count() == 5
