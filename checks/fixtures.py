@@ -49,12 +49,13 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(DOCUMENTS).parquet(f"{sf}/documents.parquet")
 
 
+def stream_table(spark: SparkSession, sf: str, name: str, schema) -> DataFrame:
+    """A test table as a file stream; the pattern matches a file or a folder."""
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
+
+
 def stream_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        spark.readStream.schema(DOCUMENTS)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-    )
+    return stream_table(spark, sf, "documents", DOCUMENTS)
 
 
 def _score(factor: int) -> Column:

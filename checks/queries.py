@@ -1169,11 +1169,7 @@ def stream_audit_stats(spark, sf):
 def stream_metrics(spark, sf):
     base = scratch_path(spark, "stream-metrics")
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
-    events = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
-    )
+    events = X.stream_table(spark, sf, "events", schema)
     stream_statistics_jobs.start_function_metrics(
         X.calls(events), f"{base}/out", f"{base}/checkpoint"
     ).awaitTermination()
@@ -1188,7 +1184,7 @@ def stream_redelivery(spark, sf):
     once = stream_moderation_jobs.without_redelivery(
         arriving.select("review_id", "timestamp")
     )
-    stream_statistics_jobs._append(
+    stream_statistics_jobs.append_stream(
         once, f"{base}/out", f"{base}/checkpoint"
     ).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("review_id")

@@ -90,17 +90,19 @@ def put_by_key(
 
     The table is laid out by a hash of its key. The buckets the updates touch
     (at most ``buckets`` numbers) are read, merged and replaced; all others are
-    neither read nor written.
+    neither read nor written. The merged rows are written to the scratch folder
+    before the buckets they replace are dropped, so they exist in full at any
+    moment, whatever is lost.
     """
     spark = updates.sparkSession
     bucketed = updates.withColumn("bucket", _bucket(c(key), buckets))
-    new = materialise(latest_per_key(bucketed, key, version), "upsert")
-    touched = [r[0] for r in new.select("bucket").distinct().limit(buckets).collect()]
-    current = None
     if _exists(spark, path):
-        current = spark.read.schema(new.schema).parquet(path)
+        touched = [r[0] for r in bucketed.select("bucket").distinct().limit(buckets).collect()]
+        current = spark.read.schema(bucketed.schema).parquet(path)
         current = current.filter(c("bucket").isin(touched))
-    merged = materialise(upsert(current, new, key, version), "upsert-merged")
+        merged = materialise(upsert(current, bucketed, key, version), "upsert")
+    else:
+        merged = upsert(None, bucketed, key, version)
     merged.hint("rebalance", "bucket").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("bucket").parquet(path)

@@ -6,20 +6,48 @@ import logging
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from reviewgate import constants as K
 from reviewgate.operators.audit import audit_records
+from reviewgate.operators.policy import PolicySet
 from reviewgate.operators.routing import responses
+from reviewgate.operators.scoring import Scorer, model_cost
 from reviewgate.operators.validation import split, validate_api
-from reviewgate.plans.moderation import decide
+from reviewgate.plans.moderation import decide, prepare_input, scored_reviews
 from reviewgate.sources.tables import append_audit, write_dead_letters, write_rows
 
 log = logging.getLogger(__name__)
 c = F.col
 
 
+def scoring_decider(
+    scorer: Scorer,
+    run_id: str,
+    entered_at: datetime | None = None,
+    policies: PolicySet | None = None,
+    **options,
+) -> Callable[[DataFrame], DataFrame]:
+    """Turn submissions into decided rows by calling the scorer per row, which
+    needs no shuffle and keeps no state."""
+
+    def decide_rows(rows: DataFrame) -> DataFrame:
+        prepared = prepare_input(rows, _moment(entered_at), run_id)
+        scored = scored_reviews(prepared, scorer, distinct=False, **options)
+        costed = model_cost(scored, K.MODEL_ID, K.PROMPT_VERSION, K.INFERENCE_CONFIG)
+        return decide(costed, call_error="call_error", policies=policies)
+
+    return decide_rows
+
+
+def _moment(at: datetime | None) -> Column:
+    if at is None:
+        return F.current_timestamp()
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp")
+
+
 def write_batch(
     batch: DataFrame,
     batch_id: int,
@@ -29,11 +57,7 @@ def write_batch(
 ) -> None:
     """Write one micro-batch. Every sink folder is named by the batch id and
     overwritten, so a batch that is run again leaves the same rows."""
-    moment = (
-        F.current_timestamp()
-        if received_at is None
-        else F.lit(received_at.isoformat(sep=" ")).cast("timestamp")
-    )
+    moment = _moment(received_at)
     good, bad = split(validate_api(batch))
     write_dead_letters(bad, f"{out}/dead_letters", batch_id, moment)
     decided = write_rows(decide_rows(good), f"{out}/decisions", batch_id)

@@ -42,7 +42,8 @@ def windowed_statistics(audit: DataFrame, window: str = "1 hour") -> DataFrame:
     )
 
 
-def _append(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def append_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append everything that has arrived to a parquet folder, then stop."""
     return (
         rows.writeStream.outputMode("append")
         .format("parquet")
@@ -61,7 +62,7 @@ def start_audit_statistics(
     delay: str = "10 minutes",
 ) -> StreamingQuery:
     """Write each window's statistics once the watermark has passed it."""
-    return _append(
+    return append_stream(
         windowed_statistics(audit.withWatermark("timestamp", delay), window), out, checkpoint
     )
 
@@ -73,4 +74,4 @@ def start_function_metrics(
     window: str = "5 minutes",
     delay: str = "10 minutes",
 ) -> StreamingQuery:
-    return _append(function_metrics(calls.withWatermark("ts", delay), window), out, checkpoint)
+    return append_stream(function_metrics(calls.withWatermark("ts", delay), window), out, checkpoint)

@@ -9,7 +9,6 @@ from reviewgate.operators import lookups, metrics
 from reviewgate.operators.routing import responses
 from reviewgate.operators.scoring import mock_scorer
 from reviewgate.operators.validation import split, validate_api
-from reviewgate.plans.moderation import decide, prepare_input, scored_reviews
 from reviewgate.sources import reviews as review_source
 from reviewgate.streaming import moderation as M
 from reviewgate.streaming import statistics as W
@@ -17,9 +16,7 @@ from reviewgate.streaming import statistics as W
 NOW = datetime(2024, 5, 1)
 
 
-def decide_mock(rows):
-    prepared = prepare_input(rows, F.lit(str(NOW)).cast("timestamp"), "run")
-    return decide(scored_reviews(prepared, mock_scorer, distinct=False), call_error="call_error")
+decide_mock = M.scoring_decider(mock_scorer, "run", NOW)
 
 
 def write_submissions(spark, sf, path, files):
@@ -102,7 +99,7 @@ def test_redelivery(spark, tmp_path):
     schema = "review_id string, timestamp timestamp, version int"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
     once = M.without_redelivery(spark.readStream.schema(schema).parquet(src))
-    W._append(once, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    W.append_stream(once, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r["review_id"] for r in got) == ["a", "b"]
     last = lookups.latest_per_key(spark.read.parquet(src), "review_id", "timestamp").collect()
