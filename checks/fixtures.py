@@ -127,7 +127,7 @@ def with_gaps(df: DataFrame) -> DataFrame:
 
 
 def with_responses(df: DataFrame) -> DataFrame:
-    """A model response per review in one of eleven shapes."""
+    """A model response per review: plain, or in one of seven other shapes."""
     k = c("k")
 
     def text(name: str) -> Column:
@@ -162,6 +162,8 @@ def with_responses(df: DataFrame) -> DataFrame:
             ),
         )
         .when(shape == 4, F.lit("This is not JSON content"))
+        .when(shape == 5, F.concat(plain, F.lit("\nThat is my {honest} view.")))
+        .when(shape == 6, F.concat(F.lit("```json\n"), plain, F.lit("\n```\nI hope it helps.")))
         .otherwise(plain)
     )
     return df.withColumn("raw_response", response)

@@ -113,6 +113,8 @@ SELECT *, CASE k % 11
   WHEN 2 THEN {_object(_T, _H, _NOTES)}
   WHEN 3 THEN {_object(_TQ, _BI, _H, _NOTES)}
   WHEN 4 THEN 'This is not JSON content'
+  WHEN 5 THEN {plain} || '{NL}That is my {{honest}} view.'
+  WHEN 6 THEN '```json{NL}' || {plain} || '{NL}```{NL}I hope it helps.'
   ELSE {plain} END AS raw_response
 FROM {table}"""
 

@@ -34,16 +34,32 @@ def without_fence(response: Column) -> Column:
     )
 
 
+def whole_json(text: Column) -> Column:
+    """The text as a variant, NULL unless all of it is one JSON value.
+
+    ``try_parse_json`` stops after the first value and ignores what follows, a
+    remark of the model for instance. So the text is parsed as the first element
+    of an array whose second element is its own hash: anything after the value
+    breaks the array or moves the hash away from the second place.
+    """
+    mark = F.xxhash64(text).cast("string")
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    return F.when(
+        F.try_variant_get(pair, "$[1]", "string") == mark,
+        F.try_variant_get(pair, "$[0]", "variant"),
+    )
+
+
 def strict_json(response: Column) -> Column:
-    return F.try_parse_json(without_fence(response))
+    return whole_json(without_fence(response))
 
 
 def tolerant_json(response: Column) -> Column:
     """Whole text, else the first fenced object, else first ``{`` to last ``}``."""
     return F.coalesce(
-        F.try_parse_json(response),
-        F.try_parse_json(F.regexp_extract(response, FENCED_OBJECT, 1)),
-        F.try_parse_json(F.regexp_extract(response, OUTER_BRACES, 0)),
+        whole_json(response),
+        whole_json(F.regexp_extract(response, FENCED_OBJECT, 1)),
+        whole_json(F.regexp_extract(response, OUTER_BRACES, 0)),
     )
 
 

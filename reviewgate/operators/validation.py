@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewgate.constants import CATEGORIES, EVENT_TYPES, MODES, REGIONS
 from reviewgate.functions.collections import listed
 from reviewgate.functions.numbers import in_score_range
+from reviewgate.functions.responses import whole_json
 from reviewgate.functions.text import shorter_than, strip
 
 c = F.col
@@ -146,7 +147,7 @@ def normalise_input(df: DataFrame) -> DataFrame:
     from reviewgate.schemas import SUBMISSION
 
     body = F.from_json("body", SUBMISSION)
-    bad_json = c("body").isNotNull() & F.try_parse_json("body").isNull()
+    bad_json = c("body").isNotNull() & whole_json(c("body")).isNull()
     fields = SUBMISSION.fieldNames()
     merged = df.withColumns({"_body": body, "_bad_json": bad_json}).select(
         *[x for x in df.columns if x not in ("body", "input")],

@@ -22,6 +22,8 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A repeated key in a model response takes its last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # HotSpot never compiles a method of over 8000 bytes. Response reading makes
     # longer ones; below this limit Spark splits them instead of fusing the stage.
     "spark.sql.codegen.hugeMethodLimit": "8000",

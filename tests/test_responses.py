@@ -38,6 +38,13 @@ def test_strict_shapes(spark):
         ("  ```\n" + BODY + "\n``` \n", (2.5, 1.0, 0.0), 200),
         ("Here it is:\n```json\n" + BODY + "\n```", (5.0, 5.0, 5.0), 200),
         ("not json", (5.0, 5.0, 5.0), 200),
+        # All of the text has to be one value; Spark itself ignores the rest.
+        (BODY + "\nThat is all.", (5.0, 5.0, 5.0), 200),
+        ("```json\n" + BODY + "\n```\nThat is all.", (5.0, 5.0, 5.0), 200),
+        (BODY + BODY, (5.0, 5.0, 5.0), 200),
+        (BODY + "}", (5.0, 5.0, 5.0), 200),
+        (BODY + ", 1", (5.0, 5.0, 5.0), 200),
+        (BODY + "] 1", (5.0, 5.0, 5.0), 200),
         ("", (5.0, 5.0, 5.0), 200),
         (None, (5.0, 5.0, 5.0), 200),
         (half % '"7"', (5.0, 1.0, 2.0), 200),
@@ -48,6 +55,8 @@ def test_strict_shapes(spark):
         (half % "true", (1.0, 1.0, 2.0), 200),
         (half % "10", (10.0, 1.0, 2.0), 200),
         (half % "1e1", (10.0, 1.0, 2.0), 200),
+        (half % '9, "toxicity_score": 3', (3.0, 1.0, 2.0), 200),
+        (half % "NaN", (5.0, 5.0, 5.0), 200),
         ('{"toxicity_score": 1, "hallucination_score": 1}', (10.0, 10.0, 10.0), 500),
         ("[1, 2]", (10.0, 10.0, 10.0), 500),
         ("7", (10.0, 10.0, 10.0), 500),
@@ -58,9 +67,32 @@ def test_strict_shapes(spark):
     notes = [r["analysis"]["explanations"] for r in got]
     assert notes[0] == {"toxicity": "fine"}
     assert notes[4] == {a: PARSE for a in ("toxicity", "bias", "hallucination")}
-    assert notes[15]["bias"] == "System error: 'bias_score'"
-    assert notes[16]["bias"] == "System error: 'list' object has no attribute 'get'"
-    assert got[17]["error"] == "'int' object has no attribute 'get'"
+    assert notes[-3]["bias"] == "System error: 'bias_score'"
+    assert notes[-2]["bias"] == "System error: 'list' object has no attribute 'get'"
+    assert got[-1]["error"] == "'int' object has no attribute 'get'"
+
+
+FRAGMENTS = ['{"a": 1}', "[1, 2]", "1", '"x"', "null", " ", "\n", ",", "]", "}", "{", "x", "0", "-"]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.lists(st.sampled_from(FRAGMENTS), max_size=4).map("".join), min_size=1, max_size=60
+    )
+)
+def test_whole_json_accepts_what_python_accepts(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = df.select("id", R.whole_json(F.col("t")).isNotNull().alias("ok")).orderBy("id").collect()
+
+    def valid(text):
+        try:
+            json.loads(text)
+            return True
+        except ValueError:
+            return False
+
+    assert [r["ok"] for r in got] == [valid(t) for t in texts]
 
 
 def test_gate_order(spark):
