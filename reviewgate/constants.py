@@ -105,7 +105,7 @@ BLANKS = (
 )
 
 # Patterns of the tolerant response parser.
-FENCED_OBJECT = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+FENCED_OBJECT = r"(?sU)```(?:json)?\s*(\{.*?\})\s*```"
 OUTER_BRACES = r"(?s)\{.*\}"
 
 # --- alarm rules: name, source, metric, threshold, consecutive windows ------

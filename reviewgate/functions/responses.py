@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from reviewgate.constants import BLANKS, FENCED_OBJECT, OUTER_BRACES
 from reviewgate.functions.text import strip
 
-# How a JSON value's type reads in a Python error text.
+# First character of a JSON text, and the type it stands for.
 _PYTHON_NAMES = [
-    ("ARRAY", "list"),
-    ("OBJECT", "dict"),
-    ("STRING", "str"),
-    ("BIGINT", "int"),
-    ("BOOLEAN", "bool"),
-    ("VOID", "NoneType"),
+    ("{", "dict"),
+    ('"', "str"),
+    ("n", "NoneType"),
+    ("t", "bool"),
+    ("f", "bool"),
 ]
 
 
@@ -40,12 +39,18 @@ def whole_json(text: Column) -> Column:
     ``try_parse_json`` stops after the first value and ignores what follows, a
     remark of the model for instance. So the text is parsed as the first element
     of an array whose second element is its own hash: anything after the value
-    breaks the array or moves the hash away from the second place.
+    breaks the array or moves the hash away from the second place. Prose is told
+    by its first or last character and not parsed at all, because a failed parse
+    costs an exception.
     """
     mark = F.xxhash64(text).cast("string")
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    bare = F.btrim(text, F.lit(" \t\n\r"))
+    plausible = F.lit('{["-0123456789tfn').contains(F.left(bare, F.lit(1))) & F.lit(
+        '}]"0123456789el'
+    ).contains(F.right(bare, F.lit(1)))
     return F.when(
-        F.try_variant_get(pair, "$[1]", "string") == mark,
+        plausible & (bare != "") & (F.try_variant_get(pair, "$[1]", "string") == mark),
         F.try_variant_get(pair, "$[0]", "variant"),
     )
 
@@ -68,24 +73,41 @@ def member(doc: Column, key: str) -> Column:
     return F.try_variant_get(doc, f"$.{key}", "variant")
 
 
-def json_type(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def member_json(doc: Column, key: str) -> Column:
+    """The member as JSON text, whose first character tells its type.
 
+    Both type and number are read from this text: a variant's own casts and its
+    schema function build an expression or a schema per row.
+    """
+    return F.to_json(member(doc, key))
+
+
+def is_object(json: Column) -> Column:
+    return json.startswith("{")
 
-def is_number(kind: Column) -> Column:
+
+def is_number(json: Column) -> Column:
     """Numbers as Python sees them: JSON booleans count."""
-    return kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
+    digits = F.lit("-0123456789").contains(F.left(json, F.lit(1))) & (json != "")
+    return digits | json.isin("true", "false")
 
 
-def python_type(kind: Column) -> Column:
-    chain = F.when(kind.startswith("DECIMAL"), "float")
-    for prefix, name in _PYTHON_NAMES:
-        chain = chain.when(kind.startswith(prefix), name)
-    return chain.otherwise("float")
+def number(json: Column) -> Column:
+    """The number, also of a text that holds one; a boolean is 1 or 0."""
+    return (
+        F.when(json == "true", 1.0)
+        .when(json == "false", 0.0)
+        .otherwise(F.btrim(json, F.lit('"')).try_cast("double"))
+    )
 
 
-def as_double(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
+def python_type(json: Column) -> Column:
+    """How the type of a JSON value reads in a Python error text."""
+    chain = F.when(json.startswith("["), "list")
+    for start, name in _PYTHON_NAMES:
+        chain = chain.when(json.startswith(start), name)
+    whole = F.rlike(json, F.lit("^-?[0-9]+$"))
+    return chain.when(whole, "int").otherwise("float")
 
 
 def as_text(value: Column) -> Column:

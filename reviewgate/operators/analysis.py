@@ -42,17 +42,14 @@ def audit_response(
             "_call_error": failed,
             "_doc": R.strict_json(c(response)),
         }
-    ).withColumns({f"_{s}": R.member(c("_doc"), s) for s in SCORES})
-    # Taken out once here: inside a CASE branch they would be evaluated per use.
-    rows = rows.withColumns(
-        {f"_{s}_value": R.as_double(c(f"_{s}")) for s in SCORES}
-        | {f"_{s}_kind": R.json_type(c(f"_{s}")) for s in SCORES}
-    )
+    ).withColumns({f"_{s}": R.member_json(c("_doc"), s) for s in SCORES})
+    # Taken out once here: inside a CASE branch it would be evaluated per use.
+    rows = rows.withColumns({f"_{s}_value": R.number(c(f"_{s}")) for s in SCORES})
 
     absent = F.coalesce(*[F.when(c(f"_{s}").isNull(), F.lit(f"'{s}'")) for s in SCORES])
-    root = R.json_type(c("_doc"))
+    root = F.to_json(c("_doc"))
     no_get = F.when(
-        absent.isNotNull() & ~root.startswith("OBJECT"),
+        absent.isNotNull() & ~R.is_object(root),
         F.concat(F.lit("'"), R.python_type(root), F.lit("' object has no attribute 'get'")),
     )
     unread = ~c("_short") & c("_call_error").isNull() & c("_doc").isNotNull()
@@ -63,7 +60,7 @@ def audit_response(
 
     def score(name: str) -> Column:
         value = c(f"_{name}_value")
-        numeric = R.is_number(c(f"_{name}_kind"))
+        numeric = R.is_number(c(f"_{name}"))
         return (
             F.when(c("_system").isNotNull() | c("_short"), 10.0)
             .when(c("_call_error").isNotNull(), 8.0)
@@ -108,7 +105,7 @@ def audit_response(
         "_doc",
         "_system",
         "_text",
-        *[f"_{s}{part}" for s in SCORES for part in ("", "_value", "_kind")],
+        *[f"_{s}{part}" for s in SCORES for part in ("", "_value")],
     )
 
 
@@ -124,15 +121,16 @@ def parse_tolerant(df: DataFrame, response: str = "raw_response") -> DataFrame:
     )
 
 
-def _float_error(kind: Column, text: Column) -> Column:
+def _float_error(json: Column) -> Column:
     """Text of the conversion error of a member that is no number."""
+    text = F.from_json(F.concat(F.lit("["), json, F.lit("]")), "array<string>")[0]
     return F.when(
-        kind == "STRING",
+        json.startswith('"'),
         F.concat(F.lit("could not convert string to float: '"), text, F.lit("'")),
     ).otherwise(
         F.concat(
             F.lit("float() argument must be a string or a real number, not '"),
-            R.python_type(kind),
+            R.python_type(json),
             F.lit("'"),
         )
     )
@@ -149,36 +147,31 @@ def _with_aspect(rows: DataFrame, aspect: str, call_error: Column, limit: float)
     """Add the aspect's result struct and ``_{aspect}_error`` (NULL when read).
 
     Members are taken out of the document once, in a projection of their own,
-    so that no later expression repeats the path lookup; types are only asked
-    for on the rare rows where a conversion failed.
+    so that no later expression repeats the path lookup; the document is only
+    looked at again on the rare rows where a conversion failed.
     """
     key = f"{aspect}_score"
     rows = rows.withColumn("_doc", R.tolerant_json(c(f"{aspect}_response")))
     rows = rows.withColumns(
         {
-            "_score": R.member(c("_doc"), key),
-            "_sure": R.member(c("_doc"), "confidence"),
+            "_score": R.member_json(c("_doc"), key),
+            "_sure": R.member_json(c("_doc"), "confidence"),
             "_why": R.member(c("_doc"), "explanation"),
         }
     )
     rows = rows.withColumns(
-        {"_score_value": R.as_double(c("_score")), "_sure_value": R.as_double(c("_sure"))}
+        {"_score_value": R.number(c("_score")), "_sure_value": R.number(c("_sure"))}
     )
-    bare = c("_doc").isNotNull() & F.coalesce("_score", "_sure", "_why").isNull()
+    bare = c("_score").isNull() & c("_sure").isNull() & c("_why").isNull()
     rows = rows.withColumns(
         {
-            "_root": F.when(bare, R.json_type(c("_doc"))),
+            "_root": F.when(bare & c("_doc").isNotNull(), F.to_json(c("_doc"))),
             "_bad": F.when(c("_score").isNotNull() & c("_score_value").isNull(), c("_score"))
             .when(c("_sure").isNotNull() & c("_sure_value").isNull(), c("_sure")),
-        }
-    )
-    rows = rows.withColumns(
-        {
-            "_bad_kind": F.when(c("_bad").isNotNull(), R.json_type(c("_bad"))),
             "_clamped": clamp(c("_score_value")),
         }
     )
-    no_object = c("_root").isNotNull() & ~c("_root").startswith("OBJECT")
+    no_object = c("_root").isNotNull() & ~R.is_object(c("_root"))
     unexpected = F.when(
         no_object,
         F.concat(
@@ -186,7 +179,7 @@ def _with_aspect(rows: DataFrame, aspect: str, call_error: Column, limit: float)
             R.python_type(c("_root")),
             F.lit("' object does not support item assignment"),
         ),
-    ).when(c("_bad_kind").isNotNull(), _float_error(c("_bad_kind"), R.as_text(c("_bad"))))
+    ).when(c("_bad").isNotNull(), _float_error(c("_bad")))
     error = F.when(
         call_error.isNotNull(),
         F.concat(F.lit(f"Failed to analyze {aspect}: "), call_error),
@@ -203,7 +196,7 @@ def _with_aspect(rows: DataFrame, aspect: str, call_error: Column, limit: float)
     )
     return rows.withColumns({aspect: result, f"_{aspect}_error": error}).drop(
         "_doc", "_score", "_sure", "_why", "_score_value", "_sure_value",
-        "_root", "_bad", "_bad_kind", "_clamped",
+        "_root", "_bad", "_clamped",
     )
 
 

@@ -116,6 +116,10 @@ def single_review_prompt(df: DataFrame, asked: Column) -> DataFrame:
     )
 
 
+def _read_number(value: Column) -> Column:
+    return R.number(F.to_json(value))
+
+
 def parse_summary(
     df: DataFrame, response: str = "summary_response", call_error: str | None = None
 ) -> DataFrame:
@@ -126,7 +130,8 @@ def parse_summary(
     for key in ("summary", "sentiment", "confidence", "key_themes"):
         rows = rows.withColumn(f"_{key}", R.member(c("_doc"), key))
     lost = c("_doc").isNull()
-    broken = ~lost & ~R.json_type(c("_doc")).startswith("OBJECT")
+    nothing = c("_summary").isNull() & c("_sentiment").isNull() & c("_confidence").isNull()
+    broken = ~lost & nothing & ~R.is_object(F.to_json(c("_doc")))
 
     def pick(key, read, when_failed, when_lost, when_absent, when_broken):
         return (
@@ -160,7 +165,7 @@ def parse_summary(
                 "sentiment", R.as_text, F.lit("mixed"), F.lit("mixed"), F.lit("mixed"), none_text
             ),
             "confidence": pick(
-                "confidence", R.as_double, F.lit(0.0), F.lit(0.5), F.lit(0.5), none_number
+                "confidence", _read_number, F.lit(0.0), F.lit(0.5), F.lit(0.5), none_number
             ),
             "key_themes": pick(
                 "key_themes",

@@ -100,6 +100,7 @@ def scored_reviews(
             "raw_response": c("scored.response_text"),
             "call_error": c("scored.call_error"),
             "elapsed_ms": c("scored.elapsed_ms"),
+            "processing_duration_ms": c("scored.elapsed_ms").cast("int"),
             "input_tokens": c("scored.input_tokens"),
             "output_tokens": c("scored.output_tokens"),
         }
@@ -165,11 +166,7 @@ def run_moderation(
         )
     answered = write_rows(responses(decided), f"{out}/responses", run_id)
     log = append_audit(
-        audit_records(
-            decided.withColumn("processing_duration_ms", c("elapsed_ms").cast("int")),
-            event_time=c("timestamp"),
-            suffix_chars=32,
-        ),
+        audit_records(decided, event_time=c("timestamp"), suffix_chars=32),
         f"{out}/audit",
         run_id,
     )
