@@ -44,13 +44,14 @@ def whole_json(text: Column) -> Column:
     costs an exception.
     """
     mark = F.xxhash64(text).cast("string")
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")))
+    second = F.to_json(F.try_variant_get(pair, "$[1]", "variant"))
     bare = F.btrim(text, F.lit(" \t\n\r"))
     plausible = F.lit('{["-0123456789tfn').contains(F.left(bare, F.lit(1))) & F.lit(
         '}]"0123456789el'
     ).contains(F.right(bare, F.lit(1)))
     return F.when(
-        plausible & (bare != "") & (F.try_variant_get(pair, "$[1]", "string") == mark),
+        plausible & (bare != "") & (second == mark),
         F.try_variant_get(pair, "$[0]", "variant"),
     )
 
