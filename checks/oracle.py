@@ -1111,6 +1111,18 @@ sql(
   CASE WHEN ok AND kind <> 'OBJECT' THEN 500 ELSE 200 END AS status_code FROM styped""",
     _SDOC,
 )
+sql(
+    "constrained_summary",
+    "reviews",
+    f"""SELECT review_id, CASE WHEN json_type(doc) = 'OBJECT'
+    THEN json_extract_string(doc, '$.summary') END AS summary,
+  CASE WHEN json_type(doc) = 'OBJECT'
+    THEN CAST(json_extract_string(doc, '$.confidence') AS DOUBLE) END AS confidence,
+  CASE WHEN doc IS NULL THEN {q(K.UNPARSED_RESPONSE)} END AS error,
+  CASE WHEN doc IS NULL THEN answer END AS raw_content
+FROM (SELECT *, {tolerant("answer")} AS doc
+  FROM (SELECT *, {summary_response("k")} AS answer FROM reviews))""",
+)
 sql(
     "products_without_reviews",
     "reviews",

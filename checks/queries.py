@@ -825,6 +825,14 @@ def constrained_prompt(spark, sf):
     return prompts.constrained_prompt(rows).select("product_id", "prompt", "max_tokens")
 
 
+@query
+def constrained_summary(spark, sf):
+    rows = X.with_summary_responses(X.reviews(spark, sf))
+    return summaries.read_constrained_summary(rows).select(
+        "review_id", "summary", "confidence", "error", "raw_content"
+    )
+
+
 # --- reports ----------------------------------------------------------------
 @query
 def audit_statistics(spark, sf):

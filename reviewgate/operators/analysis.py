@@ -265,7 +265,8 @@ def update_thresholds(
 def risk_summary(
     df: DataFrame, thresholds: dict[str, float] | None = None, analysis: str = "analysis"
 ) -> DataFrame:
-    """Add ``risk`` struct: level, max score, violations, should_approve."""
+    """Add ``risk`` struct: level, max score, violations, should_approve, and the
+    scores and confidences it was taken from."""
     limits = thresholds or K.ANALYZER_THRESHOLDS
     scores = {a: c(analysis)[f"{a}_score"] for a in K.ASPECTS}
     top = F.greatest(*scores.values())
@@ -278,6 +279,9 @@ def risk_summary(
             for a in K.ASPECTS
         ]
     )
+    nothing = F.create_map().cast("map<string,double>")
+    known = "confidence_scores" in df.schema[analysis].dataType.fieldNames()
+    confidence = c(analysis)["confidence_scores"] if known else nothing
     rows = df.withColumns({"_top": top, "_violations": violations})
     risk = F.struct(
         F.when(c("_top") >= 8, "HIGH")
@@ -288,6 +292,8 @@ def risk_summary(
         c("_top").alias("max_score"),
         c("_violations").alias("threshold_violations"),
         (F.size("_violations") == 0).alias("should_approve"),
+        F.struct(*[s.alias(a) for a, s in scores.items()]).alias("scores"),
+        F.coalesce(confidence, nothing).alias("confidence_scores"),
     )
     return rows.withColumn("risk", F.when(c(analysis).isNotNull(), risk)).drop(
         "_top", "_violations"

@@ -182,6 +182,24 @@ def parse_summary(
     )
 
 
+def read_constrained_summary(df: DataFrame, response: str = "summary_response") -> DataFrame:
+    """Read the answer to a ``constrained_prompt`` tolerantly: adds ``summary``,
+    ``confidence``, ``sources_used``, ``excluded_content``, or ``error`` and
+    ``raw_content`` when nothing in the text parses."""
+    rows = df.withColumn("_doc", R.tolerant_json(c(response)))
+    lost = c("_doc").isNull()
+    return rows.withColumns(
+        {
+            "summary": R.as_text(R.member(c("_doc"), "summary")),
+            "confidence": _read_number(R.member(c("_doc"), "confidence")),
+            "sources_used": _read_number(R.member(c("_doc"), "sources_used")).cast("int"),
+            "excluded_content": R.as_strings(R.member(c("_doc"), "excluded_content")),
+            "error": F.when(lost, K.UNPARSED_RESPONSE),
+            "raw_content": F.when(lost, c(response)),
+        }
+    ).drop("_doc")
+
+
 def products_without_reviews(products: DataFrame, reviews: DataFrame) -> DataFrame:
     """Error row for products nobody reviewed. Review keys are reduced to one
     row per product before the join, so a popular product is one row there."""

@@ -24,9 +24,10 @@ def test_risk_summary(spark):
     assert (got[0]["risk_level"], got[0]["max_score"]) == ("MEDIUM", 6.5)
     assert got[0]["threshold_violations"] == ["toxicity (6.5 > 5.0)"]
     assert not got[0]["should_approve"]
-    assert got[1].asDict() == {
+    assert got[1].asDict(recursive=True) == {
         "risk_level": "MINIMAL", "max_score": 2.2, "threshold_violations": [],
-        "should_approve": True,
+        "should_approve": True, "confidence_scores": {},
+        "scores": {"toxicity": 1.5, "bias": 0.8, "hallucination": 2.2},
     }
     # A score at its threshold does not exceed it.
     assert (got[2]["risk_level"], got[2]["threshold_violations"]) == ("HIGH", ["toxicity (8.0 > 5.0)"])

@@ -87,6 +87,20 @@ def test_read_summaries(spark):
     ]
 
 
+def test_constrained_summary(spark):
+    texts = [
+        'Here: {"summary": "Solid.", "confidence": 0.8, "sources_used": 3, '
+        '"excluded_content": ["insult"]} Bye.',
+        "nothing",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, summary_response string")
+    a, b = S.read_constrained_summary(df).orderBy("id").collect()
+    assert (a["summary"], a["confidence"], a["sources_used"], a["excluded_content"]) == (
+        "Solid.", 0.8, 3, ["insult"],
+    )
+    assert (b["error"], b["raw_content"]) == ("Failed to parse model response", "nothing")
+
+
 def test_missing_products_and_system_error(spark):
     products = spark.createDataFrame([("p",), ("new",)], "product_id string")
     got = S.products_without_reviews(products, reviews(spark)).collect()
