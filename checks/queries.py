@@ -785,7 +785,9 @@ def all_rejected_products(spark, sf):
 
 @query
 def summary_prompt(spark, sf):
-    return summaries.summary_prompts(_summary_reviews(spark, sf)).select(
+    reviews = _summary_reviews(spark, sf)
+    hot = lookups.hot_keys(reviews, ["product_id"], share=0.05)
+    return summaries.summary_prompts(reviews, hot).select(
         "product_id", "reviews_included", "prompt"
     )
 
@@ -1053,7 +1055,9 @@ def update_status(spark, sf):
 
 @query
 def latest_n_per_key(spark, sf):
-    rows = lookups.latest_n_per_key(_summary_reviews(spark, sf), "product_id", 5)
+    reviews = _summary_reviews(spark, sf)
+    hot = lookups.hot_keys(reviews, ["product_id"], share=0.05)
+    rows = lookups.latest_n_per_key(reviews, "product_id", 5, hot=hot)
     return rows.select("product_id", "review_id", iso(), "rank")
 
 

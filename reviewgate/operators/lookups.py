@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reviewgate.session import materialise
+
 c = F.col
 
 
@@ -69,33 +73,64 @@ def summaries_by_product(df: DataFrame, product_id: str, limit: int = 10) -> Dat
 
 
 # --- all keys at once -------------------------------------------------------
+def hot_keys(df: DataFrame, keys: list[str], share: float = 1e-4) -> DataFrame:
+    """Keys that hold more than ``share`` of the rows, as a written table.
+
+    There are at most ``1 / share`` of them, whatever the size of ``df``, so the
+    result may be broadcast. Only the key columns are read.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    limit = df.count() * share
+    return materialise(counts.filter(c("_rows") > F.lit(limit)).select(*keys), "hot-keys")
+
+
+def _ranked(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(window)).filter(c("rank") <= n)
+
+
+def _sliced(rows: DataFrame, keys: list[str], order: list[Column], n: int, salts: int):
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return _ranked(salted, [*keys, "_salt"], order, n).drop("rank", "_salt")
+
+
 def top_n_per_key(
-    df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 16
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    n: int,
+    salts: int = 16,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """First ``n`` rows of every key in the given order, with their ``rank``.
 
     Each map task cuts its rows to ``n`` per key before the shuffle (the plan's
     partial WindowGroupLimit). What is left of one hot key is still ``n`` rows
     per map task, so it is first reduced in ``salts`` slices and only then
-    ranked as a whole.
+    ranked as a whole. With ``hot`` (see ``hot_keys``) only those keys take the
+    extra shuffle and the input is scanned once for each kind; without it all
+    keys take it. An absent key is a key like any other.
     """
-    rows = df
-    if salts > 1 and n > 1:
-        rows = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        sliced = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        rows = (
-            rows.withColumn("_part_rank", F.row_number().over(sliced))
-            .filter(c("_part_rank") <= n)
-            .drop("_part_rank", "_salt")
-        )
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(whole)).filter(c("rank") <= n)
+    if salts <= 1 or n <= 1:
+        return _ranked(df, keys, order, n)
+    if hot is None:
+        return _ranked(_sliced(df, keys, order, n, salts), keys, order, n)
+    few = F.broadcast(hot.select(*[c(k).alias(f"_hot_{k}") for k in keys]))
+    same = reduce(and_, [c(k).eqNullSafe(c(f"_hot_{k}")) for k in keys])
+    cold = _ranked(df.join(few, same, "left_anti"), keys, order, n)
+    crowded = _sliced(df.join(few, same, "left_semi"), keys, order, n, salts)
+    return cold.unionByName(_ranked(crowded, keys, order, n))
 
 
 def latest_n_per_key(
-    df: DataFrame, key: str, n: int, time: str = "timestamp", tie: str = "review_id"
+    df: DataFrame,
+    key: str,
+    n: int,
+    time: str = "timestamp",
+    tie: str = "review_id",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    return top_n_per_key(df, [key], [F.desc(time), F.asc(tie)], n)
+    return top_n_per_key(df, [key], [F.desc(time), F.asc(tie)], n, hot=hot)
 
 
 def latest_per_key(

@@ -70,11 +70,14 @@ def rejected_products(stats: DataFrame) -> DataFrame:
     )
 
 
-def review_lines(reviews: DataFrame, n: int = PROMPT_REVIEWS) -> DataFrame:
+def review_lines(
+    reviews: DataFrame, n: int = PROMPT_REVIEWS, hot: DataFrame | None = None
+) -> DataFrame:
     """Text of the first ``n`` passed reviews per product, oldest first.
 
     The rows are cut to ``n`` per product before they are collected, so no group
-    is ever larger than ``n``.
+    is ever larger than ``n``. ``hot`` lists products with very many reviews
+    (see ``hot_keys``); the texts of all others are then shuffled only once.
     """
     rows = reviews.filter(_passed()).select(
         "product_id",
@@ -82,7 +85,8 @@ def review_lines(reviews: DataFrame, n: int = PROMPT_REVIEWS) -> DataFrame:
         "review_id",
         review_line(reviews).alias("line"),
     )
-    first = top_n_per_key(rows, ["product_id"], [F.asc("timestamp"), F.asc("review_id")], n)
+    order = [F.asc("timestamp"), F.asc("review_id")]
+    first = top_n_per_key(rows, ["product_id"], order, n, hot=hot)
     return (
         first.groupBy("product_id")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("_lines"))
@@ -90,11 +94,11 @@ def review_lines(reviews: DataFrame, n: int = PROMPT_REVIEWS) -> DataFrame:
     )
 
 
-def summary_prompts(reviews: DataFrame) -> DataFrame:
+def summary_prompts(reviews: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Statistics and summary prompt per product; the prompt is NULL when no
     review passed or a passed review's rating is no number."""
     rows = product_prompt(
-        product_stats(reviews).join(review_lines(reviews), "product_id", "left")
+        product_stats(reviews).join(review_lines(reviews, hot=hot), "product_id", "left")
     )
     return rows.withColumn("prompt", F.when(c("unreadable_ratings") == 0, c("prompt")))
 

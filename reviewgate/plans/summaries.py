@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewgate.operators.lookups import hot_keys
 from reviewgate.operators.scoring import Scorer, score_prompts
 from reviewgate.operators.summaries import summary_prompts, summary_records
 from reviewgate.session import materialise
@@ -17,7 +18,7 @@ def summarise_products(
 ) -> DataFrame:
     """Prompt per product, one model call per product with passed reviews, and
     the finished records. The called rows are written before they are read on."""
-    prompts = summary_prompts(reviews)
+    prompts = summary_prompts(reviews, hot_keys(reviews, ["product_id"]))
     asked = score_prompts(prompts.filter(c("prompt").isNotNull()), scorer, **options)
     rest = prompts.filter(c("prompt").isNull()).drop("prompt")
     rows = materialise(

@@ -20,6 +20,7 @@ def skewed(spark, n=6000):
     return spark.range(n, numPartitions=7).select(
         k,
         F.when(k % 3 == 0, F.lit("hot"))
+        .when(k % 50 == 1, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("p"), (k % 37).cast("string")))
         .alias("product_id"),
         F.concat(F.lit("r"), k.cast("string")).alias("review_id"),
@@ -31,11 +32,14 @@ def skewed(spark, n=6000):
 
 
 @pytest.mark.parametrize("n", [1, 4, 100])
-@pytest.mark.parametrize("salts", [1, 5])
-def test_top_n_matches_brute_force(spark, n, salts):
+@pytest.mark.parametrize("salts, share", [(1, None), (5, None), (5, 0.1), (5, 0.0), (5, 0.9)])
+def test_top_n_matches_brute_force(spark, n, salts, share):
     df = skewed(spark)
     order = [F.desc("timestamp"), F.asc("review_id")]
-    got = lookups.top_n_per_key(df, ["product_id"], order, n, salts).collect()
+    hot = None if share is None else lookups.hot_keys(df, ["product_id"], share)
+    if share == 0.1:
+        assert [r["product_id"] for r in hot.collect()] == ["hot"]
+    got = lookups.top_n_per_key(df, ["product_id"], order, n, salts, hot).collect()
     groups = {}
     for r in df.collect():
         groups.setdefault(r["product_id"], []).append(r)
@@ -46,6 +50,18 @@ def test_top_n_matches_brute_force(spark, n, salts):
     assert {(r["product_id"], r["review_id"], r["rank"]) for r in got} == want
 
 
+def test_an_absent_key_may_be_hot(spark):
+    df = skewed(spark).withColumn(
+        "product_id", F.when(F.col("product_id") != "hot", F.col("product_id"))
+    )
+    hot = lookups.hot_keys(df, ["product_id"], 0.1)
+    assert [r["product_id"] for r in hot.collect()] == [None]
+    got = lookups.latest_n_per_key(df, "product_id", 7, hot=hot)
+    whole = lookups.latest_n_per_key(df, "product_id", 7)
+    assert got.exceptAll(whole).count() == whole.exceptAll(got).count() == 0
+    assert got.filter("product_id IS NULL").count() == 7
+
+
 def test_top_n_limits_before_the_shuffle(spark):
     plan = plan_of(lookups.latest_n_per_key(skewed(spark), "product_id", 5))
     tree = plan[: plan.index("\n\n\n")]
