@@ -36,7 +36,8 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 #: Bound of what a worker remembers of words; what is forgotten is looked up again.
 WORD_CACHE = 300_000
-MAX_TRAIN_DOCS = 10_000
+GATHERED_WORDS = 200_000
+MAX_TRAIN_DOCS = 6_000
 MAX_WORDS = 60_000
 MAX_GRAMS = 40_000
 
@@ -94,25 +95,36 @@ class LanguageModel:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+def _entries(words: dict[str, Counter]) -> pa.RecordBatch:
+    """Counted words of each language with the n-grams they hold."""
+    langs, names, numbers = [], [], []
+    for lang, counted in words.items():
+        found: Counter = Counter()
+        for word, n in counted.items():
+            names.append(f"w{word}")
+            numbers.append(n)
+            for size in range(1, LONGEST + 1):
+                for gram in grams(word, size):
+                    found[f"{size}{gram}"] += n
+        names += found
+        numbers += found.values()
+        langs += [lang] * (len(names) - len(langs))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(numbers, pa.int64())],
+        ["lang", "entry", "n"],
+    )
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts per language and entry of each batch, to be summed."""
+    """Counts per language and entry, to be summed; sent on when many have gathered."""
+    words: dict[str, Counter] = {}
     for batch in batches:
-        found: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for word, n in Counter(WORD.findall((text or "").lower())).items():
-                found[lang, f"w{word}"] += n
-                for size in range(1, LONGEST + 1):
-                    for gram in grams(word, size):
-                        found[lang, f"{size}{gram}"] += n
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.string()),
-                pa.array([k[1] for k in keys], pa.string()),
-                pa.array(list(found.values()), pa.int64()),
-            ],
-            ["lang", "entry", "n"],
-        )
+            words.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
+        if sum(map(len, words.values())) > GATHERED_WORDS:
+            yield _entries(words)
+            words = {}
+    yield _entries(words)
 
 
 def train(
@@ -146,19 +158,23 @@ def train(
     # Both are at most max_words and max_grams rows; the first, second, ... by count.
     words = by_entry.filter("kind = 'w'").orderBy(F.desc("n"), "entry").limit(max_words)
     others = by_entry.filter("kind <> 'w'").orderBy(F.desc("n"), "entry").limit(max_grams)
-    kept = words.unionByName(others).collect()
+    kept = words.unionByName(others).toArrow().to_pylist()
     weight = Counter({x: 0 for _, x in sizes})
     for (k, x), n in sizes.items():
         weight[x] += n if k == "w" else 0
     languages = sorted(weight, key=lambda x: (-weight[x], x))
     column = {x: i for i, x in enumerate(languages)}
     table = np.zeros((len(kept), len(languages)), dtype=np.float32)
+    # Half a count for languages without the entry.
+    absent = {
+        k: [-np.log(2.0 * sizes.get((k, x), 0) + 2) for x in languages] for k, _ in sizes
+    }
     for i, row in enumerate(kept):
-        # Half a count for languages without the entry.
-        table[i] = [-np.log(2.0 * sizes.get((row.kind, x), 0) + 2) for x in languages]
-        for x in row.by_lang:
-            table[i, column[x.lang]] = np.log((x.n + 0.5) / (sizes[row.kind, x.lang] + 1))
-    return LanguageModel(languages, {row.entry: i for i, row in enumerate(kept)}, table)
+        kind = row["kind"]
+        table[i] = absent[kind]
+        for x in row["by_lang"]:
+            table[i, column[x["lang"]]] = np.log((x["n"] + 0.5) / (sizes[kind, x["lang"]] + 1))
+    return LanguageModel(languages, {row["entry"]: i for i, row in enumerate(kept)}, table)
 
 
 def _predictions(values: list[str | None], model: LanguageModel) -> tuple[list, list]:
