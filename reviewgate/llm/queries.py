@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewgate.llm import bpe, decontaminate, language_id, quality_rules, simhash
+from reviewgate.llm import (
+    bpe,
+    cotraining,
+    decontaminate,
+    html_text,
+    language_id,
+    quality_rules,
+    sharding,
+    simhash,
+    url_filter,
+    warc,
+)
 from reviewgate.llm.frames import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +36,54 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    found = sharding.interleaved(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+ORACLE["op1_sharding"] = r"""
+WITH bytes AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(
+           list_prepend(b::BIGINT, range(8)::BIGINT[]),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), docs AS (
+  SELECT doc_id, coalesce('=' || source, '') AS stratum,
+         strlen(coalesce(text, ''))::BIGINT + 1 AS size,
+         xor(list_reduce(
+           list_prepend(4294967295::BIGINT,
+             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                            lambda x: ('0x' || x)::BIGINT)),
+           lambda c, b: xor(c >> 8, (SELECT t FROM bytes)[(xor(c, b) & 255) + 1])),
+           4294967295)::BIGINT AS text_crc32,
+         ('0x' || substr(md5('shard:0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT
+           AS shuffled
+  FROM documents
+), ranked AS (
+  SELECT *, row_number() OVER (
+              PARTITION BY stratum ORDER BY shuffled, doc_id NULLS FIRST, text_crc32, size) AS rank,
+         count(*) OVER (PARTITION BY stratum) AS of_stratum
+  FROM docs
+), placed AS (
+  SELECT *, row_number() OVER (
+              ORDER BY (2 * rank - 1)::DOUBLE / (2 * of_stratum)::DOUBLE, stratum, rank) - 1 AS at,
+         count(*) OVER () AS n
+  FROM ranked
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (at * 16 // n)::INTEGER AS shard,
+       (at - ((at * 16 // n) * n + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM placed
+"""
+
+
 @query
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn(
@@ -95,6 +154,40 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    found = warc.archived(table(spark, sf, "pages"))
+    return found.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLE["op5_warc"] = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload,
+         strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+         sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), keepers AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS keeper FROM payloads
+), judged AS (
+  SELECT *, payload_bytes >= 1000 AND keeper IS NOT NULL
+            AND page_id IS DISTINCT FROM keeper AS revisit
+  FROM keepers
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN keeper END AS refers_to
+FROM judged
+"""
+
+
+@query
+def op6_cotraining(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return cotraining.score(docs, cotraining.train(docs, table(spark, sf, "labels")))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_texts(
@@ -109,3 +202,32 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+URL_RULES = [
+    url_filter.Rule(url_filter.ALLOW, "org", "/"),
+    url_filter.Rule(url_filter.BLOCK, "example.org", "/es/"),
+    url_filter.Rule(url_filter.BLOCK, "example.org", "/en/1"),
+    url_filter.Rule(url_filter.ALLOW, "com", "/fr/"),
+    url_filter.Rule(url_filter.BLOCK, "com", "/de/"),
+]
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled urls are those that a rule decides."""
+    pages = table(spark, sf, "pages")
+    parts = url_filter.with_parts(pages.select("url"))
+    blocked = url_filter.ruled(URL_RULES)[1] == url_filter.BLOCK
+    weights = url_filter.train(parts.select("url", blocked.alias("blocked")))
+    found = url_filter.judge(pages, URL_RULES, weights)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    found = html_text.extract(pages, html_text.host_paths(pages))
+    return found.select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
