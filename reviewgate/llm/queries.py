@@ -62,11 +62,11 @@ WITH bytes AS (
            list_prepend(4294967295::BIGINT,
              list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
                             lambda x: ('0x' || x)::BIGINT)),
-           lambda c, b: xor(c >> 8, (SELECT t FROM bytes)[(xor(c, b) & 255) + 1])),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])),
            4294967295)::BIGINT AS text_crc32,
          ('0x' || substr(md5('shard:0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT
            AS shuffled
-  FROM documents
+  FROM documents, bytes
 ), ranked AS (
   SELECT *, row_number() OVER (
               PARTITION BY stratum ORDER BY shuffled, doc_id NULLS FIRST, text_crc32, size) AS rank,
@@ -74,12 +74,12 @@ WITH bytes AS (
   FROM docs
 ), placed AS (
   SELECT *, row_number() OVER (
-              ORDER BY (2 * rank - 1)::DOUBLE / (2 * of_stratum)::DOUBLE, stratum, rank) - 1 AS at,
+              ORDER BY (2 * rank - 1)::DOUBLE / (2 * of_stratum)::DOUBLE, stratum, rank) - 1 AS pos,
          count(*) OVER () AS n
   FROM ranked
 )
-SELECT doc_id, size, text_crc32, 'rows' AS law, (at * 16 // n)::INTEGER AS shard,
-       (at - ((at * 16 // n) * n + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 16 // n)::INTEGER AS shard,
+       (pos - ((pos * 16 // n) * n + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM placed
 """
 
