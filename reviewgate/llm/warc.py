@@ -221,11 +221,13 @@ def ranges(rows: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
 def read_records(selected: DataFrame, path: str, payload: bool = True) -> DataFrame:
     """Records of the given index rows: id, url, digest, type, and the payload if wanted."""
     spark = selected.sparkSession
+    number = F.regexp_extract("path", r"archive=(\d+)/part-[^/]*$", 1)
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "part-*")
+        .option("recursiveFileLookup", "true")
         .load(f"{path}/archives")
-        .select(F.col("path").alias("file"), F.col("archive").cast("long").alias("archive"))
+        .select(F.col("path").alias("file"), number.try_cast("long").alias("archive"))
     )
     fields = [
         T.StructField("id", T.StringType()),
