@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "tests")
+    return local_session(os.environ.get("TEST_CORES", "8"), "tests")
 
 
 @pytest.fixture(scope="session")
