@@ -115,6 +115,6 @@ def audit_records(
 
 
 def expire_audit(df: DataFrame, now: Column | None = None) -> DataFrame:
-    """Rows whose expiry lies after ``now``."""
+    """Rows whose expiry lies after ``now``, and rows that have none."""
     moment = F.current_timestamp() if now is None else now
-    return df.filter(c("ttl") > F.unix_timestamp(moment))
+    return df.filter(c("ttl").isNull() | (c("ttl") > F.unix_timestamp(moment)))

@@ -14,6 +14,7 @@ from reviewgate.operators.audit import ttl_stamp
 
 c = F.col
 EXACT_NUMBER = T.DecimalType(38, 18)
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def review_to_item(df: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def search_document(df: DataFrame) -> DataFrame:
 
 def to_json_text(df: DataFrame, name: str = "json") -> DataFrame:
     """Each row as one JSON text."""
-    return df.select(F.to_json(F.struct("*")).alias(name))
+    return df.select(F.to_json(F.struct("*"), JSON_TIMES).alias(name))
 
 
 def from_json_text(

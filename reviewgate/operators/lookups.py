@@ -107,18 +107,24 @@ def top_n_per_key(
     Each map task cuts its rows to ``n`` per key before the shuffle (the plan's
     partial WindowGroupLimit). What is left of one hot key is still ``n`` rows
     per map task, so it is first reduced in ``salts`` slices and only then
-    ranked as a whole. With ``hot`` (see ``hot_keys``) only those keys take the
-    extra shuffle and the input is scanned once for each kind; without it all
-    keys take it. An absent key is a key like any other.
+    ranked as a whole. With ``hot`` (see ``hot_keys``) only those keys are cut
+    into slices and take the extra shuffle; both kinds share one scan and one first
+    shuffle. Without it all keys take it. An absent key is a key like any other.
     """
     if salts <= 1 or n <= 1:
         return _ranked(df, keys, order, n)
     if hot is None:
         return _ranked(_sliced(df, keys, order, n, salts), keys, order, n)
-    few = F.broadcast(hot.select(*[c(k).alias(f"_hot_{k}") for k in keys]))
+    named = hot.select(*[c(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+    few = F.broadcast(named)
     same = reduce(and_, [c(k).eqNullSafe(c(f"_hot_{k}")) for k in keys])
-    cold = _ranked(df.join(few, same, "left_anti"), keys, order, n)
-    crowded = _sliced(df.join(few, same, "left_semi"), keys, order, n, salts)
+    sliced = F.when(c("_hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(0)
+    marked = df.join(few, same, "left").withColumn("_salt", sliced)
+    first = _ranked(marked, [*keys, "_salt"], order, n).drop(
+        "_salt", *[f"_hot_{k}" for k in keys]
+    )
+    cold = first.filter(c("_hot").isNull()).drop("_hot")
+    crowded = first.filter(c("_hot")).drop("_hot", "rank")
     return cold.unionByName(_ranked(crowded, keys, order, n))
 
 
@@ -141,15 +147,24 @@ def latest_per_key(
     return top_n_per_key(df, [key], order, 1).drop("rank")
 
 
-def update_status(reviews: DataFrame, updates: DataFrame) -> DataFrame:
+def update_status(
+    reviews: DataFrame, updates: DataFrame, version: str | None = None
+) -> DataFrame:
     """Set the status of the listed reviews, and their errors when some are given.
 
-    ``updates`` has ``review_id, status, processing_errors`` and one row per id.
+    ``updates`` has ``review_id, status, processing_errors``. Of several updates of one
+    id the one with the highest ``version`` counts, without a version the last by status.
     """
-    given = updates.select(
-        "review_id",
-        c("status").alias("_status"),
-        c("processing_errors").alias("_errors"),
+    update = F.struct("status", "processing_errors")
+    order = F.struct(*([version] if version else []), "status", "processing_errors")
+    given = (
+        updates.groupBy("review_id")
+        .agg(F.max_by(update, order).alias("_update"))
+        .select(
+            "review_id",
+            c("_update.status").alias("_status"),
+            c("_update.processing_errors").alias("_errors"),
+        )
     )
     return (
         reviews.join(given, "review_id", "left")

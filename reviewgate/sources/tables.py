@@ -10,13 +10,18 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewgate.constants import DEAD_LETTER_RETENTION_DAYS
 from reviewgate.operators.lookups import latest_per_key
 from reviewgate.operators.validation import validate_audit
-from reviewgate.session import materialise
+from reviewgate.session import discard, materialise, scratch_path
 
 c = F.col
+#: Times in JSON with all their digits.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+#: Rows of a bucket of a keyed table when it is made.
+BUCKET_ROWS = 100_000
 
 
 def _folder(path: str, run_id: str | int) -> str:
@@ -31,16 +36,18 @@ def write_rows(df: DataFrame, path: str, run_id: str | int) -> DataFrame:
 
 
 def append_audit(df: DataFrame, path: str, run_id: str | int) -> DataFrame:
-    """Append one run's audit rows, in day partitions.
+    """Append one run's audit rows, by day and below it by run.
 
+    A repeated run replaces its own folders; a filter on the day lists that day only.
     ``rebalance`` gathers a day's rows into files of even size and splits a day
     that holds most of them; without it each task would write a file per day.
     """
-    target = _folder(path, run_id)
-    df.hint("rebalance", "event_date").write.mode("overwrite").partitionBy(
-        "event_date"
-    ).parquet(target)
-    return df.sparkSession.read.schema(df.schema).parquet(target)
+    rows = df.withColumn("run", F.lit(str(run_id)))
+    rows.hint("rebalance", "event_date").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("event_date", "run").parquet(path)
+    written = df.sparkSession.read.schema(rows.schema).parquet(path)
+    return written.filter(c("run") == str(run_id)).select(*df.columns)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +72,9 @@ def write_dead_letters(
 ) -> DataFrame:
     """Keep rejected rows as JSON text with their errors and an expiry time."""
     rows = bad.select(
-        F.to_json(F.struct(*[x for x in bad.columns if x != "errors"])).alias("row"),
+        F.to_json(
+            F.struct(*[x for x in bad.columns if x != "errors"]), JSON_TIMES
+        ).alias("row"),
         "errors",
         received_at.alias("received_at"),
         (F.unix_timestamp(received_at) + DEAD_LETTER_RETENTION_DAYS * 86400).alias("ttl"),
@@ -76,36 +85,86 @@ def write_dead_letters(
 def upsert(
     current: DataFrame | None, updates: DataFrame, key: str, version: str
 ) -> DataFrame:
-    """Current rows with the updates put over them; the last version wins."""
-    rows = updates
-    if current is not None:
-        rows = current.unionByName(updates, allowMissingColumns=True)
-    return latest_per_key(rows, key, version)
+    """Current rows with the updates put over them, one row per key.
+
+    Of several updates of a key the highest version counts. It replaces the current
+    row unless that has a higher version; an equal or missing version is replaced.
+    Columns that only the current rows have keep their values, columns that only the
+    updates have are NULL in rows without an update.
+    """
+    tie = [f.name for f in updates.schema if not _holds_map(f.dataType)]
+    last = latest_per_key(
+        updates.withColumn("_tie", F.xxhash64(*tie)), key, version, ["_tie"]
+    ).drop("_tie")
+    if current is None:
+        return last
+    old = current.select(F.struct(*current.columns).alias("_old"))
+    new = last.select(F.struct(*last.columns).alias("_new"))
+    both = old.join(new, c(f"_old.{key}").eqNullSafe(c(f"_new.{key}")), "full_outer")
+    older = c(f"_old.{version}") > c(f"_new.{version}")
+    put = c("_new").isNotNull() & ~F.coalesce(older, F.lit(False))
+    columns = []
+    for name in [*current.columns, *[x for x in last.columns if x not in current.columns]]:
+        before = c(f"_old.{name}") if name in current.columns else F.lit(None)
+        after = c(f"_new.{name}") if name in last.columns else before
+        columns.append(F.when(put, after).otherwise(before).alias(name))
+    return both.select(*columns)
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString()
 
 
 def put_by_key(
-    path: str, updates: DataFrame, key: str, version: str, buckets: int = 64
+    path: str, updates: DataFrame, key: str, version: str, buckets: int | None = None
 ) -> None:
     """Upsert into a stored table, rewriting only the buckets that change.
 
-    The table is laid out by a hash of its key. The buckets the updates touch
-    (at most ``buckets`` numbers) are read, merged and replaced; all others are
-    neither read nor written. The merged rows are written to the scratch folder
-    before the buckets they replace are dropped, so they exist in full at any
-    moment, whatever is lost.
+    The table is laid out by a hash of its key. The number of buckets is set when the
+    table is made, by its size if not given, and kept in its folders' names; later
+    puts read it there. The buckets the updates touch are read, merged and replaced; all
+    others are neither read nor written. The merged rows are written to the scratch folder
+    before the buckets they replace are dropped, so they exist in full at any moment,
+    whatever is lost; after that the scratch copy goes.
     """
     spark = updates.sparkSession
-    bucketed = updates.withColumn("bucket", _bucket(c(key), buckets))
-    if _exists(spark, path):
-        touched = [r[0] for r in bucketed.select("bucket").distinct().limit(buckets).collect()]
-        current = spark.read.schema(bucketed.schema).parquet(path)
-        current = current.filter(c("bucket").isin(touched))
-        merged = materialise(upsert(current, bucketed, key, version), "upsert")
-    else:
-        merged = upsert(None, bucketed, key, version)
-    merged.hint("rebalance", "bucket").write.mode("overwrite").option(
+    stored = _stored_buckets(spark, path)
+    count = stored or buckets or max(64, -(-updates.count() // BUCKET_ROWS))
+    bucketed = updates.withColumns(
+        {"buckets": F.lit(count), "bucket": _bucket(c(key), count)}
+    )
+    if stored is None:
+        _write_buckets(upsert(None, bucketed, key, version), path)
+        return
+    touched = [r[0] for r in bucketed.select("bucket").distinct().collect()]
+    current = read_by_key(spark, path).filter(c("bucket").isin(touched))
+    scratch = scratch_path(spark, "upsert")
+    _write_buckets(
+        materialise(upsert(current, bucketed, key, version), "upsert", scratch), path
+    )
+    discard(spark, scratch)
+
+
+def read_by_key(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table with all columns that any put has given it."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
+def _write_buckets(rows: DataFrame, path: str) -> None:
+    rows.hint("rebalance", "bucket").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy("bucket").parquet(path)
+    ).partitionBy("buckets", "bucket").parquet(path)
+
+
+def _stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """The bucket count in the names of a table's folders; None if there is no table."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        row = spark.read.schema("buckets int").parquet(path).first()
+    except AnalysisException:
+        return None
+    return row[0] if row else None
 
 
 def write_access_path(
@@ -117,38 +176,27 @@ def write_access_path(
     its key hashes to, and within it only the row groups whose range holds the
     key. A bucket with a hot key is split over several files by ``rebalance``.
     """
-    df.withColumn("bucket", _bucket(F.col(key), buckets)).hint(
-        "rebalance", "bucket"
-    ).sortWithinPartitions("bucket", key, F.desc(time)).write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(path)
+    df.withColumns(
+        {"buckets": F.lit(buckets), "bucket": _bucket(F.col(key), buckets)}
+    ).hint("rebalance", "bucket").sortWithinPartitions(
+        "buckets", "bucket", key, F.desc(time)
+    ).write.mode("overwrite").partitionBy("buckets", "bucket").parquet(path)
 
 
-def read_access_path(
-    spark: SparkSession, path: str, key: str, value: str, buckets: int = 256
-) -> DataFrame:
+def read_access_path(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """Rows of one key. The bucket is a constant, so other folders are pruned."""
     rows = spark.read.parquet(path)
+    buckets = _stored_buckets(spark, path) or 1
     found = rows.filter(
         (c("bucket") == _bucket(F.lit(value), buckets)) & (c(key) == value)
     )
-    return found.drop("bucket")
+    return found.drop("buckets", "bucket")
 
 
 def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.schema("bucket int").parquet(path)
-        return True
-    except AnalysisException:
-        return False
-
-
 def write_report(report: DataFrame, root: str) -> DataFrame:
     """Write a built report as ``reports/{type}/{id}.json`` and describe it.
 
@@ -177,3 +225,35 @@ def rewrite_unexpired(audit: DataFrame, target: str, now: Column) -> DataFrame:
         "event_date"
     ).parquet(target)
     return audit.sparkSession.read.schema(kept.schema).parquet(target)
+
+
+def drop_expired(spark: SparkSession, path: str, now: Column) -> None:
+    """Remove expired rows from a stored log, day by day.
+
+    Only the expiry column is read to find the days. A day of which every row has expired
+    loses its folder, a day of which some have is rewritten, all others are left alone.
+    """
+    from reviewgate.operators.audit import expire_audit
+
+    log = read_audit(spark, path)
+    gone = c("ttl") <= F.unix_timestamp(now)
+    days = (
+        log.groupBy("event_date")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(gone).alias("gone"))
+        .filter("gone > 0")
+        .collect()
+    )
+    mixed = [r["event_date"] for r in days if r["gone"] < r["n"]]
+    scratch = scratch_path(spark, "unexpired")
+    kept = None
+    if mixed:
+        kept = materialise(
+            expire_audit(log.filter(c("event_date").isin(mixed)), now), "unexpired", scratch
+        )
+    for row in days:
+        discard(spark, f"{path}/event_date={row['event_date']}")
+    if kept is not None:
+        kept.hint("rebalance", "event_date").write.mode("append").partitionBy(
+            "event_date", "run"
+        ).parquet(path)
+        discard(spark, scratch)

@@ -82,34 +82,100 @@ def test_put_by_key_last_wins_and_leaves_other_buckets(spark, tmp_path):
         [(f"r{i}", "PENDING", 1) for i in range(200)] + [("r0", "OLD", 0)], schema
     )
     tables.put_by_key(path, first, "review_id", "version", buckets=16)
+    # The count is the table's: a later put may ask for another or for none.
+    inner = os.path.join(path, "buckets=16")
     before = {
-        d: {f: os.stat(os.path.join(path, d, f)).st_mtime_ns for f in os.listdir(os.path.join(path, d))}
-        for d in os.listdir(path)
+        d: {f: os.stat(os.path.join(inner, d, f)).st_mtime_ns for f in os.listdir(os.path.join(inner, d))}
+        for d in os.listdir(inner)
         if d.startswith("bucket=")
     }
     second = spark.createDataFrame(
         [("r3", "APPROVED", 2), ("r3", "REJECTED", 3), ("r4", "LATE", 0), ("new", "PENDING", 1)],
         schema,
     )
-    tables.put_by_key(path, second, "review_id", "version", buckets=16)
+    tables.put_by_key(path, second, "review_id", "version", buckets=8)
+    assert os.listdir(path).count("buckets=8") == 0
     got = {r["review_id"]: r["status"] for r in spark.read.parquet(path).collect()}
     assert len(got) == spark.read.parquet(path).count() == 201
     assert (got["r3"], got["r4"], got["r0"], got["new"]) == (
         "REJECTED", "PENDING", "PENDING", "PENDING",
     )
     after = {
-        d: {f: os.stat(os.path.join(path, d, f)).st_mtime_ns for f in os.listdir(os.path.join(path, d))}
+        d: {f: os.stat(os.path.join(inner, d, f)).st_mtime_ns for f in os.listdir(os.path.join(inner, d))}
         for d in before
     }
     assert sum(before[d] != after[d] for d in before) <= 3
-    tables.put_by_key(path, second, "review_id", "version", buckets=16)
+    tables.put_by_key(path, second, "review_id", "version")
     assert spark.read.parquet(path).count() == 201
 
 
+def test_puts_of_other_columns_and_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.put_by_key(
+        path,
+        spark.createDataFrame(
+            [("a", 5, "old", "kept"), ("b", 5, "old", "kept"), ("c", None, "old", "kept")],
+            "id string, v int, status string, note string",
+        ),
+        "id",
+        "v",
+    )
+    updates = [("a", 5, "same", 1), ("b", 4, "late", 2), ("c", 1, "new", 3), ("d", None, "x", 4)]
+    new = spark.createDataFrame(updates, "id string, v int, status string, extra int")
+    tables.put_by_key(path, new, "id", "v")
+    got = {r["id"]: (r["v"], r["status"], r["note"], r["extra"])
+           for r in tables.read_by_key(spark, path).collect()}
+    assert got == {
+        "a": (5, "same", "kept", 1),
+        "b": (5, "old", "kept", None),
+        "c": (1, "new", "kept", 3),
+        "d": (None, "x", None, 4),
+    }
+
+
+def test_puts_leave_no_scratch(spark, tmp_path):
+    from reviewgate.session import scratch_root
+
+    def copies():
+        folder = os.path.join(scratch_root(spark).removeprefix("file://"), "reviewgate")
+        names = os.listdir(folder) if os.path.isdir(folder) else []
+        return {x for x in names if x.startswith(("upsert-", "unexpired-"))}
+
+    before = copies()
+    rows = spark.createDataFrame([("a", 1)], "id string, v int")
+    for _ in range(2):
+        tables.put_by_key(str(tmp_path / "t"), rows, "id", "v")
+    assert copies() == before
+
+
+def test_expired_days_are_dropped(spark, tmp_path):
+    path = str(tmp_path / "log")
+    day = 86400
+    rows = spark.range(40).select(
+        F.col("id"),
+        F.when(F.col("id") % 10 != 7, F.col("id") * 3600 * 6 + day).alias("ttl"),
+        F.date_add(F.lit("1970-01-01"), (F.col("id") / 4).cast("int")).alias("event_date"),
+    )
+    tables.append_audit(rows, path, "1")
+    kept = {r["id"] for r in rows.collect() if r["ttl"] is None or r["ttl"] > 6 * day + 3600}
+    untouched = os.listdir(f"{path}/event_date=1970-01-09/run=1")
+    tables.drop_expired(spark, path, F.timestamp_seconds(F.lit(6 * day + 3600)))
+    assert {r["id"] for r in tables.read_audit(spark, path).collect()} == kept
+    assert not os.path.exists(f"{path}/event_date=1970-01-01")
+    assert os.listdir(f"{path}/event_date=1970-01-09/run=1") == untouched
+
+
+def test_json_keeps_microseconds(spark):
+    moment = datetime(2024, 1, 2, 3, 4, 5, 123456)
+    df = spark.createDataFrame([(moment,)], "timestamp timestamp")
+    assert "05.123456" in items.to_json_text(df).first()[0]
+    assert items.from_json_text(items.to_json_text(df), df.schema).first()[0] == moment
+
+
 def test_access_path_reads_one_bucket(spark, tmp_path):
     path = str(tmp_path / "by-product")
     tables.write_access_path(skewed(spark), path, "product_id", buckets=8)
-    rows = tables.read_access_path(spark, path, "product_id", "hot", buckets=8)
+    rows = tables.read_access_path(spark, path, "product_id", "hot")
     assert rows.count() == 2000
     plan = plan_of(rows)
     assert "PartitionFilters: [isnotnull(bucket" in plan
@@ -125,8 +191,9 @@ def test_write_audit_is_partitioned_and_repeatable(spark, tmp_path):
         tables.append_audit(df, path, "7")
     log = tables.read_audit(spark, path)
     assert log.count() == 6000
-    days = [d for d in os.listdir(f"{path}/run=7") if d.startswith("event_date=")]
+    days = [d for d in os.listdir(path) if d.startswith("event_date=")]
     assert days == ["event_date=2024-01-01"]
+    assert os.listdir(f"{path}/{days[0]}") == ["run=7"]
     plan = plan_of(log.filter(F.col("event_date") == "2024-01-02"))
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert "RebalancePartitions" in df.hint("rebalance", "event_date")._jdf.queryExecution().optimizedPlan().toString()
@@ -138,7 +205,7 @@ def test_update_status(spark):
         "review_id string, status string, processing_errors array<string>",
     )
     updates = spark.createDataFrame(
-        [("a", "REJECTED", ["bad"]), ("b", "APPROVED", [])],
+        [("a", "PENDING", ["no"]), ("a", "REJECTED", ["bad"]), ("b", "APPROVED", [])],
         "review_id string, status string, processing_errors array<string>",
     )
     got = lookups.update_status(reviews, updates).orderBy("review_id").collect()
@@ -218,3 +285,14 @@ def test_dead_letters_and_batch_counts(spark, tmp_path):
     }
     two_weeks = int((START + timedelta(days=14) - datetime(1970, 1, 1)).total_seconds())
     assert {r["ttl"] for r in dead} == {two_weeks}
+
+
+def test_hot_and_other_keys_share_one_scan(spark, tmp_path):
+    src = str(tmp_path / "rows")
+    skewed(spark).write.parquet(src)
+    df = spark.read.parquet(src)
+    hot = lookups.hot_keys(df, ["product_id"], 0.1)
+    out = lookups.latest_n_per_key(df, "product_id", 5, hot=hot)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final
