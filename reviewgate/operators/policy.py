@@ -7,6 +7,8 @@ when it is built, and that bound is what allows its tables to be broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -237,7 +239,7 @@ def content_policy(
                 F.concat(F.lit(f"Category {a} limit exceeded for "), c("product_category")),
             )
         )
-    known = c("toxicity_limit").isNotNull()
+    known = _defined()
     rows = rows.withColumns(
         {
             "_reasons": listed(*[(cond, reason) for cond, reason, _ in checks]),
@@ -267,7 +269,9 @@ def content_policy(
         ).alias("metadata"),
     )
     helpers = [f"_{a}" for a in K.ASPECTS] + ["_reasons", "_violations"]
-    limits = [x for x in rows.columns if x.endswith("_limit") or "_max_" in x]
+    limits = [f"{a}_limit" for a in K.ASPECTS]
+    limits += [f"region_max_{a}" for a in ("toxicity", "bias")]
+    limits += [f"category_max_{a}" for a in K.ASPECTS]
     return rows.withColumns(
         {
             "policy_result": F.when(known, result),
@@ -276,16 +280,31 @@ def content_policy(
     ).drop(*helpers, *limits)
 
 
+def _defined() -> Column:
+    """Whether a mode has all of its limits; one without is not known."""
+    return reduce(and_, [c(f"{a}_limit").isNotNull() for a in K.ASPECTS])
+
+
 def unknown_modes(df: DataFrame, policies: PolicySet | None = None) -> DataFrame:
-    """Rows whose mode the policy set does not define."""
-    modes = (policies or PolicySet()).modes(df.sparkSession).select("compliance_mode")
+    """Rows whose mode the policy set does not define, or not for every score."""
+    modes = (policies or PolicySet()).modes(df.sparkSession)
+    modes = modes.filter(_defined()).select("compliance_mode")
     return df.join(F.broadcast(modes), "compliance_mode", "left_anti").withColumn(
         "policy_error", F.lit(K.UNKNOWN_MODE)
     )
 
 
 def summary_policy(df: DataFrame) -> DataFrame:
-    """Deny a summary that left out over half of the reviews or is of low quality."""
+    """Deny a summary that left out over half of the reviews or is of low quality.
+
+    The metadata carry the region, category and mode of rows that have them.
+    """
+    context = F.struct(
+        *[
+            (c(x) if x in df.columns else F.lit(None).cast("string")).alias(x)
+            for x in ("region", "product_category", "compliance_mode")
+        ]
+    )
     excluded = F.coalesce(c("reviews_excluded"), F.lit(0)).cast("double")
     total = F.coalesce(c("total_reviews"), F.lit(1)).cast("double")
     rows = df.withColumns(
@@ -337,7 +356,9 @@ def summary_policy(df: DataFrame) -> DataFrame:
             .otherwise(K.SUMMARY_MEETS)
             .alias("explanation"),
             F.struct(
-                c("_rate").alias("exclusion_rate"), c("_quality").alias("quality_score")
+                c("_rate").alias("exclusion_rate"),
+                c("_quality").alias("quality_score"),
+                context.alias("context"),
             ).alias("metadata"),
         ),
     ).drop("_rate", "_quality", "_reasons", "_violations")
