@@ -7,6 +7,7 @@ a batch table and on a stream.
 
 from __future__ import annotations
 
+import logging
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,10 @@ from reviewgate.operators.routing import is_approved, responses
 from reviewgate.operators.scoring import Scorer, model_cost, score_distinct, score_prompts
 from reviewgate.operators.summaries import parse_summary, single_review_prompt
 from reviewgate.operators.validation import input_defaults, split, validate_api
+from reviewgate.session import materialise
 from reviewgate.sources.tables import append_audit, write_dead_letters, write_rows
 
+log = logging.getLogger(__name__)
 c = F.col
 INPUT_FIELDS = [
     "review_id",
@@ -126,6 +129,28 @@ def summarise_approved(decided: DataFrame, scorer: Scorer, **options) -> DataFra
     )
 
 
+def log_decisions(
+    decided: DataFrame, out: str, run_id: str | int, moment: Column
+) -> DataFrame | None:
+    """Write the audit rows of a run. If that fails the flow goes on: the decisions are set
+    aside for a later audit, and there is no log to return."""
+    try:
+        return append_audit(
+            audit_records(decided, event_time=c("timestamp"), suffix_chars=32),
+            f"{out}/audit",
+            run_id,
+        )
+    except Exception:
+        log.exception("audit of run %s failed", run_id)
+        write_dead_letters(
+            decided.withColumn("errors", F.array(F.lit("audit"))),
+            f"{out}/audit_dead_letters",
+            run_id,
+            moment,
+        )
+        return None
+
+
 def run_moderation(
     submissions: DataFrame,
     scorer: Scorer,
@@ -144,14 +169,14 @@ def run_moderation(
     neither a lost executor nor the second sink repeats a model call. With a
     ``summary_scorer`` every approved review also gets a summary of its own.
     """
-    spark = submissions.sparkSession
     moment = (
         F.current_timestamp()
         if entered_at is None
         else F.lit(entered_at.isoformat(sep=" ")).cast("timestamp")
     )
-    good, bad = split(validate_api(submissions))
-    write_dead_letters(bad, f"{out}/dead_letters", run_id, moment)
+    # Written once: the refused rows, the distinct texts and the scored rows read it.
+    good, bad = split(materialise(validate_api(submissions), "checked"))
+    dead = write_dead_letters(bad, f"{out}/dead_letters", run_id, moment)
     prepared = prepare_input(good, moment, run_id)
     scored = scored_reviews(prepared, scorer, **scorer_options)
     costed = model_cost(scored, K.MODEL_ID, K.PROMPT_VERSION, K.INFERENCE_CONFIG)
@@ -165,14 +190,9 @@ def run_moderation(
             summarise_approved(decided, summary_scorer), f"{out}/summarised", run_id
         )
     answered = write_rows(responses(decided), f"{out}/responses", run_id)
-    log = append_audit(
-        audit_records(decided, event_time=c("timestamp"), suffix_chars=32),
-        f"{out}/audit",
-        run_id,
-    )
     return {
         "decisions": decided,
         "responses": answered,
-        "audit": log,
-        "dead_letters": spark.read.parquet(f"{out}/dead_letters"),
+        "audit": log_decisions(decided, out, run_id, moment),
+        "dead_letters": dead,
     }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable
 from datetime import datetime
 
@@ -11,16 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reviewgate import constants as K
-from reviewgate.operators.audit import audit_records
 from reviewgate.operators.policy import PolicySet
 from reviewgate.operators.routing import responses
 from reviewgate.operators.scoring import Scorer, model_cost
 from reviewgate.operators.validation import split, validate_api
-from reviewgate.plans.moderation import decide, prepare_input, scored_reviews
-from reviewgate.sources.tables import append_audit, write_dead_letters, write_rows
-
-log = logging.getLogger(__name__)
-c = F.col
+from reviewgate.plans.moderation import (
+    decide,
+    log_decisions,
+    prepare_input,
+    scored_reviews,
+    summarise_approved,
+)
+from reviewgate.sources.tables import put_by_key, write_dead_letters, write_rows
 
 
 def scoring_decider(
@@ -28,16 +29,21 @@ def scoring_decider(
     run_id: str,
     entered_at: datetime | None = None,
     policies: PolicySet | None = None,
+    summary_scorer: Scorer | None = None,
     **options,
 ) -> Callable[[DataFrame], DataFrame]:
     """Turn submissions into decided rows by calling the scorer per row, which
-    needs no shuffle and keeps no state."""
+    needs no shuffle and keeps no state. With a ``summary_scorer`` every approved
+    review also gets a summary of its own."""
 
     def decide_rows(rows: DataFrame) -> DataFrame:
         prepared = prepare_input(rows, _moment(entered_at), run_id)
         scored = scored_reviews(prepared, scorer, distinct=False, **options)
         costed = model_cost(scored, K.MODEL_ID, K.PROMPT_VERSION, K.INFERENCE_CONFIG)
-        return decide(costed, call_error="call_error", policies=policies)
+        decided = decide(costed, call_error="call_error", policies=policies)
+        if summary_scorer is None:
+            return decided
+        return summarise_approved(decided, summary_scorer, **options)
 
     return decide_rows
 
@@ -58,24 +64,16 @@ def write_batch(
     """Write one micro-batch. Every sink folder is named by the batch id and
     overwritten, so a batch that is run again leaves the same rows."""
     moment = _moment(received_at)
-    good, bad = split(validate_api(batch))
-    write_dead_letters(bad, f"{out}/dead_letters", batch_id, moment)
-    decided = write_rows(decide_rows(good), f"{out}/decisions", batch_id)
-    write_rows(responses(decided), f"{out}/responses", batch_id)
+    # Both sides of the split read the batch once; it is small and may be read again.
+    checked = validate_api(batch).persist()
     try:
-        append_audit(
-            audit_records(decided, event_time=c("timestamp"), suffix_chars=32),
-            f"{out}/audit",
-            batch_id,
-        )
-    except Exception:  # the flow goes on; the batch is kept for a later audit
-        log.exception("audit of batch %s failed", batch_id)
-        write_dead_letters(
-            decided.withColumn("errors", F.array(F.lit("audit"))),
-            f"{out}/audit_dead_letters",
-            batch_id,
-            moment,
-        )
+        good, bad = split(checked)
+        write_dead_letters(bad, f"{out}/dead_letters", batch_id, moment)
+        decided = write_rows(decide_rows(good), f"{out}/decisions", batch_id)
+    finally:
+        checked.unpersist()
+    write_rows(responses(decided), f"{out}/responses", batch_id)
+    log_decisions(decided, out, batch_id, moment)
 
 
 def start_moderation(
@@ -84,11 +82,14 @@ def start_moderation(
     checkpoint: str,
     decide_rows: Callable[[DataFrame], DataFrame] = decide,
     received_at: datetime | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Moderate everything that has arrived, then stop (``availableNow``).
+    """Moderate reviews as they arrive.
 
-    ``decide_rows`` turns valid submissions into decided rows; it may call a
-    scorer, whose result is written before any other sink reads it.
+    By default everything there is, then stop; with ``trigger``, such as
+    ``{"processingTime": "30 seconds"}``, go on until stopped. ``decide_rows`` turns
+    valid submissions into decided rows; it may call a scorer, whose result is
+    written before any other sink reads it.
     """
     return (
         reviews.writeStream.foreachBatch(
@@ -97,7 +98,29 @@ def start_moderation(
             )
         )
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def start_upsert(
+    rows: DataFrame,
+    out: str,
+    checkpoint: str,
+    key: str = "review_id",
+    version: str = "timestamp",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Keep the last delivery of every key in a stored table, whenever it arrives.
+
+    A batch that is run again puts the same rows, so nothing is counted twice.
+    """
+    return (
+        rows.writeStream.foreachBatch(
+            lambda batch, _: put_by_key(out, batch, key, version)
+        )
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -2,14 +2,13 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from checks import fixtures as X
 from reviewgate.operators import lookups, metrics
 from reviewgate.operators.routing import responses
 from reviewgate.operators.scoring import mock_scorer
 from reviewgate.operators.validation import split, validate_api
 from reviewgate.sources import reviews as review_source
+from reviewgate.plans import moderation as P
 from reviewgate.streaming import moderation as M
 from reviewgate.streaming import statistics as W
 
@@ -63,7 +62,7 @@ def test_a_failed_audit_does_not_stop_the_flow(spark, sf, tmp_path, monkeypatch)
     def broken(*args, **kwargs):
         raise OSError("log store is down")
 
-    monkeypatch.setattr(M, "append_audit", broken)
+    monkeypatch.setattr(P, "append_audit", broken)
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     write_submissions(spark, sf, src, 1)
     M.write_batch(review_source.read_json(spark, src), 0, out, decide_mock, NOW)
@@ -78,14 +77,29 @@ def audit_files(spark, sf, path):
     return spark.read.parquet(path)
 
 
-def test_running_statistics_equal_batch_on_closed_windows(spark, sf, tmp_path):
+def test_a_failed_audit_does_not_stop_the_batch_job(spark, sf, tmp_path, monkeypatch):
+    def broken(*args, **kwargs):
+        raise OSError("log store is down")
+
+    monkeypatch.setattr(P, "append_audit", broken)
+    out = str(tmp_path / "out")
+    rows = X.submissions(spark, sf).drop("timestamp", "language", "k")
+    done = P.run_moderation(rows, mock_scorer, out, run_id="r", entered_at=NOW)
+    assert done["audit"] is None
+    answered = done["responses"].count()
+    assert answered == spark.read.parquet(f"{out}/audit_dead_letters").count() > 0
+
+
+def test_running_statistics_equal_batch_on_all_windows(spark, sf, tmp_path):
     src, out = str(tmp_path / "audit"), str(tmp_path / "out")
     log = audit_files(spark, sf, src)
     stream = spark.readStream.schema(log.schema).parquet(src)
-    W.start_audit_statistics(stream, out, str(tmp_path / "cp"), "30 minutes").awaitTermination()
-    last = log.agg(F.max("timestamp")).first()[0] - timedelta(minutes=10)
-    want = W.windowed_statistics(log, "30 minutes").filter(F.col("window_end") <= F.lit(last))
-    got = spark.read.parquet(out)
+    for _ in range(2):  # the second start finds nothing new
+        W.start_audit_statistics(
+            stream, out, str(tmp_path / "cp"), "30 minutes"
+        ).awaitTermination()
+    want = W.windowed_statistics(log, "30 minutes")
+    got = W.read_statistics(spark, out)
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
 
