@@ -1,7 +1,8 @@
 """Calling a model over a table of prompts.
 
-A scorer is any picklable callable that takes a prompt text and returns the
-response text, or a tuple ``(text, input tokens, output tokens)``. It runs inside ``mapInPandas`` with a bounded number of calls in flight
+A scorer is any picklable callable that takes a prompt text (and the call options, if
+any are given) and returns the response text, or a tuple ``(text, input tokens, output
+tokens)``. It runs inside ``mapInArrow`` with a bounded number of calls in flight
 per task, so the partition count of the stage bounds the load on the service.
 """
 
@@ -13,11 +14,12 @@ import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reviewgate import constants as K
 from reviewgate.functions.collections import text_map
@@ -36,7 +38,13 @@ class Throttled(Exception):
     """Raised by a scorer when the service asks to slow down; it is retried."""
 
 
-def _call(scorer: Scorer, prompt: str | None, retries: int, base_delay: float):
+def _call(
+    scorer: Scorer,
+    prompt: str | None,
+    retries: int,
+    base_delay: float,
+    options: dict | None = None,
+):
     """(response, error, attempts, ms, input tokens, output tokens) of one call.
     An absent prompt is not called."""
     if prompt is None:
@@ -46,7 +54,7 @@ def _call(scorer: Scorer, prompt: str | None, retries: int, base_delay: float):
     while True:
         attempts += 1
         try:
-            response = scorer(prompt)
+            response = scorer(prompt, **(options or {}))
             break
         except Throttled as slow:
             if attempts > retries:
@@ -67,54 +75,66 @@ def score_prompts(
     scorer: Scorer,
     prompts: dict[str, str] | None = None,
     *,
+    templates: dict[str, str] | None = None,
+    text: str = "content",
     in_flight: int = 5,
     retries: int = 3,
     base_delay: float = 1.0,
     partitions: int | None = None,
+    call_options: dict | None = None,
 ) -> DataFrame:
-    """Call the scorer on every prompt column of every row.
+    """Call the scorer on every prompt of every row.
 
     ``prompts`` maps a prompt column to the struct column that receives
     ``response_text, call_error, attempts, elapsed_ms, input_tokens,
-    output_tokens``. Several prompt columns are scored in one pass over the rows;
-    a NULL prompt is not called. There is no shuffle unless
+    output_tokens``. Instead, ``templates`` maps such a column to a prompt text whose
+    ``{content}`` is filled from the ``text`` column where the call is made, so the text
+    goes there once however many prompts there are. All prompts are scored in one
+    pass over the rows; a NULL prompt is not called. The other columns pass through as
+    they are. ``call_options`` go to every call. There is no shuffle unless
     ``partitions`` is given: it fixes the number of tasks, and with
     ``in_flight`` the most calls the service can ever see at once.
     """
-    prompts = prompts or {"prompt": "scored"}
     if partitions:
         df = df.repartition(partitions)
-    kept = [f for f in df.schema if f.name not in prompts]
-    schema = T.StructType(
-        kept + [T.StructField(out, SCORER_RESULT) for out in prompts.values()]
-    )
-    kept_names = [f.name for f in kept]
-    targets = list(prompts.items())
-    fields = SCORER_RESULT.fieldNames()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    if templates is None:
+        jobs = [(x, None, out) for x, out in (prompts or {"prompt": "scored"}).items()]
+        kept = [f for f in df.schema if f.name not in {x for x, _, _ in jobs}]
+    else:
+        jobs = [(text, tuple(t.split("{content}", 1)), out) for out, t in templates.items()]
+        kept = list(df.schema)
+    schema = T.StructType(kept + [T.StructField(out, SCORER_RESULT) for _, _, out in jobs])
+    kept_at = [df.columns.index(f.name) for f in kept]
+    work = [(df.columns.index(x), ends) for x, ends, _ in jobs]
+    fields, kind = SCORER_RESULT.fieldNames(), to_arrow_type(SCORER_RESULT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(max_workers=in_flight) as pool:
             for batch in batches:
-                out = batch[kept_names].copy()
-                for source, target in targets:
+                out = [batch.column(i) for i in kept_at]
+                for at, ends in work:
+                    texts = batch.column(at).to_pylist()
+                    if ends is not None:
+                        texts = [None if x is None else x.join(ends) for x in texts]
                     results = pool.map(
-                        lambda text: _call(scorer, text, retries, base_delay),
-                        batch[source],
+                        lambda x: _call(scorer, x, retries, base_delay, call_options), texts
                     )
-                    out[target] = [dict(zip(fields, row)) for row in results]
-                yield out
+                    out.append(pa.array([dict(zip(fields, row)) for row in results], kind))
+                yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def score_distinct(
     df: DataFrame,
     scorer: Scorer,
-    build_prompt: Callable[[DataFrame], DataFrame],
+    build_prompt: Callable[[DataFrame], DataFrame] | None,
     inputs: list[str],
     *,
     hot_share: float = 1e-4,
     path: str | None = None,
+    templates: dict[str, str] | None = None,
+    salts: int = 16,
     **options,
 ) -> DataFrame:
     """Score each distinct input once and give the result to every row.
@@ -122,30 +142,40 @@ def score_distinct(
     The distinct inputs are aggregated map-side first, so a text that fills a
     third of the table costs one call and one shuffled row per task. Responses
     are written before they are joined back: a model call is never repeated by
-    a recomputed stage. Joining back, the texts that hold more than
-    ``hot_share`` of the rows are broadcast; there can be at most
-    ``1 / hot_share`` of those, however large the table is. The others are
-    joined on their hash, where adaptive execution splits what is still uneven.
-    ``shared_by`` tells how many rows a call served.
+    a recomputed stage. They are joined back on the inputs' hash, once. Inputs that hold
+    more than ``hot_share`` of the rows, of which there are at most ``1 / hot_share``
+    however large the table is, are dealt over ``salts`` slices; only their hashes
+    are broadcast. ``shared_by`` tells how many rows a call served. With ``templates``
+    (see ``score_prompts``) the one input is filled into several prompts.
     """
     # Two hashes: 64 bits alone would collide on a table of billions of texts.
     plain = [F.coalesce(c(x).cast("string"), F.lit("\x00")) for x in inputs]
     keys = {"_h": F.xxhash64(*inputs), "_m": F.md5(F.concat_ws("\x1f", *plain))}
-    distinct = df.groupBy(*inputs).agg(F.count(F.lit(1)).alias("_rows"))
-    prompted = build_prompt(distinct.withColumns(keys)).select("_h", "_m", "_rows", "prompt")
-    keyed = df.withColumns(keys)
+    on = ["_h", "_m"]
+    distinct = df.groupBy(*inputs).agg(F.count(F.lit(1)).alias("_rows")).withColumns(keys)
+    if templates is None:
+        asked = build_prompt(distinct).select(*on, "_rows", "prompt")
+        called = score_prompts(asked, scorer, **options)
+        results = ["scored"]
+    else:
+        asked = distinct.select(*on, "_rows", *inputs)
+        called = score_prompts(asked, scorer, templates=templates, text=inputs[0], **options)
+        results = list(templates)
     scored = materialise(
-        score_prompts(prompted, scorer, **options), "scored-prompts", path
+        called.select(*on, "_rows", *results), "scored-prompts", path
     )
-    total = scored.agg(F.sum("_rows")).first()[0] or 0
-    result = ["_h", "_m", "scored", c("_rows").alias("shared_by")]
-    hot = scored.filter(c("_rows") > F.lit(total * hot_share)).select(*result)
-    cold = scored.filter(c("_rows") <= F.lit(total * hot_share)).select(*result)
-    hot_keys = hot.select("_h", "_m")
-    on = ["_h", "_m"]
-    from_hot = keyed.join(F.broadcast(hot), on)
-    from_cold = keyed.join(F.broadcast(hot_keys), on, "left_anti").join(cold, on)
-    return from_hot.unionByName(from_cold).drop("_h", "_m")
+    limit = F.lit((scored.agg(F.sum("_rows")).first()[0] or 0) * hot_share)
+    hot = scored.filter(c("_rows") > limit).select(*on, F.lit(True).alias("_hot"))
+    slices = F.when(c("_rows") > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    answers = scored.select(
+        *on, F.explode(slices).alias("_salt"), *results, c("_rows").alias("shared_by")
+    )
+    salt = F.when(c("_hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(0)
+    marked = df.withColumns(keys).join(F.broadcast(hot), on, "left")
+    keyed = marked.withColumn("_salt", salt).drop("_hot")
+    return keyed.join(answers, [*on, "_salt"]).drop(*on, "_salt")
 
 
 def mock_scores(df: DataFrame) -> DataFrame:

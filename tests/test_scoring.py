@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from reviewgate.operators.scoring import (
     Throttled,
     _call,
@@ -147,3 +148,41 @@ def test_costs_of_shared_calls_add_up(spark):
 def test_partitions_bound_the_tasks(spark):
     df = analysis_prompt(reviews(spark, 30).fillna("", ["content"]))
     assert score_prompts(df, mock_scorer, partitions=3).rdd.getNumPartitions() == 3
+
+
+def test_other_columns_pass_unchanged(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame(
+        [(1, big, [1.5, None], "a"), (2, None, None, "b")],
+        "id int, n long, xs array<double>, prompt string",
+    )
+    got = {r["id"]: (r["n"], r["xs"]) for r in score_prompts(df, mock_scorer).collect()}
+    assert got == {1: (big, [1.5, None]), 2: (None, None)}
+
+
+def test_call_options_reach_the_scorer(spark):
+    def model(prompt, max_tokens):
+        return f"{prompt} {max_tokens}"
+
+    df = spark.createDataFrame([("a",)], "prompt string")
+    row = score_prompts(df, model, call_options={"max_tokens": 7}).first()
+    assert row["scored"]["response_text"] == "a 7"
+
+
+def test_three_prompts_are_called_once_per_text(spark, tmp_path):
+    from reviewgate.plans.analysis import score_aspects
+
+    df = reviews(spark, 90).fillna("", ["content"])
+    rows = score_aspects(df, counting_scorer(str(tmp_path)), base_delay=0.0).collect()
+    assert len(rows) == 90
+    assert len(os.listdir(tmp_path)) == 3 * df.select("content").distinct().count()
+
+
+def test_scored_rows_are_read_once(spark, tmp_path):
+    src = str(tmp_path / "reviews")
+    reviews(spark, 300).fillna("", ["content"]).write.parquet(src)
+    out = score_distinct(
+        spark.read.parquet(src), _pure(), analysis_prompt,
+        ["content", "product_category", "rating"], base_delay=0.0,
+    )
+    assert plan_of(out).count(f"[file:{src}]") == 1
