@@ -20,6 +20,12 @@ def in_score_range(col: Column) -> Column:
     return F.coalesce(col.between(0, 10), F.lit(False))
 
 
+def python_float(text: Column) -> Column:
+    """Text to double; type suffixes and hexadecimal forms are no numbers."""
+    odd = F.rlike(text, F.lit(r"(?i)[0-9.][df]\s*$|x"))
+    return F.when(~odd, text.try_cast("double"))
+
+
 def exact_sum(col: Column) -> Column:
     return F.sum(col.cast(EXACT))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewgate.constants import BLANKS, FENCED_OBJECT, OUTER_BRACES
+from reviewgate.functions.numbers import python_float
 from reviewgate.functions.text import strip
 
 # First character of a JSON text, and the type it stands for.
@@ -98,7 +99,7 @@ def number(json: Column) -> Column:
     return (
         F.when(json == "true", 1.0)
         .when(json == "false", 0.0)
-        .otherwise(F.btrim(json, F.lit('"')).try_cast("double"))
+        .otherwise(python_float(F.btrim(json, F.lit('"'))))
     )
 
 

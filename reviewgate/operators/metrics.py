@@ -41,9 +41,13 @@ def hourly_invocations(calls: DataFrame) -> DataFrame:
     )
 
 
-def metric_values(metrics: DataFrame) -> DataFrame:
-    """Long form ``source, metric, window_start, value``; the errors of all
-    functions together count as failures of the workflow."""
+def metric_values(metrics: DataFrame, executions: DataFrame | None = None) -> DataFrame:
+    """Long form ``source, metric, window_start, value``.
+
+    ``executions`` (``window_start, failures``) holds the workflow's failed executions.
+    Without it the errors of all functions together stand in for them; an error that the
+    workflow caught counts there too.
+    """
     per_function = metrics.select(
         c("function").alias("source"),
         "window_start",
@@ -57,9 +61,11 @@ def metric_values(metrics: DataFrame) -> DataFrame:
             c("mean_duration_ms"),
         ).alias("metric", "value"),
     )
+    failed = metrics.withColumnRenamed("errors", "failures")
     workflow = (
-        metrics.groupBy("window_start")
-        .agg(F.sum("errors").cast("double").alias("value"))
+        (failed if executions is None else executions)
+        .groupBy("window_start")
+        .agg(F.sum("failures").cast("double").alias("value"))
         .select(
             F.lit("workflow").alias("source"),
             "window_start",

@@ -9,12 +9,15 @@ from pyspark.sql.types import StringType
 from reviewgate import constants as K
 from reviewgate.functions import responses as R
 from reviewgate.functions.collections import listed
+from reviewgate.functions.numbers import python_float
 from reviewgate.functions.text import fixed
 from reviewgate.operators.lookups import top_n_per_key
 from reviewgate.operators.prompts import product_prompt
 
 c = F.col
 PROMPT_REVIEWS = 10
+#: Characters of reviews in one prompt of a summary within limits.
+PART_CHARS = 100_000
 
 
 def _passed() -> Column:
@@ -24,7 +27,7 @@ def _passed() -> Column:
 def _rating() -> Column:
     """The rating as a number; 3 when absent, NULL when it is no number."""
     return F.when(c("rating").isNull(), 3.0).otherwise(
-        c("rating").cast("string").try_cast("double")
+        python_float(c("rating").cast("string"))
     )
 
 
@@ -94,6 +97,37 @@ def review_lines(
     )
 
 
+def review_parts(reviews: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """All passed reviews of every product, in parts of about ``part_chars`` characters.
+
+    A review's part is a hash of its id, so a product with very many reviews becomes
+    many parts and no group grows with it. Within a part the reviews stand oldest first.
+    Columns: ``product_id, part, parts, reviews_content``.
+    """
+    rows = reviews.filter(_passed()).select(
+        "product_id", "timestamp", "review_id", review_line(reviews).alias("line")
+    )
+    chars = F.sum(F.length("line") + 1)
+    sizes = rows.groupBy("product_id").agg(F.ceil(chars / part_chars).alias("parts"))
+    large = sizes.filter(c("parts") > 1).withColumnRenamed("product_id", "_product")
+    parted = rows.join(large, c("product_id").eqNullSafe(c("_product")), "left")
+    number = F.conv(F.left(F.md5("review_id"), F.lit(8)), 16, 10).cast("long")
+    parted = parted.withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    part = F.coalesce(F.pmod(number, c("parts")), F.lit(0).cast("long"))
+    listed_rows = F.sort_array(F.collect_list(F.struct("timestamp", "review_id", "line")))
+    return (
+        parted.withColumn("part", part)
+        .groupBy("product_id", "part", "parts")
+        .agg(listed_rows.alias("_lines"))
+        .select(
+            "product_id",
+            "part",
+            "parts",
+            F.array_join("_lines.line", "\n").alias("reviews_content"),
+        )
+    )
+
+
 def summary_prompts(reviews: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Statistics and summary prompt per product; the prompt is NULL when no
     review passed or a passed review's rating is no number."""

@@ -15,8 +15,12 @@ c = F.col
 
 
 def whole_number(col: Column) -> Column:
-    """Text or number to int; NULL when it is not a whole number."""
-    return col.cast("string").try_cast("int")
+    """Text or number to int; NULL when it is not a whole number.
+
+    A number with a fraction is cut to its whole part, a text with one is no whole number.
+    """
+    fractional = F.rlike(F.typeof(col), F.lit("^(double|float|decimal)"))
+    return F.when(fractional, col.try_cast("int")).otherwise(col.cast("string").try_cast("int"))
 
 
 def _outside(col: Column, low: int, high: int) -> Column:

@@ -11,6 +11,7 @@ from reviewgate.constants import ASPECTS
 from reviewgate.functions.numbers import exact_sum, ratio
 from reviewgate.functions.text import isoformat, rounded
 from reviewgate.operators.audit import approved
+from reviewgate.session import materialise
 
 c = F.col
 DETAIL_ROWS = 100
@@ -193,6 +194,9 @@ def _one_row(*frames: DataFrame) -> DataFrame:
 
 
 def violations_report(rows: DataFrame) -> DataFrame:
+    """All parts of the report; the denied rows, few and narrow, are written once and
+    every part reads them there."""
+    rows = materialise(rows, "violations")
     breakdown = violation_breakdown(rows)
     reasons = F.struct("reason", "violations")
     # Reason codes form a short fixed vocabulary, detail rows are limited.
@@ -401,7 +405,11 @@ def build_report(
     return (
         body.withColumn("report_metadata", metadata)
         .withColumn(
-            "report_json", F.to_json(F.struct(*data, "report_metadata"), {"pretty": "true"})
+            "report_json",
+            F.to_json(
+                F.struct(*data, "report_metadata"),
+                {"pretty": "true", "ignoreNullFields": "false"},
+            ),
         )
         .select(
             c("report_metadata.report_id").alias("report_id"),

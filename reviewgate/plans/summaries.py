@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewgate import constants as K
 from reviewgate.operators.lookups import hot_keys
+from reviewgate.operators.prompts import constrained_prompt
 from reviewgate.operators.scoring import Scorer, score_prompts
-from reviewgate.operators.summaries import summary_prompts, summary_records
+from reviewgate.operators.summaries import (
+    read_constrained_summary,
+    review_parts,
+    summary_prompts,
+    summary_records,
+)
 from reviewgate.session import materialise
 
 c = F.col
@@ -35,11 +42,32 @@ def summarise_products(
     )
 
 
-def stored_summaries(records: DataFrame, generated_at: Column | None = None) -> DataFrame:
-    """Finished records in the shape of the summaries table."""
+def summarise_within_limits(
+    reviews: DataFrame, scorer: Scorer, path: str | None = None, **options
+) -> DataFrame:
+    """Summaries that must keep the policy limits: one call for each part of a
+    product's reviews, with the token budget, written before the answers are read."""
+    budget = {"max_tokens": K.SUMMARY_MAX_TOKENS}
+    asked = constrained_prompt(review_parts(reviews)).drop("max_tokens", "reviews_content")
+    called = materialise(
+        score_prompts(asked, scorer, call_options=budget, **options), "limited-calls", path
+    )
+    read = called.withColumns(
+        {"_response": c("scored.response_text"), "call_error": c("scored.call_error")}
+    )
+    return read_constrained_summary(read.drop("scored"), "_response").drop("_response")
+
+
+def stored_summaries(
+    records: DataFrame, run_id: str, generated_at: Column | None = None
+) -> DataFrame:
+    """Finished records in the shape of the summaries table. The id is that of the
+    product in this run, so a later run adds to the history and a repeated one does not."""
     moment = F.current_timestamp() if generated_at is None else generated_at
     return records.select(
-        F.concat(F.lit("summary-"), F.md5("product_id")).alias("summary_id"),
+        F.concat(
+            F.lit("summary-"), F.md5(F.concat_ws("|", "product_id", F.lit(run_id)))
+        ).alias("summary_id"),
         "product_id",
         c("summary").alias("summary_text"),
         "reviews_processed",

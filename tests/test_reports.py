@@ -214,3 +214,14 @@ def test_audit_records_and_expiry(spark):
     late = F.lit("2024-12-31 10:20:30").cast("timestamp")
     assert expire_audit(rows, late).count() == 0
     assert expire_audit(rows, time).count() == 2
+
+
+def test_violations_are_read_once(spark, tmp_path, sf):
+    from checks import fixtures as X
+
+    src = str(tmp_path / "audit")
+    X.audit_log(spark, sf).write.parquet(src)
+    period = ("2024-01-01T00:00:00Z", "2025-12-31T23:59:59Z")
+    report = reports.build_report(spark.read.parquet(src), "policy_violations", *period)
+    assert plan_of(report).count(f"[file:{src}]") == 0
+    assert '"product_id" : null' in report.first()["report_json"]

@@ -158,4 +158,23 @@ def test_summarise_products(spark):
     assert got["hot"]["summary"] == "Unable to generate summary due to system error: busy"
     assert got["bad"]["exclusion_reasons"] == ["ALL_REVIEWS_REJECTED"]
     assert not got["bad"]["ai_generated"] and got["p"]["ai_generated"]
-    assert stored_summaries(rows).count() == 5
+    assert stored_summaries(rows, "run-1").count() == 5
+
+
+def test_parts_hold_every_review_and_are_bounded(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 5)).alias(
+            "product_id"
+        ),
+        F.concat(F.lit("r"), F.col("id").cast("string")).alias("review_id"),
+        F.concat(F.lit("text "), F.col("id").cast("string")).alias("content"),
+        F.lit(4).alias("rating"),
+        F.timestamp_seconds(F.col("id")).alias("timestamp"),
+        (F.col("id") % 7 != 0).alias("analysis_passed"),
+    )
+    parts = S.review_parts(rows, part_chars=2000).collect()
+    lines = [x for p in parts for x in p["reviews_content"].split("\n")]
+    want = [f"Rating: 4/5 - text {i}" for i in range(3000) if i % 7]
+    assert sorted(lines) == sorted(want)
+    assert max(len(p["reviews_content"]) for p in parts) < 4000
+    assert len({p["part"] for p in parts if p["product_id"] == "hot"}) > 5

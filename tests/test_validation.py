@@ -160,3 +160,14 @@ def test_strip_and_shorter_than(spark, n):
     ).orderBy("id").collect()
     assert [r["s"] for r in got] == [t.strip() for t in texts] + [None]
     assert [r["short"] for r in got] == [len(t.strip()) < n for t in texts] + [True]
+
+
+def test_numbers_as_python_reads_them(spark):
+    from reviewgate.functions.numbers import python_float
+
+    texts = ["7d", "7", "3.5F", "1e3", " 2.5 ", "seven", "0x10", "-.5", "inf", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(python_float(F.col("t"))).collect()]
+    assert got == [None, 7.0, None, 1000.0, 2.5, None, None, -0.5, float("inf"), None, None]
+    ratings = spark.createDataFrame([(4.0,), (4.7,), (None,)], "r double")
+    assert [r[0] for r in ratings.select(V.whole_number(F.col("r"))).collect()] == [4, 4, None]
