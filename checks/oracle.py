@@ -264,7 +264,7 @@ FROM reviews"""
 
 CTE["stored"] = """
 SELECT *  REPLACE (CASE WHEN k % 6 = 0 THEN NULL ELSE language END AS language,
-    CASE WHEN k % 2 = 0 THEN ts + INTERVAL 250 MILLISECOND ELSE ts END AS ts),
+    CASE WHEN k % 2 = 0 THEN ts + INTERVAL 250123 MICROSECOND ELSE ts END AS ts),
   CASE WHEN k % 4 = 0 THEN 'late' END AS processing_error,
   CASE WHEN k % 3 = 0 THEN '' ELSE '10.0.0.' || (k % 250) END AS source_ip,
   CASE WHEN k % 5 = 0 THEN NULL ELSE 'app' END AS user_agent
@@ -361,6 +361,15 @@ sql(
   {iso("CASE WHEN l.doc_id IS NULL THEN ts ELSE ts + INTERVAL 30 DAY END")} AS timestamp
 FROM reviews LEFT JOIN labels l ON l.doc_id = k""",
 )
+sql(
+    "upsert_same_version",
+    "reviews",
+    f"""SELECT review_id, content,
+  CASE WHEN l.doc_id IS NULL THEN status WHEN toxic = 1 THEN 'REJECTED' ELSE 'APPROVED' END
+    AS status, {iso("ts")} AS timestamp
+FROM reviews LEFT JOIN labels l ON l.doc_id = k""",
+)
+ORACLE["upsert_narrow_update"] = ORACLE["upsert_reviews"]
 sql(
     "put_audit_events",
     "audit",
@@ -409,10 +418,18 @@ sql("summary_records", "stats", _RECORDS)
 sql(
     "put_summaries",
     "stats",
-    f"""SELECT 'summary-' || md5(product_id) AS summary_id, product_id,
+    f"""SELECT 'summary-' || md5(product_id || '|run-1') AS summary_id, product_id,
   summary AS summary_text, reviews_processed, reviews_excluded, exclusion_reasons,
   '2024-06-01T00:00:00' AS generated_at FROM ({_RECORDS})""",
 )
+sql(
+    "summary_history",
+    "stats",
+    """SELECT 'summary-' || md5(product_id || '|' || run) AS summary_id, product_id,
+  reviews_processed, moment AS generated_at
+FROM stats, (VALUES ('run-1', '2024-06-01T00:00:00'), ('run-2', '2024-06-01T05:00:00')) v(run, moment)
+WHERE product_id = 'prod-hot'""",
+)
 sql(
     "report_sink",
     "audit",
@@ -986,9 +1003,30 @@ FROM (SELECT *, {reasons} AS rs, {texts} AS vs
 sql(
     "summary_policy_rows",
     "reviews",
-    f"SELECT review_id, decision, reasons, explanation FROM ({summary_rules('sinput')})",
+    "SELECT review_id, decision, reasons, explanation, region, product_category, "
+    f"compliance_mode FROM ({summary_rules('sinput')}) JOIN (SELECT k, region, "
+    "product_category, compliance_mode FROM reviews) USING (k)",
     _SUMMARY_INPUT,
 )
+sql(
+    "half_defined_modes",
+    "gaps",
+    f"""SELECT review_id, decision, policy_error, k AS credit_limit, k + 1 AS x_max_y,
+  compliance_mode NOT IN ('mild', 'standard', 'strict') AS is_unknown
+FROM ({engine_policy("gaps")})""",
+)
+sql(
+    "numeric_ratings",
+    "reviews",
+    """SELECT review_id, CASE WHEN k % 11 = 0 THEN 3 ELSE CAST(k % 7 AS INTEGER) END AS rating,
+  NULL::VARCHAR AS rating_error FROM reviews""",
+)
+sql(
+    "suffixed_numbers",
+    "reviews",
+    """SELECT review_id, CASE k % 7 WHEN 1 THEN 7.0 WHEN 3 THEN 1000.0 WHEN 4 THEN 2.5
+  END::DOUBLE AS value FROM reviews""",
+)
 _RULES = []
 for _kind, _entries in K.DEFAULT_POLICIES.items():
     for _key, _value in _entries.items():
@@ -1074,18 +1112,37 @@ sql(
     )
     + " END AS prompt FROM stats LEFT JOIN lines USING (product_id)",
 )
+_LIMITED = filled(
+    K.SUMMARIZATION_PROMPT,
+    max_toxicity="'5.0'",
+    max_bias="'3.0'",
+    max_hallucination="'6.0'",
+    reviews_content="reviews_text",
+)
+_PARTS = {
+    "rows": """
+SELECT product_id, ts, review_id, 'Rating: ' || rating || '/5 - ' || content AS line
+FROM sreviews WHERE coalesce(analysis_passed, true)""",
+    "parted": """
+SELECT *, ('0x' || substr(md5(review_id), 1, 8))::BIGINT % parts AS part
+FROM (SELECT *, CAST(ceil(sum(length(line) + 1) OVER (PARTITION BY product_id) / 100000)
+  AS BIGINT) AS parts FROM rows)""",
+    "texts": f"""
+SELECT product_id, part, parts, string_agg(line, '{NL}' ORDER BY ts, review_id) AS reviews_text
+FROM parted GROUP BY product_id, part, parts""",
+}
 sql(
     "constrained_prompt",
-    "lines",
-    "SELECT product_id, "
-    + filled(
-        K.SUMMARIZATION_PROMPT,
-        max_toxicity="'5.0'",
-        max_bias="'3.0'",
-        max_hallucination="'6.0'",
-        reviews_content="reviews_text",
-    )
-    + " AS prompt, 1500 AS max_tokens FROM lines",
+    "sreviews",
+    f"SELECT product_id, part, parts, {_LIMITED} AS prompt, 1500 AS max_tokens FROM texts",
+    _PARTS,
+)
+sql(
+    "limited_summaries",
+    "sreviews",
+    f"""SELECT product_id, part, length({_LIMITED}) || ' characters' AS summary,
+  0.5::DOUBLE AS confidence, 1500 AS sources_used, NULL::VARCHAR AS error FROM texts""",
+    _PARTS,
 )
 _SDOC = {
     "answered": f"SELECT *, {summary_response('k')} AS answer FROM reviews",
@@ -1220,7 +1277,8 @@ sql(
     "report_envelope",
     "audit",
     """SELECT report_id, report_type, records_processed, headline,
-  '2024-01-01T00:00:00' AS start_date
+  '2024-01-01T00:00:00' AS start_date,
+  '{"product_id":null,"user_id":null}' AS filters
 FROM (SELECT 'r-compliance_summary' AS report_id, 'compliance_summary' AS report_type,
     n AS records_processed, denied AS headline FROM totals
   UNION ALL SELECT 'r-policy_violations', 'policy_violations', 0, denied FROM totals
@@ -1325,12 +1383,35 @@ sql(
     "metrics60",
     f"SELECT {iso('w')} AS window_start, function, invocations FROM metrics60",
 )
+sql(
+    "drop_expired_rows",
+    "audit",
+    """SELECT audit_id, CASE WHEN user_id <> 'user-5' THEN ttl END AS ttl FROM audit
+WHERE user_id = 'user-5' OR ttl > CAST(epoch(TIMESTAMP '2024-12-31 08:00:00') AS BIGINT)""",
+)
+_VALID = f"length(content) BETWEEN 10 AND 5000 AND product_category IN {isin(K.CATEGORIES)}"
+_JUDGED = {**_CALLED, "judged_calls": handler_policy("analysed")}
+sql(
+    "moderation_job",
+    "reviews modes",
+    f"""SELECT review_id, CASE WHEN decision = 'ALLOW' THEN 'SUCCESS' ELSE 'REJECTED' END AS outcome,
+  CASE WHEN decision = 'ALLOW' THEN 'ANALYSIS' ELSE 'POLICY_DECISION' END AS event_type
+FROM judged_calls WHERE {_VALID}
+UNION ALL SELECT review_id, 'REFUSED', NULL FROM reviews WHERE NOT ({_VALID})""",
+    _JUDGED,
+)
+sql(
+    "stream_scored_moderation",
+    "reviews modes",
+    f"""SELECT review_id, CASE WHEN decision = 'ALLOW' THEN 'SUCCESS' ELSE 'REJECTED' END AS result,
+  CASE WHEN decision = 'ALLOW' THEN 'Approved text.' END AS summary
+FROM judged_calls WHERE {_VALID}""",
+    _JUDGED,
+)
 sql(
     "stream_metrics",
     "metrics5",
     _metric_select("metrics5", "5 minutes")
-    + """
-WHERE w + INTERVAL '5 minutes' <= (SELECT max(ts) FROM calls) - INTERVAL '10 minutes'""",
 )
 
 
@@ -1372,13 +1453,13 @@ sql(
 FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS w, event_type, count(*) AS events,
     count(*) FILTER (WHERE NOT approved) AS violations,
     CAST(sum(processing_duration_ms) AS BIGINT) AS duration_ms, {_COST} AS total_cost
-  FROM audit GROUP BY ALL)
-WHERE w + INTERVAL '1 hour' <= (SELECT max(ts) FROM audit) - INTERVAL '10 minutes'""",
+  FROM audit GROUP BY ALL)""",
 )
 sql(
     "stream_redelivery",
     "reviews",
-    "SELECT DISTINCT 'rev-' || (k - k % 3) AS review_id FROM reviews",
+    f"""SELECT 'rev-' || (k - k % 3) AS review_id, content, status, {iso("ts")} AS timestamp
+FROM reviews QUALIFY row_number() OVER (PARTITION BY k - k % 3 ORDER BY ts DESC) = 1""",
 )
 
 # --- behaviour described only by tests --------------------------------------

@@ -32,8 +32,8 @@ from reviewgate.operators.policy import (
 from reviewgate.operators.scoring import mock_scores, model_cost
 from reviewgate.plans import analysis as analysis_plans
 from reviewgate.plans import reports
-from reviewgate.plans.moderation import decide, prepare_input, scored_reviews
-from reviewgate.plans.summaries import stored_summaries
+from reviewgate.plans.moderation import decide, prepare_input, run_moderation, scored_reviews
+from reviewgate.plans.summaries import stored_summaries, summarise_within_limits
 from reviewgate.schemas import REVIEW
 from reviewgate.session import scratch_path, tune
 from reviewgate.sources import reviews as review_source
@@ -121,6 +121,34 @@ def upsert_reviews(spark, sf):
     )
 
 
+@query
+def upsert_same_version(spark, sf):
+    """A put of the stored version replaces it, as every put does."""
+    path = scratch_path(spark, "reviews")
+    tables.put_by_key(path, X.reviews(spark, sf), "review_id", "timestamp")
+    again = _label_updates(spark, sf).withColumn(
+        "timestamp", c("timestamp") - F.expr("INTERVAL 30 DAYS")
+    )
+    tables.put_by_key(path, again, "review_id", "timestamp")
+    return tables.read_by_key(spark, path).select("review_id", "content", "status", iso())
+
+
+@query
+def upsert_narrow_update(spark, sf):
+    """Two updates per id in one put, of two columns only: the later one counts and the other
+    columns stay."""
+    path = scratch_path(spark, "reviews")
+    tables.put_by_key(path, X.reviews(spark, sf), "review_id", "timestamp", buckets=16)
+    new = _label_updates(spark, sf).select("review_id", "timestamp", "status")
+    old = new.withColumns(
+        {"timestamp": c("timestamp") - F.expr("INTERVAL 5 DAYS"), "status": F.lit("STALE")}
+    )
+    tables.put_by_key(path, old.unionByName(new), "review_id", "timestamp")
+    return tables.read_by_key(spark, path).select(
+        "review_id", "product_id", "content", "rating", "status", iso()
+    )
+
+
 @query
 def put_audit_events(spark, sf):
     path = scratch_path(spark, "audit")
@@ -189,7 +217,7 @@ def _summary_records(spark, sf):
 @query
 def put_summaries(spark, sf):
     path = scratch_path(spark, "summaries")
-    rows = stored_summaries(_summary_records(spark, sf), now())
+    rows = stored_summaries(_summary_records(spark, sf), "run-1", now())
     tables.put_by_key(path, rows, "summary_id", "generated_at")
     return spark.read.parquet(path).select(
         "summary_id",
@@ -202,6 +230,19 @@ def put_summaries(spark, sf):
     )
 
 
+@query
+def summary_history(spark, sf):
+    """Summaries of two runs stand beside each other, a repeated run adds nothing."""
+    path = scratch_path(spark, "summaries")
+    records = _summary_records(spark, sf)
+    for run, hours in (("run-1", 0), ("run-2", 5), ("run-1", 0)):
+        rows = stored_summaries(records, run, now() + F.expr(f"INTERVAL {hours} HOURS"))
+        tables.put_by_key(path, rows, "summary_id", "generated_at")
+    return _summary_lookup(
+        lookups.summaries_by_product(tables.read_by_key(spark, path), "prod-hot")
+    )
+
+
 @query
 def report_sink(spark, sf):
     report = reports.build_report(
@@ -238,7 +279,7 @@ def _stored_reviews(spark, sf):
                 c("language")
             ),
             "timestamp": F.when(
-                k % 2 == 0, c("timestamp") + F.expr("INTERVAL 250 MILLISECONDS")
+                k % 2 == 0, c("timestamp") + F.expr("INTERVAL 250123 MICROSECONDS")
             ).otherwise(c("timestamp")),
         }
     )
@@ -433,6 +474,27 @@ def input_defaults(spark, sf):
     return rows.select("review_id", "product_category", "rating", "rating_error")
 
 
+@query
+def numeric_ratings(spark, sf):
+    """Ratings that arrive as numbers with a fraction are cut to whole ones."""
+    k = c("k")
+    rating = (k % 7).cast("double") + (k % 2).cast("double") / 2
+    rows = validation.input_defaults(
+        X.reviews(spark, sf).withColumn("rating", F.when(k % 11 != 0, rating))
+    )
+    return rows.select("review_id", "rating", "rating_error")
+
+
+@query
+def suffixed_numbers(spark, sf):
+    """Numbers in texts, as Python's float reads them."""
+    texts = ["7d", "7", "3.5F", "1e3", " 2.5 ", "seven", "0x10"]
+    text = X.pick(texts, c("k") % len(texts))
+    return X.reviews(spark, sf).select(
+        "review_id", R.number(F.concat(F.lit('"'), text, F.lit('"'))).alias("value")
+    )
+
+
 # --- scoring and response parsing -------------------------------------------
 @query
 def analysis_prompt(spark, sf):
@@ -647,10 +709,30 @@ def content_policy_rows(spark, sf):
     return rows.select("review_id", *policy_columns("policy_error"))
 
 
+@query
+def half_defined_modes(spark, sf):
+    """A mode with one limit of three is no mode; the rows' own columns stay."""
+    half = PolicySet().updated({"toxicity": {"lenient": 9.0}})
+    rows = _scored(spark, sf).withColumns({"credit_limit": c("k"), "x_max_y": c("k") + 1})
+    unknown = unknown_modes(rows, half).select("review_id", F.lit(True).alias("_unknown"))
+    judged = content_policy(rows, policies=half).join(unknown, "review_id", "left")
+    return judged.select(
+        "review_id",
+        c("policy_result.decision").alias("decision"),
+        "policy_error",
+        "credit_limit",
+        "x_max_y",
+        F.coalesce("_unknown", F.lit(False)).alias("is_unknown"),
+    )
+
+
 @query
 def summary_policy_rows(spark, sf):
-    rows = summary_policy(X.policy_summary_rows(X.reviews(spark, sf)))
-    return rows.select("review_id", *policy_columns())
+    reviews = X.reviews(spark, sf)
+    context = ["region", "product_category", "compliance_mode"]
+    rows = summary_policy(X.policy_summary_rows(reviews).join(reviews.select("k", *context), "k"))
+    stated = [c(f"policy_result.metadata.context.{x}").alias(x) for x in context]
+    return rows.select("review_id", *policy_columns(), *stated)
 
 
 POLICY_UPDATES = {
@@ -821,10 +903,29 @@ def products_without_reviews(spark, sf):
 
 @query
 def constrained_prompt(spark, sf):
-    rows = summaries.review_lines(_summary_reviews(spark, sf)).withColumnRenamed(
-        "reviews_text", "reviews_content"
+    rows = summaries.review_parts(_summary_reviews(spark, sf))
+    return prompts.constrained_prompt(rows).select(
+        "product_id", "part", "parts", "prompt", "max_tokens"
     )
-    return prompts.constrained_prompt(rows).select("product_id", "prompt", "max_tokens")
+
+
+def counting_summariser():
+    """A stand-in model that tells what it was sent."""
+
+    def summarise(prompt: str, max_tokens: int) -> str:
+        return (
+            f'{{"summary": "{len(prompt)} characters", "confidence": 0.5, '
+            f'"sources_used": {max_tokens}}}'
+        )
+
+    return summarise
+
+
+@query
+def limited_summaries(spark, sf):
+    """Every part of every product's reviews through the scorer, with the token budget."""
+    rows = summarise_within_limits(_summary_reviews(spark, sf), counting_summariser())
+    return rows.select("product_id", "part", "summary", "confidence", "sources_used", "error")
 
 
 @query
@@ -934,6 +1035,7 @@ def report_envelope(spark, sf):
             F.get_json_object("report_json", "$.report_metadata.period.start_date").alias(
                 "start_date"
             ),
+            F.get_json_object("report_json", "$.report_metadata.filters").alias("filters"),
         )
         rows = one if rows is None else rows.unionByName(one)
     return rows
@@ -991,7 +1093,7 @@ def lookup_layout(spark, sf):
     """A lookup through the stored copy that is laid out by its key."""
     path = scratch_path(spark, "audit-by-user")
     tables.write_access_path(X.audit_log(spark, sf), path, "user_id", buckets=16)
-    rows = tables.read_access_path(spark, path, "user_id", "user-5", buckets=16)
+    rows = tables.read_access_path(spark, path, "user_id", "user-5")
     return _audit_columns(lookups.audit_by_user(rows, "user-5"))
 
 
@@ -1109,6 +1211,37 @@ def expire_audit_rows(spark, sf):
     return expire_audit(kept, moment).select("audit_id", "ttl")
 
 
+@query
+def drop_expired_rows(spark, sf):
+    """Expired days are dropped from the stored log; rows without an expiry stay."""
+    path = scratch_path(spark, "expiring")
+    lasting = F.when(c("user_id") != "user-5", c("ttl"))
+    tables.append_audit(X.audit_log(spark, sf).withColumn("ttl", lasting), path, "1")
+    tables.drop_expired(spark, path, F.lit("2024-12-31 08:00:00").cast("timestamp"))
+    return tables.read_audit(spark, path).select("audit_id", "ttl")
+
+
+@query
+def moderation_job(spark, sf):
+    """The whole batch job with a scorer: answers, audit rows and refused rows."""
+    done = run_moderation(
+        X.reviews(spark, sf).drop(*SCORES, "timestamp"),
+        length_scorer(),
+        scratch_path(spark, "moderation"),
+        run_id="run-1",
+        entered_at=datetime(2024, 6, 1),
+        base_delay=0.0,
+    )
+    logged = done["audit"].select("review_id", "event_type")
+    answered = done["responses"].select("review_id", c("result").alias("outcome"))
+    refused = done["dead_letters"].select(
+        F.get_json_object("row", "$.review_id").alias("review_id"),
+        F.lit("REFUSED").alias("outcome"),
+        F.lit(None).cast("string").alias("event_type"),
+    )
+    return answered.join(logged, "review_id").unionByName(refused)
+
+
 # --- metrics, alarms, streams -----------------------------------------------
 @query
 def metrics_5min(spark, sf):
@@ -1173,7 +1306,7 @@ def stream_audit_stats(spark, sf):
     stream_statistics_jobs.start_audit_statistics(
         log, f"{base}/out", f"{base}/checkpoint"
     ).awaitTermination()
-    rows = spark.read.parquet(f"{base}/out")
+    rows = stream_statistics_jobs.read_statistics(spark, f"{base}/out")
     return rows.withColumns({"window_start": iso("window_start"), "window_end": iso("window_end")})
 
 
@@ -1185,21 +1318,46 @@ def stream_metrics(spark, sf):
     stream_statistics_jobs.start_function_metrics(
         X.calls(events), f"{base}/out", f"{base}/checkpoint"
     ).awaitTermination()
-    rows = spark.read.parquet(f"{base}/out")
+    rows = stream_statistics_jobs.read_metrics(spark, f"{base}/out")
     return rows.withColumns({"window_start": iso("window_start"), "window_end": iso("window_end")})
 
 
 @query
 def stream_redelivery(spark, sf):
-    base = scratch_path(spark, "stream-once")
+    """Of every review the last delivery stays, with its content and status."""
+    base = scratch_path(spark, "stream-last")
     arriving = X.versions(X.with_review_columns(X.stream_documents(spark, sf)))
-    once = stream_moderation_jobs.without_redelivery(
-        arriving.select("review_id", "timestamp")
+    stream_moderation_jobs.start_upsert(
+        arriving, f"{base}/out", f"{base}/checkpoint"
+    ).awaitTermination()
+    return tables.read_by_key(spark, f"{base}/out").select(
+        "review_id", "content", "status", iso()
     )
-    stream_statistics_jobs.append_stream(
-        once, f"{base}/out", f"{base}/checkpoint"
+
+
+def approving_summariser():
+    def summarise(prompt: str) -> str:
+        return '{"summary": "Approved text.", "sentiment": "positive"}'
+
+    return summarise
+
+
+@query
+def stream_scored_moderation(spark, sf):
+    """Arriving reviews through a scorer and, once approved, through a summariser."""
+    base = scratch_path(spark, "stream-scored")
+    arriving = X.with_review_columns(X.stream_documents(spark, sf)).drop(*SCORES)
+    decide_rows = stream_moderation_jobs.scoring_decider(
+        length_scorer(),
+        "run-1",
+        datetime(2024, 6, 1),
+        summary_scorer=approving_summariser(),
+        base_delay=0.0,
+    )
+    stream_moderation_jobs.start_moderation(
+        arriving, base, f"{base}/checkpoint", decide_rows
     ).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("review_id")
+    return spark.read.parquet(f"{base}/responses").select("review_id", "result", "summary")
 
 
 # --- behaviour described only by tests --------------------------------------
