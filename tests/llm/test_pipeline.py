@@ -8,8 +8,8 @@ import corpus_pipeline
 from checks.compare import connect, plain, sortable
 from reviewgate.llm import bpe, decontaminate, language_id, quality_rules, simhash
 from reviewgate.llm.queries import ORACLE, QUERIES
-from tests.llm.test_quality_rules import plain as plain_measures
-from tests.llm.test_simhash import plain_fingerprint, plain_groups
+from .test_quality_rules import plain as plain_measures
+from .test_simhash import plain_fingerprint, plain_groups
 
 
 def test_registered():
