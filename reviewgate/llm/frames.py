@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,12 @@ BATCH_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Keep what a Python worker holds at once small."""
+    """Keep what a Python worker holds at once small, and let workers on machines that have
+    this folder import the package from it; elsewhere it is installed or shipped."""
+    root, environment = str(Path(__file__).parents[2]), spark.sparkContext.environment
+    paths = [x for x in environment.get("PYTHONPATH", "").split(":") if x]
+    if root not in paths:
+        environment["PYTHONPATH"] = ":".join([*paths, root])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
