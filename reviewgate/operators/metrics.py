@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewgate.constants import ALARM_RULES
 
 c = F.col
+#: Largest rule list that is broadcast.
 MAX_RULES = 1000
 
 
@@ -89,8 +90,6 @@ def alarms(
     windows are gathered and sorted in one task.
     """
     rules = ALARM_RULES if rules is None else rules
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} alarm rules")
     names, sources, metrics, thresholds, periods = zip(*rules)
     table = values.sparkSession.createDataFrame(
         pa.table(
@@ -103,7 +102,8 @@ def alarms(
             }
         )
     )
-    breaches = values.join(F.broadcast(table), ["source", "metric"]).filter(
+    hinted = F.broadcast(table) if len(rules) <= MAX_RULES else table
+    breaches = values.join(hinted, ["source", "metric"]).filter(
         c("value") >= c("threshold")
     )
     supported = breaches.select(

@@ -1,7 +1,7 @@
 """Threshold policies over the mode, region and category tables.
 
-A policy set is configuration: it is held by the driver, its size is checked
-when it is built, and that bound is what allows its tables to be broadcast.
+A policy set is configuration and held by the driver. Its tables are broadcast while
+they are known to be small; larger ones are joined as any table is.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ def _plain(policies: dict) -> dict:
 class PolicySet:
     policies: dict = field(default_factory=lambda: _plain(K.DEFAULT_POLICIES))
 
-    def __post_init__(self):
-        if sum(len(entries) for entries in self.policies.values()) > MAX_POLICY_ROWS:
-            raise ValueError(f"a policy set holds at most {MAX_POLICY_ROWS} entries")
+    def hinted(self, table: DataFrame) -> DataFrame:
+        """A table of this set, to be broadcast if the whole set is small."""
+        rows = sum(len(entries) for entries in self.policies.values())
+        return F.broadcast(table) if rows <= MAX_POLICY_ROWS else table
 
     def updated(self, updates: dict) -> PolicySet:
         """Merge by key per policy type: an entry is replaced whole, a policy
@@ -74,7 +75,8 @@ class PolicySet:
 
     @staticmethod
     def load(rules: DataFrame) -> PolicySet:
-        """The policy set of a stored listing; a larger one is refused."""
+        """The policy set of a stored listing, which comes to the driver; a listing of more
+        than ``MAX_POLICY_ROWS`` entries is refused."""
         rows = rules.select("policy_type", "policy_key", "limit_name", "limit_value")
         # An entry has at most three limits.
         found = rows.limit(3 * MAX_POLICY_ROWS + 1).collect()
@@ -123,8 +125,9 @@ def _table(spark: SparkSession, texts: dict, numbers: dict) -> DataFrame:
 
 def with_mode_limits(df: DataFrame, policies: PolicySet | None = None) -> DataFrame:
     """Join the mode thresholds; an unknown mode leaves them NULL."""
-    modes = (policies or PolicySet()).modes(df.sparkSession)
-    return df.join(F.broadcast(modes), "compliance_mode", "left")
+    policies = policies or PolicySet()
+    modes = policies.hinted(policies.modes(df.sparkSession))
+    return df.join(modes, "compliance_mode", "left")
 
 
 def threshold_policy(
@@ -196,8 +199,8 @@ def content_policy(
     spark = df.sparkSession
     rows = (
         with_mode_limits(df, policies)
-        .join(F.broadcast(policies.regions(spark)), "region", "left")
-        .join(F.broadcast(policies.categories(spark)), "product_category", "left")
+        .join(policies.hinted(policies.regions(spark)), "region", "left")
+        .join(policies.hinted(policies.categories(spark)), "product_category", "left")
         .withColumns(
             {
                 f"_{a}": F.coalesce(c(analysis)[f"{a}_score"], F.lit(0.0))
@@ -287,9 +290,9 @@ def _defined() -> Column:
 
 def unknown_modes(df: DataFrame, policies: PolicySet | None = None) -> DataFrame:
     """Rows whose mode the policy set does not define, or not for every score."""
-    modes = (policies or PolicySet()).modes(df.sparkSession)
-    modes = modes.filter(_defined()).select("compliance_mode")
-    return df.join(F.broadcast(modes), "compliance_mode", "left_anti").withColumn(
+    policies = policies or PolicySet()
+    modes = policies.modes(df.sparkSession).filter(_defined()).select("compliance_mode")
+    return df.join(policies.hinted(modes), "compliance_mode", "left_anti").withColumn(
         "policy_error", F.lit(K.UNKNOWN_MODE)
     )
 

@@ -147,9 +147,32 @@ def test_update_replaces_entries_and_ignores_unknown_types(spark):
     assert [r["policy_result"]["decision"] for r in results(content_policy(df))] == ["DENY", "DENY"]
 
 
-def test_policy_set_is_bounded_and_listed(spark):
-    with pytest.raises(ValueError):
-        PolicySet({"toxicity": {str(i): 1.0 for i in range(MAX_POLICY_ROWS + 1)}})
+def test_large_policy_sets_are_joined_without_a_hint(spark, monkeypatch):
+    from reviewgate.operators import policy
+
+    df = rows(spark, [(6.5, 3.0, 1.0, "us-west-2", "books", "standard"),
+                      (1.0, 1.0, 1.0, "eu-west-1", "books", "mild")])
+    want = [r["policy_result"]["decision"] for r in results(content_policy(df))]
+    assert PolicySet().hinted(df) is not df
+    monkeypatch.setattr(policy, "MAX_POLICY_ROWS", 2)
+    assert PolicySet().hinted(df) is df
+    assert [r["policy_result"]["decision"] for r in results(content_policy(df))] == want
+
+
+def test_half_defined_mode_is_an_error_and_own_columns_stay(spark):
+    from reviewgate.operators.policy import unknown_modes
+
+    df = rows(spark, [(1.0, 10.0, 10.0, "us-west-2", "books", "new")])
+    df = df.withColumn("credit_limit", F.lit(7)).withColumn("x_max_y", F.lit(8))
+    for kind in ("toxicity", "bias", "hallucination"):
+        half = PolicySet().updated({kind: {"new": 9.0}})
+        row = content_policy(df, policies=half).first()
+        assert (row["policy_result"], row["policy_error"]) == (None, "UNKNOWN_MODE")
+        assert (row["credit_limit"], row["x_max_y"]) == (7, 8)
+        assert unknown_modes(df, half).count() == 1
+
+
+def test_policy_set_is_listed(spark):
     listing = PolicySet().listing(spark).collect()
     assert len(listing) == 24
     assert {r["policy_version"] for r in listing} == {"1.0.0"}
