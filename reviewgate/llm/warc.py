@@ -1,121 +1,115 @@
-"""WARC archives: index first, then coalesced byte-range reads (operator 5).
+"""WARC archives: an index of records, then coalesced byte-range reads (operator 5).
 
-The index (archive, offset, length, url and digest of every record) is computed and
-written before the archives: a record's length follows from its fields, and records are
-laid out by page within an archive. The archives are then written by Spark's own text
-writer, one file per archive, with the record terminator as line separator, so a lost
-executor's half-written file is never seen. Reading sorts the selected index rows by
-offset, joins neighbours into ranges of bounded size and reads only those bytes.
+Every task writes its records, each a gzip member of its own, to archives in the given
+shared folder and returns offset, length, url and digest of each. These rows are written as
+the index before anything is read. An attempt of a task has archives of its own, and the
+index names those of the attempts that succeeded: a lost executor leaves a file that nothing
+refers to. Nothing is shuffled but the digests that are compared. Reading sorts the
+selected index rows by offset, joins neighbours into ranges of bounded size and reads only
+those bytes.
 
 Of records with equal payloads of at least ``REVISIT_BYTES`` bytes, that with the largest
 page id is a response and the others are revisits without a payload that refer to it.
 
 Cases: a null page has an empty payload; a null url leaves its header line out; line ends
-in a url are percent-encoded in the header; a record longer than a range is read
-alone; rows with equal ids are records of their own, and if they hold the same payload and
-the largest id, each is a response; rows without an id are revisits if another row with
-their payload has one; an empty table gives empty archives; other columns are not read.
+in a url are percent-encoded in the header; a record longer than a range is read alone;
+rows with equal ids are records of their own, and if they hold the same payload and the
+largest id, each is a response; rows without an id are revisits if another row with their
+payload has one; an empty table gives no archive; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from reviewgate.session import materialise, scratch_path
 
 REVISIT_BYTES = 1000
-ARCHIVE_BYTES = 32 << 20
+#: An archive is closed when it has this many bytes.
+ARCHIVE_BYTES = 256 << 20
 #: Ranges of selected records are joined over gaps up to one bound and up to another in all.
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 4 << 20
 MAX_BROADCAST_GROUPS = 100_000
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:page:"
 RESPONSE, REVISIT = "response", "revisit"
-
-
-def _line(name: str, value: Column) -> Column:
-    return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
-
-
-def _record_id(key: Column) -> Column:
-    return F.concat(F.lit(f"<{ID}"), F.coalesce(key.cast("string"), F.lit("")), F.lit(">"))
-
-
-def _http(n: Column) -> Column:
-    return F.concat(
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
-        n.cast("string"),
-        F.lit("\r\n\r\n"),
-    )
-
-
-def _header() -> Column:
-    """What stands before the payload, from the columns of a described record."""
-    revisit = F.col("record_type") == REVISIT
-    url = F.col("url")
-    for code in (10, 13):
-        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    http = _http(F.col("payload_bytes"))
-    block = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
-    return F.concat(
-        F.lit("WARC/1.1\r\n"),
-        _line("WARC-Type", F.col("record_type")),
-        _line("WARC-Record-ID", _record_id(F.col("id"))),
-        _line("WARC-Target-URI", url),
-        _line("WARC-Date", F.lit(DATE)),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(
-            revisit,
-            F.concat(
-                _line("WARC-Profile", F.lit(PROFILE)),
-                _line("WARC-Refers-To", _record_id(F.col("refers_to"))),
-            ),
-        ).otherwise(""),
-        _line("Content-Type", F.lit("application/http; msgtype=response")),
-        _line("Content-Length", block.cast("string")),
-        F.lit("\r\n"),
-        http,
-    )
-
-
-def _payloads(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
-    payload = F.coalesce(F.col(page), F.lit(""))
-    return pages.select(
-        F.col(key).alias("id"),
-        F.col(url).alias("url"),
-        payload.alias("payload"),
-        F.octet_length(payload).cast("long").alias("payload_bytes"),
-        F.sha1(F.encode(payload, "UTF-8")).alias("payload_digest"),
-    )
-
-
-def _described(rows: DataFrame, keepers: DataFrame, archives: int) -> DataFrame:
-    """Adds record type, header and archive, alike for rows with and without the payload."""
-    joined = rows.join(keepers, ["payload_digest", "payload_bytes"], "left")
-    revisit = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
-    named = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    return (
-        joined.withColumns(
-            {
-                "record_type": F.when(revisit, F.lit(REVISIT)).otherwise(F.lit(RESPONSE)),
-                "refers_to": F.when(revisit, F.col("keeper")),
-                "archive": F.pmod(F.xxhash64(named), F.lit(archives)),
-            }
-        )
-        .withColumn("header", _header())
-        .drop("keeper")
-    )
+GZIP = zlib.MAX_WBITS | 16
+INDEX = {
+    "file": pa.string(),
+    "offset": pa.int64(),
+    "length": pa.int64(),
+    "id": pa.string(),
+    "url": pa.string(),
+    "payload_digest": pa.string(),
+    "record_type": pa.string(),
+}
+
+
+def record(
+    key: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None
+) -> bytes:
+    """A whole record; with ``refers_to`` a revisit, whose block ends with the HTTP header."""
+    http = (
+        "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+        f"Content-Length: {len(payload)}\r\n\r\n"
+    ).encode()
+    block = http if refers_to is not None else http + payload
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {RESPONSE if refers_to is None else REVISIT}",
+        f"WARC-Record-ID: <{ID}{'' if key is None else key}>",
+    ]
+    if url is not None:
+        safe = url.replace("\r", "%0D").replace("\n", "%0A")
+        lines.append(f"WARC-Target-URI: {safe}")
+    lines += [f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
+    if refers_to is not None:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{ID}{refers_to}>"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + END + block + END
+
+
+def _member(data: bytes) -> bytes:
+    packer = zlib.compressobj(1, zlib.DEFLATED, GZIP)
+    return packer.compress(data) + packer.flush()
+
+
+class _Archives:
+    """The archives of one attempt of a task, a new one whenever one is full."""
+
+    def __init__(self, folder: str, most: int):
+        self.system, self.folder = pa.fs.FileSystem.from_uri(folder)
+        self.prefix, self.most = folder, most
+        self.stream, self.name, self.offset = None, "", 0
+
+    def add(self, data: bytes) -> tuple[str, int, int]:
+        if self.stream is None:
+            name = f"{uuid.uuid4().hex}.warc.gz"
+            self.name, self.offset = f"{self.prefix}/{name}", 0
+            self.stream = self.system.open_output_stream(f"{self.folder}/{name}", compression=None)
+        at = self.offset
+        self.stream.write(data)
+        self.offset += len(data)
+        if self.offset >= self.most:
+            self.close()
+        return self.name, at, len(data)
+
+    def close(self) -> None:
+        if self.stream is not None:
+            self.stream.close()
+            self.stream = None
 
 
 def write_archives(
@@ -126,49 +120,60 @@ def write_archives(
     page: str = "html",
     archive_bytes: int = ARCHIVE_BYTES,
 ) -> DataFrame:
-    """Write the index and the archives below ``path``; returns the written index."""
-    spark = pages.sparkSession
-    rows = _payloads(pages, key, url, page)
-    narrow = materialise(rows.drop("payload"), "warc-payloads")
+    """Write the archives and then the index below ``path``; returns the written index."""
+    payload = F.coalesce(F.col(page), F.lit(""))
+    rows = pages.select(
+        F.col(key).alias("id"),
+        F.col(url).alias("url"),
+        payload.alias("payload"),
+        F.octet_length(payload).cast("long").alias("n"),
+        F.sha1(F.encode(payload, "UTF-8")).alias("digest"),
+    )
     keepers = (
-        narrow.filter(F.col("payload_bytes") >= REVISIT_BYTES)
-        .groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("id").alias("keeper"), F.count("*").alias("n"))
-        .filter("n > 1 and keeper is not null")
-        .drop("n")
+        rows.filter(F.col("n") >= REVISIT_BYTES)
+        .groupBy("digest", "n")
+        .agg(F.max("id").alias("keeper"), F.count("*").alias("rows"))
+        .filter("rows > 1 and keeper is not null")
+        .drop("rows")
     )
     keepers = materialise(keepers, "warc-repeated")
     if keepers.count() <= MAX_BROADCAST_GROUPS:
         keepers = F.broadcast(keepers)
-    total = narrow.agg(F.sum(F.col("payload_bytes") + 512)).first()[0] or 0
-    archives = -(-total // archive_bytes) or 1
-    order = ["archive", "id", "payload_digest", "payload_bytes", "url"]
-    body = F.when(F.col("record_type") == REVISIT, 0).otherwise(F.col("payload_bytes"))
-    length = (F.octet_length("header") + body + len(END)).cast("long")
-    before = Window.partitionBy("archive").orderBy(*order[1:]).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    index = (
-        _described(narrow, keepers, archives)
-        .withColumn("length", length)
-        .withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-        .select("archive", "offset", "length", "id", "url", "payload_digest", "record_type")
-    )
-    index.write.mode("overwrite").parquet(f"{path}/index")
-    text = F.when(F.col("record_type") == REVISIT, F.col("header")).otherwise(
-        F.concat("header", "payload")
-    )
-    (
-        _described(rows, keepers, archives)
-        .repartition(archives, "archive")
-        .sortWithinPartitions(*order)
-        .select("archive", text.alias("value"))
-        .write.mode("overwrite")
-        .option("lineSep", END)
-        .partitionBy("archive")
-        .text(f"{path}/archives")
+    revisit = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
+    described = rows.join(keepers, ["digest", "n"], "left").select(
+        F.col("id").cast("string").alias("id"),
+        "url",
+        "payload",
+        "digest",
+        F.when(revisit, F.col("keeper")).cast("string").alias("refers_to"),
     )
-    return spark.read.schema(index.schema).parquet(f"{path}/index")
+    folder = f"{_uri(path)}/archives"
+    system, inner = pa.fs.FileSystem.from_uri(folder)
+    system.create_dir(inner, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archives = _Archives(folder, archive_bytes)
+        for batch in batches:
+            found = []
+            for key, url, text, digest, keeper in zip(*(x.to_pylist() for x in batch.columns)):
+                data = _member(record(key, url, text.encode(), digest, keeper))
+                kind = RESPONSE if keeper is None else REVISIT
+                found.append((*archives.add(data), key, url, digest, kind))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[i] for x in found], kind)
+                    for i, kind in enumerate(INDEX.values())
+                ],
+                list(INDEX),
+            )
+        archives.close()
+
+    schema = ", ".join(f"{x} {'long' if t == pa.int64() else 'string'}" for x, t in INDEX.items())
+    return materialise(described.mapInArrow(run, schema), "index", f"{path}/index")
+
+
+def _uri(path: str) -> str:
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
 
 def _fields(lines: bytes) -> dict[str, str]:
@@ -178,14 +183,14 @@ def _fields(lines: bytes) -> dict[str, str]:
 
 def parse_record(data: bytes) -> dict:
     """Fields of one record; the payload's digest is compared with the header's."""
-    header, _, rest = data.partition(b"\r\n\r\n")
+    header, _, rest = data.partition(END)
     if not header.startswith(b"WARC/1."):
         raise ValueError(f"no record begins with {data[:20]!r}")
     fields = _fields(header)
     block = rest[: int(fields["content-length"])]
-    if rest[len(block) :] != END.encode():
+    if rest[len(block) :] != END:
         raise ValueError(f"record {fields['warc-record-id']} is not as long as it says")
-    http, _, payload = block.partition(b"\r\n\r\n")
+    http, _, payload = block.partition(END)
     revisit = fields["warc-type"] == REVISIT
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
     if not revisit and hashlib.sha1(payload).hexdigest() != digest:
@@ -218,17 +223,8 @@ def ranges(rows: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
         yield group
 
 
-def read_records(selected: DataFrame, path: str, payload: bool = True) -> DataFrame:
+def read_records(selected: DataFrame, payload: bool = True) -> DataFrame:
     """Records of the given index rows: id, url, digest, type, and the payload if wanted."""
-    spark = selected.sparkSession
-    number = F.regexp_extract("path", r"archive=(\d+)/part-[^/]*$", 1)
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "part-*")
-        .option("recursiveFileLookup", "true")
-        .load(f"{path}/archives")
-        .select(F.col("path").alias("file"), number.try_cast("long").alias("archive"))
-    )
     fields = [
         T.StructField("id", T.StringType()),
         T.StructField("url", T.StringType()),
@@ -256,23 +252,23 @@ def read_records(selected: DataFrame, path: str, payload: bool = True) -> DataFr
                 for group in ranges(list(zip(offsets[begin:end], lengths[begin:end]))):
                     first = group[0][0]
                     data = opened.read_at(group[-1][0] + group[-1][1] - first, first)
-                    found = [parse_record(data[o - first : o - first + n]) for o, n in group]
+                    members = (data[o - first : o - first + n] for o, n in group)
+                    found = [parse_record(zlib.decompress(x, GZIP)) for x in members]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x[f.name] for x in found], k) for f, k in zip(fields, kinds)],
                         [f.name for f in fields],
                     )
                 begin = end
 
-    located = selected.select("archive", "offset", "length").join(files, "archive")
-    ordered = located.repartition("archive").sortWithinPartitions("archive", "offset")
-    return ordered.select("file", "offset", "length").mapInArrow(run, T.StructType(fields))
+    ordered = selected.select("file", "offset", "length").repartition("file")
+    ordered = ordered.sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(run, T.StructType(fields))
 
 
 def archived(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Write all pages, read all records back: the records without their payloads."""
-    path = scratch_path(pages.sparkSession, "warc")
-    index = write_archives(pages, path, key)
-    back = read_records(index, path, payload=False)
+    index = write_archives(pages, scratch_path(pages.sparkSession, "warc"), key)
+    back = read_records(index, payload=False)
     kind = pages.schema[key].dataType
     return back.select(
         F.col("id").cast(kind).alias(key),
