@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewgate.llm.url_filter import with_parts
+from reviewgate.session import materialise
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -280,12 +281,14 @@ def host_paths(pages: DataFrame, page: str = "html", url: str = "url") -> DataFr
 
     hosted = with_parts(pages.select(F.col(url).alias("url"), F.col(page).alias("page")))
     votes = hosted.select("host", "page").mapInArrow(run, "host string, path string, n long")
-    return (
+    winners = (
         votes.groupBy("host", "path")
         .agg(F.sum("n").alias("n"))
         .groupBy("host")
         .agg(F.min_by("path", F.struct(-F.col("n"), F.col("path"))).alias("path"))
     )
+    # Written: its size is looked at before it is joined, and pages are scored once.
+    return materialise(winners, "host-paths")
 
 
 #: Largest list of host paths that is broadcast.
