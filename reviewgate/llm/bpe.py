@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bounds of what a worker remembers; what is forgotten is computed again.
-PIECE_CACHE = 400_000
-PAIR_CACHE = 600_000
+PIECE_CACHE = 250_000
+PAIR_CACHE = 400_000
 CACHED_PIECE_CHARS = 64
 HEAD_CACHE = 150_000
 HEAD_BYTES = 8
