@@ -1,18 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman (operator 4).
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman (operator 4).
 
-Word n-grams of the test items that are rare in the corpus are seeds. A document with
-enough seeds of one item close together is aligned with it by Smith-Waterman over
-words, which finds exact, edited and partly paraphrased copies at any place in the text.
+The three-word n-grams of the test items are seeds. Around each seed a document is aligned
+with the seed's item by Smith-Waterman over words, which finds exact, edited and partly
+paraphrased copies at any place in the text.
 The score is the alignment's share of a perfect one; ``LEAST_SCORE`` or more is a leak.
 
-Three-word seeds are rare below a document frequency, counted over the whole corpus.
-Longer seeds count at any frequency: a passage that leaked into many documents makes
-its own n-grams frequent. The corpus is read twice and never shuffled: the items are the
+A seed counts at any document frequency, and one is enough: a passage that leaked into
+many documents makes its own n-grams frequent. Common phrases are kept cheap by an upper
+bound of the score, from the words alone: what it refuses cannot be a leak. The corpus is
+read once a block and never shuffled: the items are the
 query set that every task holds. They go out in blocks of at most ``BLOCK_WORDS`` words,
 one pass each, so what is broadcast has a fixed largest size.
 
 Cases: null and empty texts match nothing; an item of fewer than three words proves no
-leak and is not searched; equal items are found once each; repeated documents are
+leak and is not searched; a copy without three words of the item in a row has no seed;
+equal items are found once each; repeated documents are
 rows of their own; of equally good alignments the one ending first counts; an empty
 table on either side gives an empty result; other columns are not read.
 """
@@ -30,11 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
-SHORT, LONG = 3, 6
-#: Share of the documents up to which a short seed is rare; and a count that always is.
-RARE_SHARE, RARE_COUNT = 1e-3, 5
-#: Short seeds of one item that must lie close together; one long seed is enough.
-LEAST_SEEDS = 2
+#: Words of a seed.
+SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 BLOCK_WORDS = 1_000_000
@@ -51,10 +50,10 @@ class Items:
     ids: list
     texts: list[list[int]]
     number: dict[str, int]
-    #: By n-gram length: sorted codes, and for each its range in the places.
-    codes: dict[int, np.ndarray]
-    begins: dict[int, np.ndarray]
-    places: dict[int, np.ndarray]
+    #: Sorted codes, and for each its range in the places: item and word.
+    codes: np.ndarray
+    begins: np.ndarray
+    places: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
@@ -62,36 +61,32 @@ class Items:
         ids, texts = [], []
         for item, text in rows:
             found = words(text)
-            if len(found) >= SHORT:
+            if len(found) >= SEED:
                 ids.append(item)
                 texts.append([number.setdefault(w, len(number) + 1) for w in found])
-        codes, begins, places = {}, {}, {}
-        for n in (SHORT, LONG):
-            all_codes, owners = [], []
-            for i, text in enumerate(texts):
-                own = ngrams(np.array(text, np.int64), n, len(number) + 1)
-                all_codes.append(own)
-                owners.append(np.stack([np.full(len(own), i), np.arange(len(own))], axis=1))
-            flat = np.concatenate(all_codes) if all_codes else np.zeros(0, np.uint64)
-            owner = np.concatenate(owners) if owners else np.zeros((0, 2), np.int64)
-            order = np.argsort(flat, kind="stable")
-            codes[n], first = np.unique(flat[order], return_index=True)
-            begins[n] = np.append(first, len(flat))
-            places[n] = owner[order]
-        return cls(ids, texts, number, codes, begins, places)
+        all_codes, owners = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+        for i, text in enumerate(texts):
+            own = ngrams(np.array(text, np.int64), SEED, len(number) + 1)
+            all_codes.append(own)
+            owners.append(np.stack([np.full(len(own), i), np.arange(len(own))], axis=1))
+        flat = np.concatenate(all_codes)
+        order = np.argsort(flat, kind="stable")
+        codes, first = np.unique(flat[order], return_index=True)
+        return cls(
+            ids, texts, number, codes, np.append(first, len(flat)), np.concatenate(owners)[order]
+        )
 
     def numbered(self, text: str | None) -> np.ndarray:
         get = self.number.get
         return np.array([get(w, 0) for w in words(text)], np.int64)
 
-    def found(self, numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a text where an item's n-gram begins, and which n-gram."""
-        codes = self.codes[n]
-        own = ngrams(numbers, n, len(self.number) + 1)
-        if not len(codes) or not len(own):
+    def found(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a text where a seed begins, and which seed."""
+        own = ngrams(numbers, SEED, len(self.number) + 1)
+        if not len(self.codes) or not len(own):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-        hit = np.flatnonzero((codes[at] == own) & _known(numbers, n))
+        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+        hit = np.flatnonzero((self.codes[at] == own) & _known(numbers, SEED))
         return hit, at[hit]
 
 
@@ -155,47 +150,59 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), begin, end
 
 
-def _candidates(items: Items, rare: np.ndarray, numbers: np.ndarray) -> dict[int, list]:
-    """For each item with enough seeds close together, spans of the text to align."""
+def _candidates(items: Items, numbers: np.ndarray) -> dict[int, list]:
+    """For each item with a seed in a text, spans of the text to align."""
+    begun, codes = items.found(numbers)
+    if not len(begun):
+        return {}
+    first = items.begins[codes]
+    count = items.begins[codes + 1] - first
+    at = np.repeat(begun, count)
+    step = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    owner = items.places[np.repeat(first, count) + step, 0]
+    order = np.lexsort((at, owner))
     spans: dict[int, list] = {}
-    hits: dict[int, list] = {}
-    for n in (SHORT, LONG):
-        begun, codes = items.found(numbers, n)
-        if n == SHORT:
-            begun, codes = begun[rare[codes]], codes[rare[codes]]
-        for at, code in zip(begun, codes):
-            for item, place in items.places[n][items.begins[n][code] : items.begins[n][code + 1]]:
-                hits.setdefault(int(item), []).append((int(at), int(place), n == LONG))
-    for item, seeds in hits.items():
+    for item, at in zip(owner[order].tolist(), at[order].tolist()):
         size = len(items.texts[item])
-        seeds.sort()
-        for k, (at, place, long) in enumerate(seeds):
-            close = long
-            if not close:
-                j = k + 1
-                while j < len(seeds) and seeds[j][0] - at <= 2 * size:
-                    if seeds[j][0] != at and seeds[j][1] != place:
-                        close = True
-                        break
-                    j += 1
-            if close:
-                low, high = max(0, at - 2 * size), min(len(numbers), at + 4 * size)
-                own = spans.setdefault(item, [])
-                if own and low <= own[-1][1]:
-                    own[-1][1] = high
-                else:
-                    own.append([low, high])
+        low, high = max(0, at - 2 * size), min(len(numbers), at + 4 * size)
+        own = spans.setdefault(item, [])
+        if own and low <= own[-1][1]:
+            own[-1][1] = high
+        else:
+            own.append([low, high])
     return spans
 
 
-def leaks_of(items: Items, rare: np.ndarray, text: str | None) -> list[tuple]:
+def score_bound(item: np.ndarray, text: np.ndarray) -> float:
+    """No alignment that scores at least ``LEAST_SCORE`` scores more than this.
+
+    A word of the text that the item lacks costs one, any other gains at most a match; and
+    such an alignment spans at most twice the item's words (matches m and other words e of
+    the text: 2 m - e is at least the item's size, which is at least m).
+    """
+    gains = np.where(np.isin(text, item), MATCH, max(MISMATCH, GAP))
+    total = np.concatenate([[0], np.cumsum(gains)])
+    widest = 2 * len(item) + 1
+    # The least total among those up to so many words before, in doubling steps.
+    least = np.concatenate([np.full(widest - 1, total.max()), total])
+    have = 1
+    while have < widest:
+        step = min(have, widest - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return (total - least).max() / (MATCH * len(item))
+
+
+def leaks_of(items: Items, text: str | None) -> list[tuple]:
     """Item id, score and word span of each leak in a text, best place per item."""
     numbers = items.numbered(text)
     out = []
-    for item, spans in _candidates(items, rare, numbers).items():
+    for item, spans in _candidates(items, numbers).items():
         target = np.array(items.texts[item], np.int64)
         step, most = 64 * len(target), (0.0, 0, 0)
         for low, high in spans:
+            if score_bound(target, numbers[low:high]) < LEAST_SCORE:
+                continue
             # Long spans in overlapping windows, so that none grows with the text.
             for i in range(low, high, step):
                 score, begin, end = align(target, numbers[i : min(high, i + step + 4 * len(target))])
@@ -220,30 +227,6 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Ite
         yield block
 
 
-def _rare(docs: DataFrame, items: Items, text: str) -> np.ndarray:
-    """Which short n-grams are rare, by the number of all documents that hold them."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        total = np.zeros(len(own.codes[SHORT]), np.int64)
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                total[np.unique(own.found(own.numbered(value), SHORT)[1])] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen), pa.array(total[seen])], ["code", "n"]
-        )
-
-    n_docs = docs.select(text).count()
-    limit = max(RARE_COUNT, RARE_SHARE * n_docs)
-    counts = docs.select(text).mapInArrow(run, "code long, n long").groupBy("code")
-    rare = np.ones(len(items.codes[SHORT]), bool)
-    for row in counts.agg(F.sum("n").alias("n")).filter(F.col("n") > limit).select("code").collect():
-        rare[row.code] = False
-    return rare
-
-
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -266,18 +249,17 @@ def find_leaks(
     )
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, item, item_text, block_words):
-        items = Items.of(block)
-        shared = spark.sparkContext.broadcast((items, _rare(docs, items, text)))
+        shared = spark.sparkContext.broadcast(Items.of(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            own, rare = shared.value
+            own = shared.value
             for batch in batches:
                 found = [
                     (k, *leak)
                     for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for leak in leaks_of(own, rare, value)
+                    for leak in leaks_of(own, value)
                 ]
                 columns = list(zip(*found)) or [[]] * len(schema)
                 yield pa.RecordBatch.from_arrays(
@@ -299,15 +281,14 @@ def keep_clean(
 ) -> DataFrame:
     """The rows without a leak of any item, with their own columns."""
     spark = docs.sparkSession
-    corpus, at = docs, docs.columns.index(text)
+    at = docs.columns.index(text)
     for block in _blocks(benchmark, item, item_text, block_words):
-        items = Items.of(block)
-        shared = spark.sparkContext.broadcast((items, _rare(corpus, items, text)))
+        shared = spark.sparkContext.broadcast(Items.of(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, rare = shared.value
+            own = shared.value
             for batch in batches:
-                clean = [not leaks_of(own, rare, x) for x in batch.column(at).to_pylist()]
+                clean = [not leaks_of(own, x) for x in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -95,6 +95,36 @@ def test_a_passage_in_every_document_is_found(docs, prose, items):
     assert found.count() == 50
 
 
+
+def test_an_edited_passage_in_many_documents_is_found(docs, prose, items):
+    """Every fifth word replaced, so no six words in a row, in more documents than 0.1%."""
+    known = [r for r in items.collect() if len(D.words(r.text)) >= 20][:4]
+    rows, want = [], set()
+    for n, r in enumerate(known):
+        passage = " ".join(
+            "other" if i % 5 == 4 else w for i, w in enumerate(D.words(r.text))
+        )
+        for k in range(12):
+            rows.append((100 * n + k, f"{prose[k]} {passage} {prose[k + 12]}"))
+            want.add((100 * n + k, r.item_id))
+    frame = docs(rows)
+    assert want <= {(r.doc_id, r.item_id) for r in D.find_leaks(frame, items).collect()}
+    assert D.keep_clean(frame, items).count() == 0
+
+
+def test_no_alignment_scores_over_its_bound():
+    draw = random.Random(7)
+    leaks = 0
+    for _ in range(500):
+        item = np.array([draw.randint(1, 9) for _ in range(draw.randint(3, 20))])
+        text = np.array([draw.randint(0, 9) for _ in range(draw.randint(1, 60))])
+        score = D.align(item, text)[0]
+        if score >= D.LEAST_SCORE:
+            leaks += 1
+            assert score <= D.score_bound(item, text)
+    assert leaks > 50
+
+
 def test_blocks_of_items_change_nothing(docs, prose, items):
     texts = [f"{t} {r.text}" for t, r in zip(prose, items.collect())]
     frame = docs(list(enumerate(texts)))
