@@ -2,9 +2,13 @@
 
 Every page scores its containers: text outside links counts fully for the element that
 holds it directly and less for each element further out, and elements that name
-themselves an article count more. The best container's path of tags and classes, digits
-generalised, is the page's vote. Votes are summed per host in Spark; each page is then
-extracted again at its host's winning path, or at its own if it has no such element.
+themselves an article count more. From the best container the page climbs to the outermost
+element that names itself an article around it, or else to the outermost one inside the body
+whose other text is not mostly links: titles, leads and sections beside the longest one belong
+to the text. That element's path of tags and classes, digits generalised, is the page's vote.
+Votes are summed per host in Spark; each page is then extracted again at its host's winning
+path, without blocks of links that lie outside the best containers. Where that is less than
+``LEAST_SHARE`` of what the page's own path holds, the blocks of both are taken.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out, by tag, class, id or role. If nothing remains, names are
@@ -92,6 +96,10 @@ NEVER_BY_NAME = {"html", "body", "main", "article"}
 BONUS = {"article": 1.5, "main": 1.3}
 CONTENT_NAMES = {"article", "content", "entry", "post", "story", "main", "text", "body"}
 OUTER = 0.8
+#: Elements around the whole page, to which no article climbs.
+WHOLE_PAGE = {"", "html", "body"}
+#: Share of the text at a page's own path below which its host's path holds a teaser.
+LEAST_SHARE = 1 / 3
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -254,38 +262,94 @@ def best_path(blocks: list[tuple[str, str, int]]) -> str | None:
     return min(scores, key=lambda x: (-scores[x], x))
 
 
-def text_at(blocks: list[tuple[str, str, int]], path: str) -> str:
-    """Blocks inside elements of a path, one per line."""
-    inner = path + ">"
-    return "\n".join(t for p, t, _ in blocks if p == path or p.startswith(inner))
+def _inside(path: str, outer: str) -> bool:
+    return path == outer or path.startswith(outer + ">")
+
+
+def _of_article(path: str, core: str) -> bool:
+    """Whether a container is an article by its tag, or by name and around the best one."""
+    tag, _, names = path.rpartition(">")[2].partition(".")
+    return tag in BONUS or path != core and bool(CONTENT_NAMES.intersection(_parts(names)))
+
+
+def whole_path(blocks: list[tuple[str, str, int]], core: str) -> str:
+    """Path of the outermost container around the best one that is article text as well."""
+    steps = core.split(">")
+    if steps[-1].partition(".")[0] in WHOLE_PAGE:
+        return core
+    around = [
+        ">".join(steps[: k + 1])
+        for k, step in enumerate(steps)
+        if step.partition(".")[0] not in WHOLE_PAGE
+    ]
+    named = next((x for x in around if _of_article(x, core)), None)
+    if named is not None:
+        return named
+    for outer in around:
+        rest = [x for x in blocks if _inside(x[0], outer) and not _inside(x[0], core)]
+        if 2 * sum(x[2] for x in rest) <= sum(len(x[1]) for x in rest):
+            return outer
+    return core
+
+
+def _blocks_at(blocks: list[tuple[str, str, int]], path: str, cores: set[str]) -> set[int]:
+    """Numbers of the blocks at a path; those of links only inside a best container."""
+    return {
+        i
+        for i, (p, text, linked) in enumerate(blocks)
+        if _inside(p, path) and (2 * linked <= len(text) or any(_inside(p, c) for c in cores))
+    }
+
+
+def text_at(blocks: list[tuple[str, str, int]], path: str | None, core: str | None) -> str:
+    """Blocks at the host's path, one per line, and at the page's own if those are few."""
+    if not blocks:
+        return ""
+    own = best_path(blocks)
+    taken = _blocks_at(blocks, path, {core, own}) if path is not None else set()
+    mine = _blocks_at(blocks, whole_path(blocks, own), {own})
+    size = sum(len(blocks[i][1]) for i in taken)
+    if size < LEAST_SHARE * sum(len(blocks[i][1]) for i in mine):
+        taken |= mine
+    return "\n".join(blocks[i][1] for i in sorted(taken))
 
 
 def host_paths(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
-    """``host`` and ``path``: the path with most votes of the host's pages."""
+    """``host``, ``path`` with most votes of the host's pages, and its usual ``core``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes: Counter = Counter()
             for host, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                path = best_path(blocks_of(value))
-                if path is not None:
-                    votes[host, path] += 1
+                blocks = blocks_of(value)
+                core = best_path(blocks)
+                if core is not None:
+                    votes[host, whole_path(blocks, core), core] += 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([h for h, _ in votes], pa.string()),
-                    pa.array([p for _, p in votes], pa.string()),
+                    *[pa.array([x[i] for x in votes], pa.string()) for i in range(3)],
                     pa.array(list(votes.values()), pa.int64()),
                 ],
-                ["host", "path", "n"],
+                ["host", "path", "core", "n"],
             )
 
     hosted = with_parts(pages.select(F.col(url).alias("url"), F.col(page).alias("page")))
-    votes = hosted.select("host", "page").mapInArrow(run, "host string, path string, n long")
+    votes = hosted.select("host", "page").mapInArrow(
+        run, "host string, path string, core string, n long"
+    )
     winners = (
-        votes.groupBy("host", "path")
+        votes.groupBy("host", "path", "core")
         .agg(F.sum("n").alias("n"))
+        .groupBy("host", "path")
+        .agg(
+            F.min_by("core", F.struct(-F.col("n"), F.col("core"))).alias("core"),
+            F.sum("n").alias("n"),
+        )
         .groupBy("host")
-        .agg(F.min_by("path", F.struct(-F.col("n"), F.col("path"))).alias("path"))
+        .agg(
+            F.min_by(F.struct("path", "core"), F.struct(-F.col("n"), F.col("path"))).alias("best")
+        )
+        .select("host", "best.path", "best.core")
     )
     # Written: its size is looked at before it is joined, and pages are scored once.
     return materialise(winners, "host-paths")
@@ -310,13 +374,8 @@ def extract(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for value, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                blocks = blocks_of(value)
-                text = text_at(blocks, path) if path is not None else ""
-                if not text and blocks:
-                    text = text_at(blocks, best_path(blocks))
-                texts.append(text)
+            columns = [batch.column(i).to_pylist() for i in (2, 3, 4)]
+            texts = [text_at(blocks_of(x), path, core) for x, path, core in zip(*columns)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema.names
             )
@@ -326,4 +385,4 @@ def extract(
     ).select("id", "url", "page", "host")
     small = winners.count() <= MAX_BROADCAST_HOSTS
     joined = hosted.join(F.broadcast(winners) if small else winners, "host", "left")
-    return joined.select("id", "url", "page", "path").mapInArrow(run, schema)
+    return joined.select("id", "url", "page", "path", "core").mapInArrow(run, schema)

@@ -43,6 +43,52 @@ def test_hosts_agree_on_a_path(pages):
     assert found[10].startswith("a long list")
 
 
+
+def test_nested_layouts_keep_title_lead_and_sections(pages):
+    """Parts of the article one or two elements outside its longest container."""
+    lead, body = "the lead " * 10, "the body text " * 70
+    text = f"<h1>Title</h1><p>{lead}</p>"
+    layouts = [
+        f"<div class=post>{text}<div class=text><p>{body}</p></div></div>",
+        f"<article>{text}<div><div class=text><p>{body}</p></div></div></article>",
+        f"<div class=x>{text}<div class=y><div class=z><p>{body}</p></div></div></div>",
+        f"<div class=x>{text}<div class=text><p>{body}</p></div></div>",
+        f"<div class=x><div class=a><h1>Title</h1></div><div class=b><p>{lead}</p></div>"
+        f"<div class=c><p>{body}</p></div></div>",
+    ]
+    links = "<div class=all><p><a href=/a>Some other page</a></p></div>"
+    rows = [
+        (10 * i + k, f"http://h{i}/{k}", f"<html><body>{links}{x}{links}</body></html>")
+        for i, x in enumerate(layouts)
+        for k in range(3)
+    ]
+    want = f"Title\n{lead.strip()}\n{body.strip()}"
+    for r in extracted(pages, rows):
+        assert r.text == want, r.page_id
+
+
+def test_links_beside_the_article_stay_out(pages):
+    body = "the body text " * 30
+    page = (
+        "<body><div class=page><div class=post><h1>Title</h1>"
+        f"<p><a href=/x>Some link</a></p><div class=text><p>{body}</p><p><a href=/y>Source</a></p>"
+        "</div></div><div class=more><p><a href=/a>Some other page of this site</a></p></div></div>"
+    )
+    assert extracted(pages, [(1, "http://h/1", page)])[0].text == (
+        f"Title\n{body.strip()}\nSource"
+    )
+
+
+def test_a_teaser_at_the_path_of_the_host_is_not_all(pages):
+    body = "the body text " * 30
+    usual = f"<body><div class=text><p>{body}</p></div>"
+    other = f"<body><div class=text><p>A teaser</p></div><div class=long><p>{body}</p></div>"
+    rows = [(i, "http://h/x", usual) for i in range(5)] + [(9, "http://h/y", other)]
+    found = {r.page_id: r.text for r in extracted(pages, rows)}
+    assert found[1] == body.strip()
+    assert found[9] == f"A teaser\n{body.strip()}"
+
+
 def test_paths_are_generalised():
     blocks = H.read_blocks('<div class="post-12 b a"><p>x</p></div>')
     assert blocks == [(">div.a.b.post-#", "x", 0)]
