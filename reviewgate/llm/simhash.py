@@ -256,8 +256,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         "group-heads",
     )
     single = F.col("n") == 1
+    # How many of all rows have the key of a head: others with it may be in other groups.
+    every = docs.select(F.col(key).alias("_head"), F.lit(1).alias("n"), F.lit(False).alias("head"))
+    own = rows.select(F.col("id").alias("_head"), F.lit(0).alias("n"), F.lit(True).alias("head"))
     counted = materialise(
-        rows.groupBy("id").agg(F.count("*").alias("n")).select(F.col("id").alias("_head"), "n"),
+        every.union(own)
+        .groupBy("_head")
+        .agg(F.sum("n").alias("n"), F.max("head").alias("head"))
+        .filter("head")
+        .select("_head", "n"),
         "heads-by-key",
     )
     heads = counted.filter(single & F.col("_head").isNotNull()).select("_head")

@@ -152,6 +152,14 @@ def test_one_row_of_each_group_stays(docs, prose):
     assert got == sorted([*want, (6, "", None)], key=str)
 
 
+def test_a_key_of_a_head_on_another_text_goes(docs, prose):
+    """Key 5 heads its own group, and stands on a second text whose group 3 heads."""
+    rows = [(5, prose[1]), (3, prose[2]), (5, prose[2]), (7, prose[4])]
+    kept = simhash.keep_one(docs(rows)).collect()
+    want = [(3, prose[2]), (5, prose[1]), (7, prose[4])]
+    assert sorted((r.doc_id, r.text) for r in kept) == want
+
+
 def test_empty_table(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     assert simhash.keep_one(docs([])).count() == 0
