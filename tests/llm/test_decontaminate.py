@@ -112,6 +112,15 @@ def test_an_edited_passage_in_many_documents_is_found(docs, prose, items):
     assert D.keep_clean(frame, items).count() == 0
 
 
+def test_short_items_are_found_at_any_frequency(spark, docs, prose):
+    """Items of three to five words, in more documents than 0.1%."""
+    texts = ["zebra quartz lantern", "amber violin copper tide", "nine pale foxes dig wells"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(100 * n + k, f"{prose[k]} {x} {prose[k]}") for n, x in enumerate(texts) for k in range(8)]
+    found = D.find_leaks(docs(rows), items).filter("score = 1").collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(d, d // 100) for d, _ in rows}
+
+
 def test_no_alignment_scores_over_its_bound():
     draw = random.Random(7)
     leaks = 0
