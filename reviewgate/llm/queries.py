@@ -14,6 +14,7 @@ from reviewgate.llm import (
     decontaminate,
     html_text,
     language_id,
+    lexical,
     quality_rules,
     sharding,
     simhash,
@@ -231,3 +232,51 @@ def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
     )
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+ORACLE["op11_lexical_search"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL
+), docs AS (
+  SELECT *, len(terms)::BIGINT AS size FROM texts WHERE len(terms) > 0
+), whole AS (
+  SELECT count(*)::BIGINT AS documents, sum(size)::BIGINT AS length FROM docs
+), asked AS (
+  SELECT item_row, item_id, term, count(*)::BIGINT AS repeats
+  FROM (SELECT row_number() OVER () AS item_row, item_id, unnest(regexp_extract_all(
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark WHERE text IS NOT NULL)
+  GROUP BY ALL
+), counted AS (
+  SELECT r, term, count(*)::BIGINT AS tf
+  FROM (SELECT r, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term,
+         floor(1000 * ln((2 * any_value(documents) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT
+           AS weight
+  FROM counted, whole GROUP BY term
+), scored AS (
+  SELECT item_row, item_id, r, doc_id,
+         sum(repeats * weight
+             * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * documents) // length))))::BIGINT
+           AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN docs USING (r), whole
+  GROUP BY item_row, item_id, r, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (
+              PARTITION BY item_row ORDER BY score DESC, doc_id ASC NULLS FIRST)::INTEGER AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
