@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewgate.llm import (
+    backoff_lm,
     bpe,
     cotraining,
     decontaminate,
@@ -280,3 +281,8 @@ WITH texts AS (
 )
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@query
+def op12_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return backoff_lm.score_texts(table(spark, sf, "documents"))
