@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reviewgate.llm import (
     backoff_lm,
     bpe,
+    conversation_repair,
     cotraining,
     decontaminate,
     html_text,
@@ -286,3 +287,94 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 @query
 def op12_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
     return backoff_lm.score_texts(table(spark, sf, "documents"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf, "conversations"))
+    return conversation_repair.repaired_digests(rows)
+
+
+ORACLE["op13_conversation_repair"] = r"""
+WITH RECURSIVE bytes AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(
+           list_prepend(b::BIGINT, range(8)::BIGINT[]),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), checked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(
+           list_prepend(4294967295::BIGINT,
+             list_transform(
+               regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':'
+                                             || coalesce(turn::VARCHAR, ' '))), '..'),
+               lambda x: ('0x' || x)::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])),
+           4294967295)::BIGINT % 20 AS damage
+  FROM conversations, bytes
+), remaining AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN damage = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM checked WHERE damage <> 0
+), ordered AS (
+  SELECT *, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i
+  FROM remaining
+), marked AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS previous,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't'
+              ELSE '-' END AS fault
+  FROM ordered
+), steps(q, x, q2) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), added(q, q2, cost, letters, lines) AS (
+  SELECT q, q, 0, '', '' FROM (VALUES (0), (1), (2), (3)) AS all_states(q)
+  UNION ALL SELECT q, 2, 3, 'I', chr(10) || 'user:' FROM (VALUES (0), (1), (3)) AS s(q)
+  UNION ALL SELECT 2, 3, 3, 'I', chr(10) || 'assistant:'
+  UNION ALL SELECT q, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'
+            FROM (VALUES (0), (1), (3)) AS s(q)
+  UNION ALL SELECT 2, 2, 6, 'II', chr(10) || 'assistant:' || chr(10) || 'user:'
+), edits AS (
+  SELECT conv_id, i, q, q AS q2, 4 AS cost, 'D' AS letter, '' AS line
+  FROM marked, (VALUES (0), (1), (2), (3)) AS s(q)
+  UNION ALL
+  SELECT conv_id, i, q, q2, CASE fault WHEN 't' THEN 3 ELSE 0 END, 'K',
+         chr(10) || role || ':' || text
+  FROM marked JOIN steps ON x = initial WHERE fault NOT IN ('b', 'd')
+  UNION ALL
+  SELECT conv_id, i, q, q2, CASE fault WHEN 't' THEN 6 ELSE 3 END, 'R',
+         chr(10) || CASE x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text
+  FROM marked, steps WHERE fault NOT IN ('b', 'd') AND x <> 's'
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'lines': ''} AS best
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, e.q2,
+         min({'cost': w.best.cost + a.cost + e.cost, 'audit': w.best.audit || a.letters || e.letter,
+              'lines': w.best.lines || a.lines || e.line})
+  FROM walk w JOIN added a ON a.q = w.q
+       JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.q = a.q2
+  GROUP BY w.conv_id, w.i, e.q2
+), counted AS (
+  SELECT conv_id, count(*) AS n,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+), ended AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + a.cost, 'audit': w.best.audit || a.letters,
+                         'lines': w.best.lines || a.lines}) AS best
+  FROM walk w JOIN added a ON a.q = w.q AND a.q2 IN (0, 3)
+       LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id
+  WHERE w.i = coalesce(c.n, 0) GROUP BY w.conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, best.cost AS cost, best.audit AS audit,
+       sha256(substr(best.lines, 2)) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
