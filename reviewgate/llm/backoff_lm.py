@@ -231,7 +231,7 @@ def send_counts(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                     # The mark that begins a text has as many counts as the end.
                     hashes, counts = (x[1:] if k == 1 else x for x in (grams.hashes, grams.counts))
                     rows = [
-                        (row["block"], k, b, hashes[own].tobytes(), counts[own].astype(np.int32).tobytes())
+                        (row["block"], k, b, hashes[own].tobytes(), _packed(counts[own]))
                         for b, own in _dealt(hashes, buckets)
                     ]
                     yield from _arrow(rows, SENT).to_batches()
@@ -245,7 +245,7 @@ def add_up(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     sizes = [len(r["hashes"]) // 8 for r in rows]
     hashes = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
-    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.int32)
+    counts = np.concatenate([_unpacked(r["counts"], np.int64) for r in rows])
     names, which = np.unique(hashes, return_inverse=True)
     totals = np.zeros(len(names), np.int64)
     np.add.at(totals, which, counts)
@@ -253,7 +253,7 @@ def add_up(table: pa.Table) -> pa.Table:
     # The bucket's own sums go with its first row.
     sums = [int(np.count_nonzero(totals)), int(np.count_nonzero(totals == 1)), int(totals.sum())]
     out = [
-        (r["block"], r["length"], r["bucket"], *(sums if i == 0 else (0, 0, 0)), own.tobytes())
+        (r["block"], r["length"], r["bucket"], *(sums if i == 0 else (0, 0, 0)), _packed(own))
         for i, (r, own) in enumerate(zip(rows, back))
     ]
     return _arrow(out, TOTALS)
@@ -349,7 +349,7 @@ def score_block(
     for k, own in enumerate(grams, 1):
         total, skip = np.zeros(len(own.hashes), np.int64), int(k == 1)
         for bucket, which in _dealt(own.hashes[skip:], buckets):
-            total[which + skip] = np.frombuffer(sent[k, bucket], np.int64)
+            total[which + skip] = _unpacked(sent[k, bucket], np.int64)
         totals.append(total)
     automaton = Automaton.of(grams, totals, corpus)
     counts = totals[0][ids]
