@@ -1144,6 +1144,14 @@ sql(
   0.5::DOUBLE AS confidence, 1500 AS sources_used, NULL::VARCHAR AS error FROM texts""",
     _PARTS,
 )
+sql(
+    "product_summary_tree",
+    "sreviews",
+    """SELECT product_id, count(*) || ' reviews' AS summary, 0.5::DOUBLE AS confidence,
+  CAST(count(*) AS INTEGER) AS sources_used, count(DISTINCT part) AS n_parts,
+  0::BIGINT AS failed_parts, NULL::VARCHAR AS error FROM parted GROUP BY product_id""",
+    {k: v.replace("100000", "5000") for k, v in _PARTS.items() if k != "texts"},
+)
 _SDOC = {
     "answered": f"SELECT *, {summary_response('k')} AS answer FROM reviews",
     "sdocs": f"SELECT *, {unfenced('answer')} AS doc FROM answered",

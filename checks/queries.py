@@ -33,7 +33,11 @@ from reviewgate.operators.scoring import mock_scores, model_cost
 from reviewgate.plans import analysis as analysis_plans
 from reviewgate.plans import reports
 from reviewgate.plans.moderation import decide, prepare_input, run_moderation, scored_reviews
-from reviewgate.plans.summaries import stored_summaries, summarise_within_limits
+from reviewgate.plans.summaries import (
+    stored_summaries,
+    summarise_tree,
+    summarise_within_limits,
+)
 from reviewgate.schemas import REVIEW
 from reviewgate.session import scratch_path, tune
 from reviewgate.sources import reviews as review_source
@@ -928,6 +932,30 @@ def limited_summaries(spark, sf):
     return rows.select("product_id", "part", "summary", "confidence", "sources_used", "error")
 
 
+def adding_summariser():
+    """A stand-in model that counts the reviews of a part, or adds up those behind summaries."""
+
+    def summarise(prompt: str, max_tokens: int) -> str:
+        import re
+
+        below = re.findall(r"(?m)^Summary of (\d+) reviews: \1 reviews", prompt)
+        n = sum(map(int, below)) or len(re.findall(r"(?m)^Rating: \d/5 - ", prompt))
+        return f'{{"summary": "{n} reviews", "confidence": 0.5, "sources_used": {n}}}'
+
+    return summarise
+
+
+@query
+def product_summary_tree(spark, sf):
+    """One summary per product from parts of 5,000 characters, three at a time."""
+    rows = summarise_tree(
+        _summary_reviews(spark, sf), adding_summariser(), part_chars=5000, fan_in=3
+    )
+    return rows.select(
+        "product_id", "summary", "confidence", "sources_used", "n_parts", "failed_parts", "error"
+    )
+
+
 @query
 def constrained_summary(spark, sf):
     rows = X.with_summary_responses(X.reviews(spark, sf))

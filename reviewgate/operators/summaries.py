@@ -128,6 +128,56 @@ def review_parts(reviews: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     )
 
 
+def merged_parts(summaries: DataFrame, fan_in: int) -> DataFrame:
+    """The next level of a tree: ``fan_in`` neighbouring parts of a product as one.
+
+    ``reviews_content`` lists the summaries that were read, each with the number of reviews
+    behind it. ``calls`` tells whether there is anything to put together: a bundle of which
+    one part or none was read keeps that part (``only``).
+    """
+    read = c("summary").isNotNull() & c("error").isNull() & c("call_error").isNull()
+    line = F.concat(
+        F.lit("Summary of "),
+        F.coalesce("sources_used", F.lit(0)).cast("string"),
+        F.lit(" reviews: "),
+        F.regexp_replace("summary", r"\s+", " "),
+    )
+    part = F.struct(
+        (~read).alias("unread"),
+        "part",
+        F.when(read, line).alias("line"),
+        "summary",
+        "confidence",
+        "excluded_content",
+        "error",
+        "raw_content",
+        "call_error",
+    )
+    above = F.ceil(c("parts") / fan_in).cast("long")
+    bundles = summaries.groupBy(
+        "product_id", F.floor(c("part") / fan_in).cast("long").alias("_part"), above.alias("_parts")
+    ).agg(
+        # At most fan_in parts meet.
+        F.sort_array(F.collect_list(part)).alias("_read"),
+        F.sum(F.when(read, c("sources_used"))).cast("int").alias("sources_below"),
+        F.sum("n_parts").alias("n_parts"),
+        F.sum("failed_parts").alias("failed_parts"),
+        F.count_if(read).alias("_n"),
+    )
+    lines = F.filter("_read.line", lambda x: x.isNotNull())
+    return bundles.select(
+        "product_id",
+        c("_part").alias("part"),
+        c("_parts").alias("parts"),
+        F.array_join(lines, "\n").alias("reviews_content"),
+        "sources_below",
+        "n_parts",
+        "failed_parts",
+        (c("_n") > 1).alias("calls"),
+        F.element_at("_read", 1).alias("only"),
+    )
+
+
 def summary_prompts(reviews: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Statistics and summary prompt per product; the prompt is NULL when no
     review passed or a passed review's rating is no number."""
