@@ -666,6 +666,20 @@ sql(
     f"SELECT review_id, call_error, status_code, {_SCORES} FROM analysed",
     _CALLED,
 )
+_RESCORED = {
+    "asked": f"SELECT *, {_PROMPT} AS prompt_text, length({_PROMPT}) AS n1 FROM reviews",
+    "stored": """
+SELECT *, n1 + CASE WHEN bool_or(k % 2 = 0 AND n1 % 13 <> 0) OVER (PARTITION BY prompt_text)
+  THEN 0 ELSE 1 END AS n FROM asked""",
+    "called": _CALLED["called"].replace("FROM asked", "FROM stored"),
+    **strict("called"),
+}
+sql(
+    "rescored_reviews",
+    "reviews",
+    f"SELECT review_id, call_error, status_code, {_SCORES} FROM analysed",
+    _RESCORED,
+)
 sql(
     "parse_strict",
     "analysed",

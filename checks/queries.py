@@ -512,11 +512,11 @@ def aspect_prompts(spark, sf):
     )
 
 
-def length_scorer():
+def length_scorer(more: int = 0):
     """A stand-in model: scores follow the prompt's length, some calls fail."""
 
     def score(prompt: str) -> str:
-        n = len(prompt)
+        n = len(prompt) + more
         if n % 13 == 0:
             raise RuntimeError("model unavailable")
         return (
@@ -537,6 +537,23 @@ def score_reviews(spark, sf):
     return read.select("review_id", "call_error", "status_code", *_analysis_columns())
 
 
+@query
+def rescored_reviews(spark, sf):
+    """Half of the reviews, then all of them by a model that answers differently: answers of
+    the first run come from the store, its failed calls are made again."""
+    rows = X.reviews(spark, sf)
+    kept = {"path": scratch_path(spark, "responses"), "model": "length"}
+    options = {"base_delay": 0.0}
+    first = kept | {"run_id": "1"}
+    scored_reviews(rows.filter("k % 2 = 0"), length_scorer(), store=first, **options)
+    second = kept | {"run_id": "2"}
+    again = scored_reviews(rows, length_scorer(more=1), store=second, **options)
+    read = analysis.audit_response(
+        validation.input_defaults(again), "raw_response", "call_error"
+    )
+    return read.select("review_id", "call_error", "status_code", *_analysis_columns())
+
+
 @query
 def parse_strict(spark, sf):
     rows = validation.input_defaults(X.with_responses(X.reviews(spark, sf)))

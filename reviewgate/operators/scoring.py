@@ -135,6 +135,7 @@ def score_distinct(
     path: str | None = None,
     templates: dict[str, str] | None = None,
     salts: int = 16,
+    store: dict | None = None,
     **options,
 ) -> DataFrame:
     """Score each distinct input once and give the result to every row.
@@ -146,7 +147,9 @@ def score_distinct(
     more than ``hot_share`` of the rows, of which there are at most ``1 / hot_share``
     however large the table is, are dealt over ``salts`` slices; only their hashes
     are broadcast. ``shared_by`` tells how many rows a call served. With ``templates``
-    (see ``score_prompts``) the one input is filled into several prompts.
+    (see ``score_prompts``) the one input is filled into several prompts. ``store``
+    (``path``, ``run_id``, ``model``; see ``responses_store.score_stored``) keeps the answers
+    of one prompt per row over runs: what it holds is not called.
     """
     # Two hashes: 64 bits alone would collide on a table of billions of texts.
     plain = [F.coalesce(c(x).cast("string"), F.lit("\x00")) for x in inputs]
@@ -155,7 +158,12 @@ def score_distinct(
     distinct = df.groupBy(*inputs).agg(F.count(F.lit(1)).alias("_rows")).withColumns(keys)
     if templates is None:
         asked = build_prompt(distinct).select(*on, "_rows", "prompt")
-        called = score_prompts(asked, scorer, **options)
+        if store is None:
+            called = score_prompts(asked, scorer, **options)
+        else:
+            from reviewgate.operators.responses_store import score_stored
+
+            called = score_stored(asked, scorer, **store, **options)
         results = ["scored"]
     else:
         asked = distinct.select(*on, "_rows", *inputs)
