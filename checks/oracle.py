@@ -370,6 +370,24 @@ sql(
 FROM reviews LEFT JOIN labels l ON l.doc_id = k""",
 )
 ORACLE["upsert_narrow_update"] = ORACLE["upsert_reviews"]
+sql(
+    "upsert_own_bucket_column",
+    "reviews",
+    """SELECT review_id, CASE WHEN k % 3 = 0 THEN 'moved' ELSE region END AS bucket, k AS buckets
+FROM reviews""",
+)
+sql(
+    "grown_table",
+    "reviews",
+    "SELECT k, review_id, CASE WHEN k % 50 = 7 THEN 'LATE' ELSE status END AS status FROM reviews",
+)
+sql(
+    "audit_rerun_after_expiry",
+    "audit",
+    """SELECT audit_id, CASE WHEN processing_duration_ms % 2 = 0 THEN '007' ELSE '8' END AS run
+FROM audit WHERE processing_duration_ms % 2 = 0
+  OR ttl > CAST(epoch(TIMESTAMP '2024-12-31 08:00:00') AS BIGINT)""",
+)
 sql(
     "put_audit_events",
     "audit",

@@ -167,6 +167,43 @@ def put_audit_events(spark, sf):
     )
 
 
+@query
+def upsert_own_bucket_column(spark, sf):
+    """Columns named like the folders of the layout are the caller's and stay."""
+    path = scratch_path(spark, "own-names")
+    rows = X.reviews(spark, sf).select(
+        "review_id", "timestamp", c("region").alias("bucket"), c("k").alias("buckets")
+    )
+    tables.put_by_key(path, rows, "review_id", "timestamp", buckets=4)
+    late = rows.filter("buckets % 3 = 0").withColumn("bucket", F.lit("moved"))
+    tables.put_by_key(path, late, "review_id", "timestamp")
+    return tables.read_by_key(spark, path).select("review_id", "bucket", "buckets")
+
+
+@query
+def grown_table(spark, sf):
+    """Made with one row, grown by two puts that split the buckets they fill, then updated."""
+    path = scratch_path(spark, "grown")
+    rows = X.reviews(spark, sf).select("k", "review_id", "status", "timestamp")
+    for part in (rows.filter("k = 1"), rows.filter("k % 2 = 1"), rows):
+        tables.put_by_key(path, part, "review_id", "timestamp", buckets=1, bucket_rows=60)
+    late = rows.filter("k % 50 = 7").withColumn("status", F.lit("LATE"))
+    tables.put_by_key(path, late, "review_id", "timestamp", bucket_rows=60)
+    return tables.read_by_key(spark, path).select("k", "review_id", "status")
+
+
+@query
+def audit_rerun_after_expiry(spark, sf):
+    """A run whose expired rows were dropped runs again and replaces what is left of it."""
+    path = scratch_path(spark, "rerun")
+    log = X.audit_log(spark, sf)
+    tables.append_audit(log.filter("processing_duration_ms % 2 = 0"), path, "007")
+    tables.append_audit(log.filter("processing_duration_ms % 2 = 1"), path, "8")
+    tables.drop_expired(spark, path, F.lit("2024-12-31 08:00:00").cast("timestamp"))
+    tables.append_audit(log.filter("processing_duration_ms % 2 = 0"), path, "007")
+    return tables.read_audit(spark, path).select("audit_id", "run")
+
+
 def _raw_events(spark, sf):
     k = c("k")
     return X.submissions(spark, sf).select(

@@ -2,10 +2,15 @@
 
 Every write goes to a folder named by its run or batch id and overwrites that
 folder, so a repeated run or micro-batch leaves one copy of its rows.
+
+Names of folder levels (``run``, ``buckets``, ``bucket``) are free for a caller's columns: such a
+column is stored with ``own_`` before its name and gets its name back when it is read.
 """
 
 from __future__ import annotations
 
+import math
+import re
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,14 +25,31 @@ from reviewgate.session import discard, materialise, scratch_path
 c = F.col
 #: Times in JSON with all their digits.
 JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-#: Rows of a bucket of a keyed table when it is made.
+#: Rows of a bucket of a keyed table; a touched bucket of more than twice as many is split.
 BUCKET_ROWS = 100_000
+#: Buckets that are named one by one in a filter; more are joined.
+LISTED_BUCKETS = 4096
+AUDIT_LAYOUT, KEYED_LAYOUT = ("run",), ("buckets", "bucket")
 
 
 def _folder(path: str, run_id: str | int) -> str:
     return f"{path}/run={run_id}"
 
 
+def _stored_names(df: DataFrame, layout: tuple[str, ...]) -> DataFrame:
+    """Columns that are named like a folder level, out of its way."""
+    taken = re.compile(rf"(own_)*({'|'.join(layout)})")
+    return df.toDF(*[f"own_{x}" if taken.fullmatch(x) else x for x in df.columns])
+
+
+def _own_names(df: DataFrame, layout: tuple[str, ...]) -> DataFrame:
+    """The caller's names again; a folder level that would clash goes."""
+    taken = re.compile(rf"own_(own_)*({'|'.join(layout)})")
+    own = {x: x.removeprefix("own_") for x in df.columns if taken.fullmatch(x)}
+    rows = df.drop(*[x for x in own.values() if x in layout])
+    return rows.toDF(*[own.get(x, x) for x in rows.columns])
+
+
 def write_rows(df: DataFrame, path: str, run_id: str | int) -> DataFrame:
     """Write one run's rows and return what was written."""
     target = _folder(path, run_id)
@@ -42,16 +64,26 @@ def append_audit(df: DataFrame, path: str, run_id: str | int) -> DataFrame:
     ``rebalance`` gathers a day's rows into files of even size and splits a day
     that holds most of them; without it each task would write a file per day.
     """
-    rows = df.withColumn("run", F.lit(str(run_id)))
+    rows = _stored_names(df, AUDIT_LAYOUT).withColumn("run", F.lit(str(run_id)))
     rows.hint("rebalance", "event_date").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("event_date", "run").parquet(path)
     written = df.sparkSession.read.schema(rows.schema).parquet(path)
-    return written.filter(c("run") == str(run_id)).select(*df.columns)
+    own = _own_names(written.filter(c("run") == str(run_id)), AUDIT_LAYOUT)
+    return own.select(*df.columns)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A stored log. A run's id is text, whatever it looks like: ``007`` is not 7."""
+    return _own_names(_read_log(spark, path), AUDIT_LAYOUT)
+
+
+def _read_log(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.parquet(path).schema
+    schema = T.StructType(
+        [T.StructField("run", T.StringType()) if f.name == "run" else f for f in found]
+    )
+    return spark.read.schema(schema).parquet(path)
 
 
 def put_audit_batch(
@@ -116,38 +148,161 @@ def _holds_map(kind: T.DataType) -> bool:
 
 
 def put_by_key(
-    path: str, updates: DataFrame, key: str, version: str, buckets: int | None = None
+    path: str,
+    updates: DataFrame,
+    key: str,
+    version: str,
+    buckets: int | None = None,
+    bucket_rows: int | None = None,
 ) -> None:
     """Upsert into a stored table, rewriting only the buckets that change.
 
     The table is laid out by a hash of its key. The number of buckets is set when the
     table is made, by its size if not given, and kept in its folders' names; later
     puts read it there. The buckets the updates touch are read, merged and replaced; all
-    others are neither read nor written. The merged rows are written to the scratch folder
-    before the buckets they replace are dropped, so they exist in full at any moment,
-    whatever is lost; after that the scratch copy goes.
+    others are neither read nor written. A touched bucket that has grown beyond twice
+    ``bucket_rows`` is split: bucket ``b`` of ``n`` becomes ``b`` and ``b + n`` of ``2 n``, or
+    more of them at once. So buckets of several sizes lie side by side, each key in one.
+
+    The merged rows are written to the scratch folder before the buckets they replace are
+    dropped, so they exist in full at any moment, whatever is lost; after that the scratch
+    copy goes. A split bucket's folder goes last; readers ignore it once its parts are there.
     """
     spark = updates.sparkSession
-    stored = _stored_buckets(spark, path)
-    count = stored or buckets or max(64, -(-updates.count() // BUCKET_ROWS))
-    bucketed = updates.withColumns(
-        {"buckets": F.lit(count), "bucket": _bucket(c(key), count)}
-    )
-    if stored is None:
-        _write_buckets(upsert(None, bucketed, key, version), path)
+    most = bucket_rows or BUCKET_ROWS
+    stored = live_buckets(spark, path)
+    rows = _stored_names(updates, KEYED_LAYOUT)
+    key, version = [f"own_{x}" if x in KEYED_LAYOUT else x for x in (key, version)]
+    if not stored:
+        count = buckets or max(64, -(-updates.count() // most))
+        rows = rows.withColumns({"buckets": F.lit(count), "bucket": _bucket(c(key), count)})
+        first = upsert(None, rows, key, version)
+        if buckets:
+            first = materialise(first, "put-first")
+            first = _grown(first, key, _split_buckets(first, most))
+        _write_buckets(first, path)
         return
-    touched = [r[0] for r in bucketed.select("bucket").distinct().collect()]
-    current = read_by_key(spark, path).filter(c("bucket").isin(touched))
+    placed = materialise(_placed(spark, rows, key, stored), "put-placed")
+    touched = placed.select("buckets", "bucket").distinct()
+    current = _read_stored(spark, path)
+    if len(stored) <= LISTED_BUCKETS or touched.count() <= LISTED_BUCKETS:
+        current = current.filter(_listed([tuple(r) for r in touched.collect()]))
+    else:
+        current = current.join(touched, ["buckets", "bucket"], "left_semi")
     scratch = scratch_path(spark, "upsert")
-    _write_buckets(
-        materialise(upsert(current, bucketed, key, version), "upsert", scratch), path
-    )
+    merged = materialise(upsert(current, placed, key, version), "upsert", scratch)
+    split = _split_buckets(merged, most)
+    _write_buckets(_grown(merged, key, split), path)
+    for count, bucket, _ in split:
+        discard(spark, f"{path}/buckets={count}/bucket={bucket}")
     discard(spark, scratch)
 
 
+def _listed(places: list[tuple[int, int]]) -> Column:
+    """Whether a row lies in one of these buckets; prunes folders."""
+    out = F.lit(False)
+    for count in {n for n, _ in places}:
+        own = [b for n, b in places if n == count]
+        out = out | ((c("buckets") == count) & c("bucket").isin(own))
+    return out
+
+
+def _placed(
+    spark: SparkSession, rows: DataFrame, key: str, stored: list[tuple[int, int]]
+) -> DataFrame:
+    """Rows with the bucket their key belongs to: the finest that there is, or, where no row
+    has come yet, one of the count the table was made with."""
+    counts = sorted({n for n, _ in stored}, reverse=True)
+    at = [_bucket(c(key), n) for n in counts]
+    if len(counts) == 1:
+        return rows.withColumns({"buckets": F.lit(counts[0]), "bucket": at[0]})
+    there = spark.createDataFrame(stored, "_n int, _b int")
+    if len(stored) <= LISTED_BUCKETS:
+        there = F.broadcast(there)
+    fine, place = F.lit(counts[-1]), at[-1]
+    for i, (n, own) in enumerate(zip(counts, at)):
+        found = there.filter(c("_n") == n).select(c("_b").alias(f"_b{i}"))
+        rows = rows.join(found, own == c(f"_b{i}"), "left")
+    for i, (n, own) in reversed(list(enumerate(zip(counts, at)))):
+        here = c(f"_b{i}").isNotNull()
+        fine, place = F.when(here, n).otherwise(fine), F.when(here, own).otherwise(place)
+    placed = rows.withColumns({"buckets": fine, "bucket": place})
+    return placed.drop(*[f"_b{i}" for i in range(len(counts))])
+
+
+def _split_buckets(rows: DataFrame, most: int) -> list[tuple[int, int, int]]:
+    """Buckets that have grown too large, and the count that brings them to size."""
+    large = rows.groupBy("buckets", "bucket").count().filter(c("count") > 2 * most)
+    return [
+        (r["buckets"], r["bucket"], r["buckets"] << math.ceil(math.log2(r["count"] / most)))
+        for r in large.collect()
+    ]
+
+
+def _grown(rows: DataFrame, key: str, split: list[tuple[int, int, int]]) -> DataFrame:
+    """Rows with the buckets they go to once the large ones are split."""
+    if not split:
+        return rows
+    table = rows.sparkSession.createDataFrame(split, "buckets int, bucket int, _finer int")
+    if len(split) <= LISTED_BUCKETS:
+        table = F.broadcast(table)
+    marked = rows.join(table, ["buckets", "bucket"], "left")
+    finer = F.coalesce("_finer", "buckets")
+    return marked.withColumns(
+        {"buckets": finer, "bucket": F.pmod(F.xxhash64(c(key)), finer).cast("int")}
+    ).drop("_finer")
+
+
+def live_buckets(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """The buckets of a stored table: (count, number)."""
+    return _bucket_folders(spark, path)[0]
+
+
+def _bucket_folders(spark: SparkSession, path: str) -> tuple[list, set]:
+    """Live buckets and those that were split, from the folders' names. A bucket of which
+    finer parts exist was split; what is left of it does not count."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/buckets=*/bucket=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    names = [str(x.getPath()) for x in found or []]
+    places = {
+        (int(m[1]), int(m[2]))
+        for x in names
+        if (m := re.search(r"/buckets=(\d+)/bucket=(\d+)$", x))
+    }
+    counts = sorted({n for n, _ in places})
+    coarser = {
+        (n, b % n) for m, b in places for n in counts if n < m and m % n == 0
+    }
+    return sorted(places - coarser), places & coarser
+
+
+def _read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The live buckets with the columns of the layout."""
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    split = _bucket_folders(spark, path)[1]
+    # Left only by a put that was lost at its end, and as many as it split.
+    return rows.filter(~_listed(list(split))) if split else rows
+
+
 def read_by_key(spark: SparkSession, path: str) -> DataFrame:
     """A stored table with all columns that any put has given it."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    rows = _read_stored(spark, path).drop(*KEYED_LAYOUT)
+    return _own_names(rows, KEYED_LAYOUT)
+
+
+def lookup_by_key(spark: SparkSession, path: str, key: str, value) -> DataFrame:
+    """The row of one key: reads the one bucket it lies in."""
+    places, split = _bucket_folders(spark, path)
+    stored = f"own_{key}" if key in KEYED_LAYOUT else key
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    mine = F.lit(value).cast(rows.schema[stored].dataType)
+    near = F.lit(False)
+    for n in {n for n, _ in places}:
+        near = near | ((c("buckets") == n) & (c("bucket") == _bucket(mine, n)))
+    found = rows.filter(near & (c(stored) == mine))
+    if split:
+        found = found.filter(~_listed(list(split)))
+    return _own_names(found.drop(*KEYED_LAYOUT), KEYED_LAYOUT)
 
 
 def _write_buckets(rows: DataFrame, path: str) -> None:
@@ -156,17 +311,6 @@ def _write_buckets(rows: DataFrame, path: str) -> None:
     ).partitionBy("buckets", "bucket").parquet(path)
 
 
-def _stored_buckets(spark: SparkSession, path: str) -> int | None:
-    """The bucket count in the names of a table's folders; None if there is no table."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        row = spark.read.schema("buckets int").parquet(path).first()
-    except AnalysisException:
-        return None
-    return row[0] if row else None
-
-
 def write_access_path(
     df: DataFrame, path: str, key: str, time: str = "timestamp", buckets: int = 256
 ) -> None:
@@ -176,7 +320,9 @@ def write_access_path(
     its key hashes to, and within it only the row groups whose range holds the
     key. A bucket with a hot key is split over several files by ``rebalance``.
     """
-    df.withColumns(
+    rows = _stored_names(df, KEYED_LAYOUT)
+    key, time = [f"own_{x}" if x in KEYED_LAYOUT else x for x in (key, time)]
+    rows.withColumns(
         {"buckets": F.lit(buckets), "bucket": _bucket(F.col(key), buckets)}
     ).hint("rebalance", "bucket").sortWithinPartitions(
         "buckets", "bucket", key, F.desc(time)
@@ -186,11 +332,13 @@ def write_access_path(
 def read_access_path(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """Rows of one key. The bucket is a constant, so other folders are pruned."""
     rows = spark.read.parquet(path)
-    buckets = _stored_buckets(spark, path) or 1
+    places = live_buckets(spark, path)
+    buckets = places[0][0] if places else 1
+    stored = f"own_{key}" if key in KEYED_LAYOUT else key
     found = rows.filter(
-        (c("bucket") == _bucket(F.lit(value), buckets)) & (c(key) == value)
+        (c("bucket") == _bucket(F.lit(value), buckets)) & (c(stored) == value)
     )
-    return found.drop("buckets", "bucket")
+    return _own_names(found.drop("buckets", "bucket"), KEYED_LAYOUT)
 
 
 def _bucket(key: Column, buckets: int) -> Column:
@@ -227,33 +375,38 @@ def rewrite_unexpired(audit: DataFrame, target: str, now: Column) -> DataFrame:
     return audit.sparkSession.read.schema(kept.schema).parquet(target)
 
 
-def drop_expired(spark: SparkSession, path: str, now: Column) -> None:
-    """Remove expired rows from a stored log, day by day.
+def drop_expired(spark: SparkSession, path: str, now: Column) -> list:
+    """Remove expired rows from a stored log, run by run of each day; the days that changed.
 
-    Only the expiry column is read to find the days. A day of which every row has expired
-    loses its folder, a day of which some have is rewritten, all others are left alone.
+    Only the expiry column is read to find the folders. A folder of which every row has
+    expired is dropped; one of which some have is replaced by its other rows, under the same
+    day and run, so a repeated run still replaces its own; all others are left alone. The
+    rows that stay are written before anything is dropped.
     """
     from reviewgate.operators.audit import expire_audit
 
-    log = read_audit(spark, path)
+    log = _read_log(spark, path)
     gone = c("ttl") <= F.unix_timestamp(now)
-    days = (
-        log.groupBy("event_date")
+    # One row per folder of the log, which the driver lists to read it.
+    folders = (
+        log.groupBy("event_date", "run")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(gone).alias("gone"))
         .filter("gone > 0")
         .collect()
     )
-    mixed = [r["event_date"] for r in days if r["gone"] < r["n"]]
-    scratch = scratch_path(spark, "unexpired")
-    kept = None
+    mixed = [(r["event_date"], r["run"]) for r in folders if r["gone"] < r["n"]]
     if mixed:
-        kept = materialise(
-            expire_audit(log.filter(c("event_date").isin(mixed)), now), "unexpired", scratch
-        )
-    for row in days:
-        discard(spark, f"{path}/event_date={row['event_date']}")
-    if kept is not None:
-        kept.hint("rebalance", "event_date").write.mode("append").partitionBy(
-            "event_date", "run"
-        ).parquet(path)
+        scratch = scratch_path(spark, "unexpired")
+        where = F.lit(False)
+        for day in {d for d, _ in mixed}:
+            runs = [r for d, r in mixed if d == day]
+            where = where | (c("event_date").eqNullSafe(F.lit(day)) & c("run").isin(runs))
+        kept = materialise(expire_audit(log.filter(where), now), "unexpired", scratch)
+        kept.hint("rebalance", "event_date").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("event_date", "run").parquet(path)
         discard(spark, scratch)
+    for row in folders:
+        if row["gone"] == row["n"]:
+            discard(spark, f"{path}/event_date={row['event_date']}/run={row['run']}")
+    return sorted({r["event_date"] for r in folders})

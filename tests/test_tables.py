@@ -161,7 +161,7 @@ def test_expired_days_are_dropped(spark, tmp_path):
     untouched = os.listdir(f"{path}/event_date=1970-01-09/run=1")
     tables.drop_expired(spark, path, F.timestamp_seconds(F.lit(6 * day + 3600)))
     assert {r["id"] for r in tables.read_audit(spark, path).collect()} == kept
-    assert not os.path.exists(f"{path}/event_date=1970-01-01")
+    assert not os.path.exists(f"{path}/event_date=1970-01-01/run=1")
     assert os.listdir(f"{path}/event_date=1970-01-09/run=1") == untouched
 
 
