@@ -1254,6 +1254,27 @@ sql(
   CAST(sum(processing_duration_ms) AS BIGINT) AS duration_ms, {_COST} AS cost
 FROM audit {_IN} GROUP BY event_type""",
 )
+sql(
+    "rollup_statistics",
+    "audit",
+    """SELECT event_type, count(*) AS events, count(*) FILTER (WHERE NOT approved) AS violations,
+  CAST(sum(processing_duration_ms) AS BIGINT) AS duration_ms,
+  CAST(sum(CAST(cost_usd AS DECIMAL(18, 10))) AS DOUBLE) AS cost,
+  count(*) FILTER (WHERE analysis) AS analysed,
+  CAST(min(processing_duration_ms) FILTER (WHERE timed) AS DOUBLE) AS time_min,
+  CAST(max(processing_duration_ms) FILTER (WHERE timed) AS DOUBLE) AS time_max,
+  CAST(sum(processing_duration_ms) FILTER (WHERE timed) AS DOUBLE) AS time_sum,
+  count(*) FILTER (WHERE timed) AS time_n,
+  min(toxicity_score) FILTER (WHERE analysis) AS toxicity_min,
+  max(toxicity_score) FILTER (WHERE analysis) AS toxicity_max,
+  count(toxicity_score) FILTER (WHERE analysis) AS toxicity_n
+FROM (SELECT * EXCLUDE (ts), ts + to_days(CAST(processing_duration_ms % 10 AS INTEGER)) AS moved,
+        event_type = 'ANALYSIS' AS analysis,
+        event_type = 'ANALYSIS' AND processing_duration_ms > 0 AS timed FROM audit)
+WHERE moved BETWEEN TIMESTAMP '2024-01-03 05:00:00' AND TIMESTAMP '2024-01-08 10:00:00'
+  AND epoch(moved) + 365 * 86400 > epoch(TIMESTAMP '2025-01-03 08:00:00')
+GROUP BY event_type""",
+)
 sql(
     "compliance_summary",
     "audit",

@@ -31,7 +31,7 @@ from reviewgate.operators.policy import (
 )
 from reviewgate.operators.scoring import mock_scores, model_cost
 from reviewgate.plans import analysis as analysis_plans
-from reviewgate.plans import reports
+from reviewgate.plans import reports, rollup
 from reviewgate.plans.moderation import decide, prepare_input, run_moderation, scored_reviews
 from reviewgate.plans.summaries import (
     stored_summaries,
@@ -1040,6 +1040,38 @@ def events_by_type(spark, sf):
     return rows.withColumn("cost", c("cost").cast("double"))
 
 
+ROLLUP_PERIOD = ("2024-01-03T05:00:00Z", "2024-01-08T10:00:00Z")
+EXPIRY = "2025-01-03 08:00:00"
+
+
+@query
+def rollup_statistics(spark, sf):
+    """Daily sums of three runs, compacted, one run repeated, then expired: read for a period
+    that begins and ends within a day."""
+    log, path = scratch_path(spark, "rolled-log"), scratch_path(spark, "rolled-sums")
+    days = F.pmod(c("processing_duration_ms"), F.lit(10)).cast("int")
+    rows = X.audit_log(spark, sf).withColumns(
+        {
+            "timestamp": c("timestamp") + F.make_dt_interval(days),
+            "ttl": c("ttl") + days * 86400,
+            "event_date": F.date_add("event_date", days),
+        }
+    )
+    part = F.pmod(c("processing_duration_ms"), F.lit(3))
+    for run in (0, 1, 2, 1):
+        written = tables.append_audit(rows.filter(part == run), log, run)
+        rollup.append_rollup(written, path, run, log)
+        if run == 2:
+            rollup.compact_rollup(spark, path, datetime(2024, 1, 6).date())
+    rollup.expire(spark, log, path, F.lit(EXPIRY).cast("timestamp"))
+    sums = rollup.type_sums(spark, log, path, *ROLLUP_PERIOD)
+    return sums.select(
+        "event_type", "events", "violations", "duration_ms", c("cost").cast("double").alias("cost"),
+        "analysed", "time_min", "time_max", c("time_sum").cast("double").alias("time_sum"), "time_n",
+        "toxicity_min", "toxicity_max", "toxicity_n",
+    )
+
+
 @query
 def compliance_summary(spark, sf):
     rows = reports.compliance_summary(

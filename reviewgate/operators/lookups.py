@@ -153,12 +153,13 @@ def update_status(
     """Set the status of the listed reviews, and their errors when some are given.
 
     ``updates`` has ``review_id, status, processing_errors``. Of several updates of one
-    id the one with the highest ``version`` counts, without a version the last by status.
+    id the one with the highest ``version`` counts, without a version the last of the table.
     """
     update = F.struct("status", "processing_errors")
-    order = F.struct(*([version] if version else []), "status", "processing_errors")
+    order = F.struct(*([version] if version else []), "_at")
     given = (
-        updates.groupBy("review_id")
+        updates.withColumn("_at", F.monotonically_increasing_id())
+        .groupBy("review_id")
         .agg(F.max_by(update, order).alias("_update"))
         .select(
             "review_id",

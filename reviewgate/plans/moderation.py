@@ -23,6 +23,7 @@ from reviewgate.operators.scoring import Scorer, model_cost, score_distinct, sco
 from reviewgate.operators.summaries import parse_summary, single_review_prompt
 from reviewgate.operators.validation import input_defaults, split, validate_api
 from reviewgate.session import materialise
+from reviewgate.plans.rollup import append_rollup
 from reviewgate.sources.tables import append_audit, write_dead_letters, write_rows
 
 log = logging.getLogger(__name__)
@@ -130,16 +131,19 @@ def summarise_approved(decided: DataFrame, scorer: Scorer, **options) -> DataFra
 
 
 def log_decisions(
-    decided: DataFrame, out: str, run_id: str | int, moment: Column
+    decided: DataFrame, out: str, run_id: str | int, moment: Column, rollup: bool = False
 ) -> DataFrame | None:
-    """Write the audit rows of a run. If that fails the flow goes on: the decisions are set
-    aside for a later audit, and there is no log to return."""
+    """Write the audit rows of a run, and with ``rollup`` its daily sums. If that fails the
+    flow goes on: the decisions are set aside for a later audit, and there is no log to return."""
     try:
-        return append_audit(
+        logged = append_audit(
             audit_records(decided, event_time=c("timestamp"), suffix_chars=32),
             f"{out}/audit",
             run_id,
         )
+        if rollup:
+            append_rollup(logged, f"{out}/rollup", run_id, f"{out}/audit")
+        return logged
     except Exception:
         log.exception("audit of run %s failed", run_id)
         write_dead_letters(
@@ -160,6 +164,7 @@ def run_moderation(
     entered_at: datetime | None = None,
     policies: PolicySet | None = None,
     summary_scorer: Scorer | None = None,
+    rollup: bool = False,
     **scorer_options,
 ) -> dict[str, DataFrame]:
     """Batch job: validate, score, decide, then write decisions, responses, audit
@@ -193,6 +198,6 @@ def run_moderation(
     return {
         "decisions": decided,
         "responses": answered,
-        "audit": log_decisions(decided, out, run_id, moment),
+        "audit": log_decisions(decided, out, run_id, moment, rollup),
         "dead_letters": dead,
     }

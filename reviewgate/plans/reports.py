@@ -81,10 +81,14 @@ def events_by_type(audit: DataFrame, start, end) -> DataFrame:
 
 def audit_statistics(audit: DataFrame, start, end) -> DataFrame:
     """One row: totals, counts per type, violations, mean duration, cost."""
+    return statistics_of(events_by_type(audit, start, end))
+
+
+def statistics_of(by_type: DataFrame) -> DataFrame:
+    """The statistics row from measures per event type."""
     # At most one row per event type reaches the collected map.
     return (
-        events_by_type(audit, start, end)
-        .agg(
+        by_type.agg(
             F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"),
             F.map_from_entries(
                 F.sort_array(F.collect_list(F.struct("event_type", "events")))
@@ -273,7 +277,24 @@ def processing_stats(
     events = in_period(audit, start, end)
     if apply_filters:
         events = _filtered(events, product_id, user_id)
-    is_analysis = c("event_type") == "ANALYSIS"
+    shared = [
+        F.count(F.lit(1)).alias("events"),
+        exact_sum(c("model_metadata.cost_usd")).alias("cost"),
+    ]
+    key = F.coalesce("event_type", F.lit("UNKNOWN")).alias("event_type")
+    analysis = analysis_measures(c("event_type") == "ANALYSIS") if cap is None else []
+    by_type = events.groupBy(key).agg(*shared, *analysis)
+    if cap is None:
+        return processing_of(by_type, start, end)
+    newest = in_period(_of_type(audit, "ANALYSIS", cap), start, end)
+    if apply_filters:
+        newest = _filtered(newest, product_id, user_id)
+    row = _one_row(by_type.agg(*_merged_types()), newest.agg(*analysis_measures(F.lit(True))))
+    return _processing_report(row, start, end)
+
+
+def analysis_measures(condition: Column) -> list[Column]:
+    """Least, largest, sum and number of durations and scores where the condition holds."""
     values = {
         "time": F.when(
             c("processing_duration_ms") > 0, c("processing_duration_ms").cast("double")
@@ -284,47 +305,46 @@ def processing_stats(
             c("analysis_results").isNotNull(),
             F.coalesce(c("analysis_results")[f"{a}_score"], F.lit(0.0)),
         )
-
-    def measures(condition: Column) -> list[Column]:
-        out = [F.count_if(condition).alias("analysed")]
-        for name, value in values.items():
-            kept = F.when(condition, value)
-            out += [
-                F.min(kept).alias(f"{name}_min"),
-                F.max(kept).alias(f"{name}_max"),
-                exact_sum(kept).alias(f"{name}_sum"),
-                F.count(kept).alias(f"{name}_n"),
-            ]
-        return out
-
-    shared = [
-        F.count(F.lit(1)).alias("events"),
-        exact_sum(c("model_metadata.cost_usd")).alias("cost"),
-    ]
-    key = F.coalesce("event_type", F.lit("UNKNOWN")).alias("event_type")
-    analysis = measures(is_analysis) if cap is None else []
-    by_type = events.groupBy(key).agg(*shared, *analysis)
-    merged = [
+    out = [F.count_if(condition).alias("analysed")]
+    for name, value in values.items():
+        kept = F.when(condition, value)
+        out += [
+            F.min(kept).alias(f"{name}_min"),
+            F.max(kept).alias(f"{name}_max"),
+            exact_sum(kept).alias(f"{name}_sum"),
+            F.count(kept).alias(f"{name}_n"),
+        ]
+    return out
+
+
+def merged_analysis() -> list[Column]:
+    """The measures of several groups as those of one."""
+    out = [F.coalesce(F.sum("analysed"), F.lit(0)).alias("analysed")]
+    for name in ("time", *ASPECTS):
+        out += [
+            F.min(f"{name}_min").alias(f"{name}_min"),
+            F.max(f"{name}_max").alias(f"{name}_max"),
+            F.sum(f"{name}_sum").alias(f"{name}_sum"),
+            F.sum(f"{name}_n").alias(f"{name}_n"),
+        ]
+    return out
+
+
+def _merged_types() -> list[Column]:
+    return [
         F.coalesce(F.sum("cost").cast("double"), F.lit(0.0)).alias("total_cost"),
         F.map_from_entries(
             F.sort_array(F.collect_list(F.struct("event_type", "events")))
         ).alias("event_type_distribution"),
     ]
-    if cap is None:
-        merged.append(F.coalesce(F.sum("analysed"), F.lit(0)).alias("analysed"))
-        for name in values:
-            merged += [
-                F.min(f"{name}_min").alias(f"{name}_min"),
-                F.max(f"{name}_max").alias(f"{name}_max"),
-                F.sum(f"{name}_sum").alias(f"{name}_sum"),
-                F.sum(f"{name}_n").alias(f"{name}_n"),
-            ]
-        row = by_type.agg(*merged)
-    else:
-        newest = in_period(_of_type(audit, "ANALYSIS", cap), start, end)
-        if apply_filters:
-            newest = _filtered(newest, product_id, user_id)
-        row = _one_row(by_type.agg(*merged), newest.agg(*measures(F.lit(True))))
+
+
+def processing_of(by_type: DataFrame, start, end) -> DataFrame:
+    """The processing report from measures per event type."""
+    return _processing_report(by_type.agg(*_merged_types(), *merged_analysis()), start, end)
+
+
+def _processing_report(row: DataFrame, start, end) -> DataFrame:
     days = (parse_date(end) - parse_date(start)).days
     return row.select(
         F.struct(
@@ -349,6 +369,13 @@ def processing_stats(
 
 
 # --- dispatch ---------------------------------------------------------------
+#: Reports that measures per event type are enough for.
+FROM_SUMS = {
+    "compliance_summary": lambda sums, start, end: compliance_summary(statistics_of(sums)),
+    "processing_stats": lambda sums, start, end: processing_of(sums, start, end),
+}
+
+
 def build_report(
     audit: DataFrame,
     report_type: str = "compliance_summary",
@@ -361,14 +388,22 @@ def build_report(
     generated_at: datetime | None = None,
     apply_filters: bool = False,
     cap: int | None = None,
+    sums: DataFrame | None = None,
     function_name: str = "unknown",
     request_id: str = "unknown",
 ) -> DataFrame:
-    """One row: the report as JSON text with its size and record count."""
+    """One row: the report as JSON text with its size and record count.
+
+    ``sums`` are the period's measures per event type, as ``rollup.type_sums`` reads them;
+    reports over whole events that need no more are then made from them alone.
+    """
     if not start_date or not end_date:
         raise ValueError("start_date and end_date are required")
     start, end = parse_date(start_date), parse_date(end_date)
-    if report_type == "compliance_summary":
+    narrowed = apply_filters and (product_id or user_id)
+    if sums is not None and not narrowed and cap is None and report_type in FROM_SUMS:
+        body = FROM_SUMS[report_type](sums, start, end)
+    elif report_type == "compliance_summary":
         events = _filtered(audit, product_id, user_id) if apply_filters else audit
         body = compliance_summary(audit_statistics(events, start, end))
     elif report_type == "policy_violations":

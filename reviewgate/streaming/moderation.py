@@ -60,6 +60,7 @@ def write_batch(
     out: str,
     decide_rows: Callable[[DataFrame], DataFrame],
     received_at: datetime | None = None,
+    rollup: bool = False,
 ) -> None:
     """Write one micro-batch. Every sink folder is named by the batch id and
     overwritten, so a batch that is run again leaves the same rows."""
@@ -73,7 +74,7 @@ def write_batch(
     finally:
         checked.unpersist()
     write_rows(responses(decided), f"{out}/responses", batch_id)
-    log_decisions(decided, out, batch_id, moment)
+    log_decisions(decided, out, batch_id, moment, rollup)
 
 
 def start_moderation(
@@ -83,18 +84,20 @@ def start_moderation(
     decide_rows: Callable[[DataFrame], DataFrame] = decide,
     received_at: datetime | None = None,
     trigger: dict | None = None,
+    rollup: bool = False,
 ) -> StreamingQuery:
     """Moderate reviews as they arrive.
 
     By default everything there is, then stop; with ``trigger``, such as
     ``{"processingTime": "30 seconds"}``, go on until stopped. ``decide_rows`` turns
     valid submissions into decided rows; it may call a scorer, whose result is
-    written before any other sink reads it.
+    written before any other sink reads it. With ``rollup`` each batch adds its daily sums
+    of the audit log (see ``plans.rollup``), which reports then read.
     """
     return (
         reviews.writeStream.foreachBatch(
             lambda batch, batch_id: write_batch(
-                batch, batch_id, out, decide_rows, received_at
+                batch, batch_id, out, decide_rows, received_at, rollup
             )
         )
         .option("checkpointLocation", checkpoint)

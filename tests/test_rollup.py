@@ -1,0 +1,145 @@
+"""Daily sums equal the log they stand for, whatever happened to it."""
+
+import os
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import plan_of
+from reviewgate.plans import reports, rollup
+from reviewgate.sources import tables
+
+START = datetime(2024, 1, 1)
+PERIOD = ("2024-01-02T00:00:00Z", "2024-01-05T23:59:59Z")
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    k = F.col("id")
+    approved = k % 3 > 0
+    rows = spark.range(600).select(
+        F.concat(F.lit("a"), k).alias("audit_id"),
+        F.timestamp_seconds(F.lit(1704067200) + k * 1009).alias("timestamp"),
+        F.when(k % 50 != 3, F.when(approved, "ANALYSIS").otherwise("POLICY_DECISION")).alias(
+            "event_type"
+        ),
+        F.struct(
+            ((k % 101) / 10).alias("toxicity_score"),
+            ((k % 7) / 10).alias("bias_score"),
+            F.lit(1.5).alias("hallucination_score"),
+        ).alias("analysis_results"),
+        F.struct(
+            approved.alias("approved"), F.when(approved, "ALLOW").otherwise("DENY").alias("decision")
+        ).alias("policy_decision"),
+        F.struct((k / 1000).alias("cost_usd")).alias("model_metadata"),
+        (k % 977).cast("int").alias("processing_duration_ms"),
+        (F.lit(1704067200) + k * 1009 + 365 * 86400).alias("ttl"),
+    )
+    return rows.withColumn("event_date", F.to_date("timestamp"))
+
+
+@pytest.fixture
+def stored(spark, tmp_path, events):
+    log, path = str(tmp_path / "log"), str(tmp_path / "sums")
+
+    def append(rows, run):
+        rollup.append_rollup(tables.append_audit(rows, log, run), path, run, log)
+
+    for run in range(3):
+        append(events.filter(F.col("processing_duration_ms") % 3 == run), run)
+    return log, path, append
+
+
+def same(spark, log, path, period=PERIOD):
+    """Both reports from the sums and from the log."""
+    audit = tables.read_audit(spark, log)
+    sums = rollup.type_sums(spark, log, path, *period)
+    for kind in ("compliance_summary", "processing_stats"):
+        fixed = {"report_id": "r", "generated_at": datetime(2024, 2, 1)}
+        want = reports.build_report(audit, kind, *period, **fixed).first()
+        assert reports.build_report(audit, kind, *period, sums=sums, **fixed).first() == want
+    got = {tuple(r) for r in sums.select("event_type", "events", "violations", "cost").collect()}
+    whole = reports.events_by_type(audit, *period)
+    assert got == {tuple(r) for r in whole.select("event_type", "events", "violations", "cost").collect()}
+    return got
+
+
+def test_sums_equal_the_log(spark, stored):
+    log, path, _ = stored
+    for period in (PERIOD, ("2024-01-02T05:30:00Z", "2024-01-05T07:00:00Z"),
+                   ("2024-01-03T01:00:00Z", "2024-01-03T02:00:00Z"),
+                   ("2023-01-01T00:00:00Z", "2025-01-01T00:00:00Z")):
+        assert same(spark, log, path, period)
+    assert not same(spark, log, path, ("2023-01-01T00:00:00Z", "2023-02-01T00:00:00Z"))
+
+
+def test_whole_days_are_read_from_the_sums_alone(spark, stored):
+    log, path, _ = stored
+    assert log not in plan_of(rollup.type_sums(spark, log, path, *PERIOD))
+    cut = plan_of(rollup.type_sums(spark, log, path, "2024-01-02T05:30:00Z", PERIOD[1]))
+    assert log in cut and "2024-01-02" in cut.split(log)[1]
+
+
+def test_repeated_runs_and_compaction_change_nothing(spark, stored, events):
+    log, path, append = stored
+    first = same(spark, log, path)
+    append(events.filter(F.col("processing_duration_ms") % 3 == 1), 1)
+    assert same(spark, log, path) == first
+    rollup.compact_rollup(spark, path, date(2024, 1, 5))
+    assert os.listdir(f"{path}/event_date=2024-01-03") == [f"run={rollup.COMPACTED}"]
+    assert len(os.listdir(f"{path}/event_date=2024-01-05")) == 3
+    assert same(spark, log, path) == first
+    # A compacted run once more, now with fewer rows on one day; then a new run.
+    append(events.filter("processing_duration_ms % 3 = 1 and audit_id != 'a190'"), 1)
+    second = same(spark, log, path)
+    assert sum(n for _, n, *_ in first) - sum(n for _, n, *_ in second) == 1
+    append(events.withColumn("audit_id", F.concat("audit_id", F.lit("x"))), "late")
+    rollup.compact_rollup(spark, path, date(2025, 1, 1))
+    third = same(spark, log, path)
+    assert sum(n for _, n, *_ in third) > 2 * sum(n for _, n, *_ in second)
+
+
+def test_a_compaction_that_was_lost_counts_nothing_twice(spark, stored, monkeypatch):
+    log, path, _ = stored
+    first = same(spark, log, path)
+
+    def lost(spark, target):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(rollup, "discard", lost)
+    with pytest.raises(RuntimeError):
+        rollup.compact_rollup(spark, path, date(2025, 1, 1))
+    assert len(os.listdir(f"{path}/event_date=2024-01-03")) == 4
+    assert same(spark, log, path) == first
+    monkeypatch.undo()
+    rollup.compact_rollup(spark, path, date(2025, 1, 1))
+    assert len(os.listdir(f"{path}/event_date=2024-01-03")) == 1
+    assert same(spark, log, path) == first
+
+
+def test_expiry_corrects_the_sums(spark, stored):
+    log, path, _ = stored
+    rollup.compact_rollup(spark, path, date(2024, 1, 4))
+    first = same(spark, log, path)
+    moment = START + timedelta(days=365 + 2, hours=7)
+    days = rollup.expire(spark, log, path, F.lit(moment.isoformat(sep=" ")).cast("timestamp"))
+    assert days == [date(2024, 1, d) for d in (1, 2, 3)]
+    assert not os.path.exists(f"{path}/event_date=2024-01-01/run={rollup.COMPACTED}")
+    left = same(spark, log, path)
+    assert 0 < sum(n for _, n, *_ in left) < sum(n for _, n, *_ in first)
+
+
+def test_runs_write_their_sums(spark, tmp_path):
+    from reviewgate.operators.scoring import mock_scorer
+    from reviewgate.plans.moderation import run_moderation
+
+    rows = spark.createDataFrame(
+        [(f"r{i}", "p", "u", f"A review of some length {i}", 4, "us-east-1", "books", "mild") for i in range(9)],
+        "review_id string, product_id string, user_id string, content string, rating int, "
+        "region string, product_category string, compliance_mode string",
+    )
+    out = str(tmp_path / "out")
+    run_moderation(rows, mock_scorer, out, run_id="1", entered_at=START, rollup=True)
+    sums = rollup.type_sums(spark, f"{out}/audit", f"{out}/rollup", START, START)
+    assert sum(r["events"] for r in sums.collect()) == 9

@@ -205,9 +205,12 @@ def test_update_status(spark):
         "review_id string, status string, processing_errors array<string>",
     )
     updates = spark.createDataFrame(
-        [("a", "PENDING", ["no"]), ("a", "REJECTED", ["bad"]), ("b", "APPROVED", [])],
+        [("a", "REJECTED", ["bad"]), ("b", "APPROVED", [])],
         "review_id string, status string, processing_errors array<string>",
     )
+    # The last one given counts, whatever its name.
+    earlier = spark.createDataFrame([("a", "SUMMARIZED", ["no"])], updates.schema)
+    updates = earlier.union(updates)
     got = lookups.update_status(reviews, updates).orderBy("review_id").collect()
     assert [(r["status"], r["processing_errors"]) for r in got] == [
         ("REJECTED", ["bad"]), ("APPROVED", ["x"]), ("PENDING", ["x"]),
