@@ -1504,6 +1504,19 @@ _HOURLY = [
 ]
 _select, _steps = _alarm_sql("metrics60", 3600, _HOURLY)
 sql("alarms", "metrics60", _select, _steps)
+_steps["raised"] = _select.replace(iso("w"), "w")
+_NEXT = "alarm_window + INTERVAL '1 hour'"
+sql(
+    "alarm_transitions",
+    "metrics60",
+    f"""SELECT alarm, {iso("w")} AS alarm_window, state_before, state FROM (
+  SELECT alarm, alarm_window AS w, 'OK' AS state_before, 'ALARM' AS state FROM raised
+  WHERE (alarm, alarm_window) NOT IN (SELECT (alarm, {_NEXT}) FROM raised)
+  UNION ALL
+  SELECT alarm, {_NEXT}, 'ALARM', 'OK' FROM raised
+  WHERE (alarm, {_NEXT}) NOT IN (SELECT (alarm, alarm_window) FROM raised))""",
+    _steps,
+)
 _select, _steps = _alarm_sql("metrics5", 300, K.ALARM_RULES)
 sql("alarms_5min", "metrics5", _select, _steps)
 sql(

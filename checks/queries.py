@@ -42,6 +42,7 @@ from reviewgate.schemas import REVIEW
 from reviewgate.session import scratch_path, tune
 from reviewgate.sources import reviews as review_source
 from reviewgate.sources import tables
+from reviewgate.streaming import alarms as stream_alarm_jobs
 from reviewgate.streaming import moderation as stream_moderation_jobs
 from reviewgate.streaming import statistics as stream_statistics_jobs
 
@@ -1394,6 +1395,25 @@ def alarms_5min(spark, sf):
     return metrics.alarms(values).withColumn("alarm_window", iso("alarm_window"))
 
 
+@query
+def alarm_transitions(spark, sf):
+    """States of the hourly alarms over a stream of all calls; a last call a day later closes
+    every window."""
+    base = scratch_path(spark, "alarm-states")
+    rows = X.call_events(spark, sf)
+    last = rows.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(
+        F.lit("none").alias("function"), "ts", F.lit(False).alias("is_error"),
+        F.lit(0).cast("long").alias("duration_ms"),
+    )
+    rows.unionByName(last).write.parquet(f"{base}/in")
+    arriving = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+    stream_alarm_jobs.start_alarm_states(
+        arriving, f"{base}/out", f"{base}/checkpoint", "1 hour", "1 hour", HOURLY_RULES
+    ).awaitTermination()
+    changes = spark.read.parquet(f"{base}/out").withColumn("alarm_window", iso("alarm_window"))
+    return changes.select("alarm", "alarm_window", "state_before", "state")
+
+
 @query
 def stream_moderation(spark, sf):
     base = scratch_path(spark, "stream")

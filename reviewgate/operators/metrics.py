@@ -128,3 +128,23 @@ def alarms(
         .filter(c("breaches") == c("periods"))
         .select("alarm", "alarm_window", "threshold", "periods", "value")
     )
+
+
+def alarm_transitions(raised: DataFrame, window_seconds: int = 300) -> DataFrame:
+    """Changes of state from the windows at which alarms stand (see ``alarms``): to ALARM at the
+    first of a run of windows, to OK at the first one after it. Windows meet their neighbours by
+    equality, so no alarm's windows are gathered."""
+    start = F.unix_timestamp("alarm_window")
+    here = raised.select("alarm", start.alias("_at"), "value")
+    times = here.select("alarm", "_at")
+    follows = times.withColumn("_at", c("_at") + F.lit(window_seconds))
+    begun = here.join(follows, ["alarm", "_at"], "left_anti").select(
+        "alarm", "_at", F.lit("OK").alias("state_before"), F.lit("ALARM").alias("state")
+    )
+    ended = follows.join(times, ["alarm", "_at"], "left_anti").select(
+        "alarm", "_at", F.lit("ALARM").alias("state_before"), F.lit("OK").alias("state")
+    )
+    changes = begun.unionByName(ended)
+    return changes.select(
+        "alarm", F.timestamp_seconds("_at").alias("alarm_window"), "state_before", "state"
+    )
