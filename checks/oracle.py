@@ -388,6 +388,18 @@ sql(
 FROM audit WHERE processing_duration_ms % 2 = 0
   OR ttl > CAST(epoch(TIMESTAMP '2024-12-31 08:00:00') AS BIGINT)""",
 )
+sql(
+    "corrupt_submissions",
+    "reviews",
+    """SELECT CASE WHEN error = '' THEN review_id END AS review_id,
+  CASE WHEN error = '' THEN '4' END AS rating, CASE WHEN error <> '' THEN line END AS line,
+  error AS errors, error <> '' AS has_file
+FROM (SELECT *, CASE WHEN k % 7 = 3 THEN left('{"review_id": "' || review_id || '", "rating": 4}', 22)
+      WHEN k % 7 = 5 THEN 'no json ' || k WHEN k % 11 = 4 THEN '[' || k || ']' END AS line,
+    CASE WHEN k % 7 IN (3, 5) THEN 'MALFORMED_JSON' WHEN k % 11 = 4 THEN 'NOT_AN_OBJECT'
+      WHEN k % 13 <> 6 THEN '' END AS error FROM reviews)
+WHERE error IS NOT NULL""",
+)
 sql(
     "put_audit_events",
     "audit",

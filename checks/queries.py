@@ -306,6 +306,37 @@ def dead_letters(spark, sf):
     )
 
 
+@query
+def corrupt_submissions(spark, sf):
+    """Lines of which some are cut, no JSON, or no object: good and bad ones make up all."""
+    base = scratch_path(spark, "lines")
+    k = c("k")
+    line = F.concat(F.lit('{"review_id": "'), c("review_id"), F.lit('", "rating": 4}'))
+    lines = X.reviews(spark, sf).select(
+        F.when(k % 7 == 3, F.left(line, F.lit(22)))
+        .when(k % 7 == 5, F.concat(F.lit("no json "), k))
+        .when(k % 11 == 4, F.concat(F.lit("["), k, F.lit("]")))
+        .when(k % 13 == 6, "")
+        .otherwise(line)
+        .alias("value")
+    )
+    lines.write.text(f"{base}/in")
+    good, bad = review_source.read_json_lines(spark, f"{base}/in")
+    tables.write_corrupt_lines(bad, f"{base}/dead", "run-1", now())
+    dead = tables.read_dead_letters(spark, f"{base}/dead")
+    return good.select(
+        "review_id", "rating", F.lit(None).cast("string").alias("line"),
+        F.lit("").alias("errors"), F.lit(False).alias("has_file"),
+    ).unionByName(
+        dead.select(
+            F.lit(None).cast("string").alias("review_id"),
+            F.lit(None).cast("string").alias("rating"),
+            c("row").alias("line"), joined("errors"),
+            c("source_file").contains(f"{base}/in").alias("has_file"),
+        )
+    )
+
+
 def _stored_reviews(spark, sf):
     k = c("k")
     return X.reviews(spark, sf).withColumns(

@@ -24,7 +24,7 @@ from reviewgate.operators.summaries import parse_summary, single_review_prompt
 from reviewgate.operators.validation import input_defaults, split, validate_api
 from reviewgate.session import materialise
 from reviewgate.plans.rollup import append_rollup
-from reviewgate.sources.tables import append_audit, write_dead_letters, write_rows
+from reviewgate.sources.tables import append_audit, write_corrupt_lines, write_dead_letters, write_rows
 
 log = logging.getLogger(__name__)
 c = F.col
@@ -165,6 +165,7 @@ def run_moderation(
     policies: PolicySet | None = None,
     summary_scorer: Scorer | None = None,
     rollup: bool = False,
+    corrupt: DataFrame | None = None,
     **scorer_options,
 ) -> dict[str, DataFrame]:
     """Batch job: validate, score, decide, then write decisions, responses, audit
@@ -172,7 +173,8 @@ def run_moderation(
 
     Decisions are written once and everything after them reads that table, so
     neither a lost executor nor the second sink repeats a model call. With a
-    ``summary_scorer`` every approved review also gets a summary of its own.
+    ``summary_scorer`` every approved review also gets a summary of its own. ``corrupt``
+    are the malformed lines of the same input (``read_json_lines``).
     """
     moment = (
         F.current_timestamp()
@@ -182,6 +184,8 @@ def run_moderation(
     # Written once: the refused rows, the distinct texts and the scored rows read it.
     good, bad = split(materialise(validate_api(submissions), "checked"))
     dead = write_dead_letters(bad, f"{out}/dead_letters", run_id, moment)
+    if corrupt is not None:
+        write_corrupt_lines(corrupt, f"{out}/dead_letters", run_id, moment)
     prepared = prepare_input(good, moment, run_id)
     scored = scored_reviews(prepared, scorer, **scorer_options)
     costed = model_cost(scored, K.MODEL_ID, K.PROMPT_VERSION, K.INFERENCE_CONFIG)

@@ -114,6 +114,26 @@ def write_dead_letters(
     return write_rows(rows, path, run_id)
 
 
+def write_corrupt_lines(
+    bad: DataFrame, path: str, run_id: str | int, received_at: Column
+) -> DataFrame:
+    """Keep malformed lines beside a run's other dead letters, as they came, with the reason,
+    the file they stood in and an expiry time."""
+    rows = bad.select(
+        c("line").alias("row"),
+        F.array("error").alias("errors"),
+        received_at.alias("received_at"),
+        (F.unix_timestamp(received_at) + DEAD_LETTER_RETENTION_DAYS * 86400).alias("ttl"),
+        "source_file",
+    )
+    return write_rows(rows, path, f"{run_id}-lines")
+
+
+def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
+    """Refused rows and malformed lines of all runs."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def upsert(
     current: DataFrame | None, updates: DataFrame, key: str, version: str
 ) -> DataFrame:

@@ -21,7 +21,13 @@ from reviewgate.plans.moderation import (
     scored_reviews,
     summarise_approved,
 )
-from reviewgate.sources.tables import put_by_key, write_dead_letters, write_rows
+from reviewgate.sources.reviews import split_lines
+from reviewgate.sources.tables import (
+    put_by_key,
+    write_corrupt_lines,
+    write_dead_letters,
+    write_rows,
+)
 
 
 def scoring_decider(
@@ -106,6 +112,31 @@ def start_moderation(
     )
 
 
+def start_json_moderation(
+    lines: DataFrame,
+    out: str,
+    checkpoint: str,
+    decide_rows: Callable[[DataFrame], DataFrame] = decide,
+    received_at: datetime | None = None,
+    trigger: dict | None = None,
+    rollup: bool = False,
+) -> StreamingQuery:
+    """Moderate reviews that arrive as JSON lines (``stream_json_lines``). Malformed lines go
+    to the dead letters with their file; the others go the way of ``start_moderation``."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good, bad = split_lines(batch)
+        write_corrupt_lines(bad, f"{out}/dead_letters", batch_id, _moment(received_at))
+        write_batch(good, batch_id, out, decide_rows, received_at, rollup)
+
+    return (
+        lines.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def start_upsert(
     rows: DataFrame,
     out: str,
