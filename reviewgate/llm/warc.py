@@ -21,6 +21,7 @@ payload has one; an empty table gives no archive; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ ARCHIVE_BYTES = 256 << 20
 #: Ranges of selected records are joined over gaps up to one bound and up to another in all.
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 4 << 20
+#: Archive bytes that a reading task gets, about.
+TASK_BYTES = 16 << 20
 MAX_BROADCAST_GROUPS = 100_000
 END = b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -260,8 +263,12 @@ def read_records(selected: DataFrame, payload: bool = True) -> DataFrame:
                     )
                 begin = end
 
-    ordered = selected.select("file", "offset", "length").repartition("file")
-    ordered = ordered.sortWithinPartitions("file", "offset")
+    rows = selected.select("file", "offset", "length")
+    # A task's share follows the bytes behind the index, not those of the index itself.
+    total = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, math.ceil(total / TASK_BYTES))
+    part = F.floor(F.col("offset") / TASK_BYTES)
+    ordered = rows.repartition(tasks, "file", part).sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, T.StructType(fields))
 
 

@@ -65,6 +65,20 @@ def test_archives_nothing_refers_to_are_not_read(spark, pages):
     assert warc.read_records(index, False).count() == before
 
 
+def test_reading_is_dealt_by_archive_bytes(spark, pages, monkeypatch):
+    """As many tasks as there are shares of the archives, however small the index is."""
+    import os
+
+    monkeypatch.setattr(warc, "TASK_BYTES", 4000)
+    many = [(i, f"http://h/{i}", os.urandom(300).hex() + "x" * 900) for i in range(120)]
+    index = warc.write_archives(pages(many), scratch_path(spark, "warc-tasks"))
+    total = index.groupBy().sum("length").first()[0]
+    back = warc.read_records(index, False)
+    tasks = [n for n in back.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(tasks) == 120 and len(tasks) >= total // 4000 // 2 > 3
+    assert max(tasks) < 60
+
+
 def test_ranges_are_coalesced_and_bounded():
     near = [(0, 10), (10, 10), (25, 5)]
     assert list(warc.ranges(near)) == [near]
