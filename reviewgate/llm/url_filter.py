@@ -125,8 +125,11 @@ def train(
     rounds: int = ROUNDS,
 ) -> list[float]:
     """Weights by hashed feature, from urls and whether each is to be blocked."""
-    rows = labelled.select(F.col(url).alias("url"), F.col(blocked).alias("blocked")).filter(
-        "url is not null and blocked is not null"
+    # Different urls only: one that stands in very many rows is one example.
+    rows = (
+        labelled.select(F.col(url).alias("url"), F.col(blocked).alias("blocked"))
+        .filter("url is not null and blocked is not null")
+        .distinct()
     )
     n = rows.count()
     if n > max_labelled:
@@ -135,7 +138,8 @@ def train(
     rows = with_parts(rows).select(
         F.when(F.col("blocked"), 1.0).otherwise(0.0).alias("y"), features().alias("x")
     )
-    rows = materialise(rows.coalesce(1), "labelled-urls")
+    # Chosen where they are read; then few enough for one file.
+    rows = materialise(rows.repartition(1), "labelled-urls")
     n = max(1, rows.count())
     weights, squares = [0.0] * DIMENSIONS, [0.0] * DIMENSIONS
     for _ in range(rounds):

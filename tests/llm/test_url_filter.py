@@ -95,3 +95,34 @@ def test_no_python(pages):
     judged = U.judge(pages([(1, "u", "")]), URL_RULES, [0.0] * U.DIMENSIONS)
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_url_in_very_many_rows_is_one_example(spark):
+    rows = [(f"http://spam{i % 7}.net/casino/{i}", True) for i in range(60)]
+    rows += [(f"http://news{i % 7}.net/story/{i}", False) for i in range(60)]
+    schema = "url string, blocked boolean"
+    once = U.train(spark.createDataFrame(rows, schema))
+    hot = spark.createDataFrame(rows + rows[:1] * 3000, schema).repartition(6)
+    assert U.train(hot, max_labelled=500) == once
+
+
+def test_training_urls_are_chosen_where_they_are_read(spark, tmp_path):
+    """The scan has as many tasks as the table has parts; only the chosen rows meet in one."""
+    path = str(tmp_path / "urls")
+    spark.range(400).selectExpr(
+        "concat('http://h', id % 9, '.net/', id) as url", "id % 3 = 0 as blocked"
+    ).repartition(6).write.parquet(path)
+    seen = []
+    real = U.materialise
+
+    def noted(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    U.materialise = noted
+    try:
+        U.train(spark.read.parquet(path), rounds=1)
+    finally:
+        U.materialise = real
+    assert "Coalesce 1" not in seen[0]
+    assert seen[0].index("SinglePartition") < seen[0].index("HashAggregate") if "SinglePartition" in seen[0] else "Exchange RoundRobin" in seen[0]
