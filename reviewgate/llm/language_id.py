@@ -5,9 +5,10 @@ is scored by its longest known character n-grams: of length 4, else 3, 2 and 1.
 language with the largest sum wins.
 
 Training counts words and n-grams in Spark over a sample of labelled rows. Bounds, all
-parameters: ``max_train_docs`` rows of the sample (on average; chosen by a hash of the
-text, at every size alike), ``max_words`` and ``max_grams`` entries of the model, the
-most frequent first. So the model that goes to the executors has a fixed largest size.
+parameters and all for each language: ``max_train_docs`` different texts (on average; chosen
+by a hash of the text, at every size alike), ``max_words`` and ``max_grams`` entries of the
+model, the most frequent first. So the model that goes to the executors has a fixed largest
+size per language, and a language with two rows is learned beside one with a billion.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0. A text of which
 no n-gram is known gets the language with most training words and the score of a tie.
@@ -25,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +38,21 @@ LONGEST = 4
 #: Bound of what a worker remembers of words; what is forgotten is looked up again.
 WORD_CACHE = 300_000
 GATHERED_WORDS = 200_000
-MAX_TRAIN_DOCS = 6_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 40_000
+#: Bounds for each language: different labelled texts, known words and known n-grams.
+MAX_TRAIN_DOCS = 1_500
+MAX_WORDS = 15_000
+MAX_GRAMS = 10_000
+
+
+def counted_words(text: str | None) -> Counter:
+    """Words of a text: runs of letters. Numerals that are no digits, like those of a
+    fraction or a Roman numeral, are none and part words."""
+    found = Counter(WORD.findall(text.lower())) if text else Counter()
+    for word in [x for x in found if not x.isalpha()]:
+        n = found.pop(word)
+        for part in "".join(x if x.isalpha() else " " for x in word).split():
+            found[part] += n
+    return found
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -74,7 +87,7 @@ class LanguageModel:
         return None
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORD.findall(text.lower())) if text else None
+        words = counted_words(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
         lately = self._lately
@@ -120,7 +133,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
+            words.setdefault(lang, Counter()).update(counted_words(text))
         if sum(map(len, words.values())) > GATHERED_WORDS:
             yield _entries(words)
             words = {}
@@ -135,13 +148,23 @@ def train(
     max_words: int = MAX_WORDS,
     max_grams: int = MAX_GRAMS,
 ) -> LanguageModel:
-    """Learn from the rows of ``docs`` whose language is known; nothing else is read."""
+    """Learn from the rows of ``docs`` whose language is known; nothing else is read.
+
+    Every language is learned from its own sample of different texts and keeps its own most
+    frequent entries, so one with few rows is known as well as it can be beside large ones.
+    """
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     labelled = labelled.filter("lang is not null")
-    rows = labelled.select("lang").count()
-    if rows > max_train_docs:
-        keep = int(max_train_docs / rows * (1 << 32))
-        labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < keep)
+    # One row per language, as the model has one column for each.
+    rows = labelled.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("of_lang"))
+    share = F.lit(max_train_docs) / F.col("of_lang") * F.lit(1 << 32)
+    # A text in very many rows is one text: equal ones meet before they are shuffled.
+    labelled = (
+        labelled.join(F.broadcast(rows), "lang")
+        .filter(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < share)
+        .select("lang", "text")
+        .distinct()
+    )
     counts = (
         labelled.mapInArrow(_counted, "lang string, entry string, n long")
         .groupBy("lang", "entry")
@@ -152,23 +175,28 @@ def train(
         (row.kind, row.lang): row.n
         for row in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
     }
-    by_entry = counts.groupBy("kind", "entry").agg(
-        F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by_lang")
+    # Of each language the first max_words and max_grams by count.
+    is_word = F.col("kind") == "w"
+    first = Window.partitionBy("lang", is_word).orderBy(F.desc("n"), "entry")
+    best = counts.withColumn("rank", F.row_number().over(first)).filter(
+        F.col("rank") <= F.when(is_word, max_words).otherwise(max_grams)
+    )
+    by_entry = (
+        counts.join(best.select("entry").distinct(), "entry")
+        .groupBy("kind", "entry")
+        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
     )
-    # Both are at most max_words and max_grams rows; the first, second, ... by count.
-    words = by_entry.filter("kind = 'w'").orderBy(F.desc("n"), "entry").limit(max_words)
-    others = by_entry.filter("kind <> 'w'").orderBy(F.desc("n"), "entry").limit(max_grams)
-    kept = words.unionByName(others).toArrow().to_pylist()
+    kept = by_entry.orderBy(F.desc("n"), "entry").toArrow().to_pylist()
     weight = Counter({x: 0 for _, x in sizes})
     for (k, x), n in sizes.items():
         weight[x] += n if k == "w" else 0
     languages = sorted(weight, key=lambda x: (-weight[x], x))
     column = {x: i for i, x in enumerate(languages)}
     table = np.zeros((len(kept), len(languages)), dtype=np.float32)
-    # Half a count for languages without the entry.
-    absent = {
-        k: [-np.log(2.0 * sizes.get((k, x), 0) + 2) for x in languages] for k, _ in sizes
-    }
+    # Half a count of the largest sample for languages without the entry, so that a language
+    # of few rows is not the likeliest for what it has never seen.
+    largest = {k: max(n for (j, _), n in sizes.items() if j == k) for k, _ in sizes}
+    absent = {k: -np.log(2.0 * n + 2) for k, n in largest.items()}
     for i, row in enumerate(kept):
         kind = row["kind"]
         table[i] = absent[kind]

@@ -62,4 +62,74 @@ def test_empty_and_unlabelled_training(docs, model):
 def test_bounds_of_the_model(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     small = language_id.train(docs, max_train_docs=50, max_words=40, max_grams=30)
-    assert len(small.entries) <= 70
+    assert len(small.languages) == 4 and len(small.entries) <= 70 * 4
+
+
+def test_numerals_that_are_no_digits_are_no_letters(docs, model):
+    rows = [(1, "½ ² ① Ⅷ ٣"), (2, "²the² ½thing"), (3, "the thing")]
+    found = {r.doc_id: r for r in language_id.identify(docs(rows), model).collect()}
+    assert (found[1].lang_pred, found[1].score) == ("und", 0.0)
+    assert found[2][1:] == found[3][1:]
+    assert language_id.counted_words("a² b Ⅷc") == {"a": 1, "b": 1, "c": 1}
+
+
+def test_a_language_with_two_rows_is_learned(spark):
+    many = spark.range(40_000).selectExpr(
+        "id as doc_id", "concat('the house of ', id % 997, ' is here and there') as text", "'en' as lang"
+    )
+    few = spark.createDataFrame(
+        [(-1, "dziękuję bardzo proszę", "pl"), (-2, "gdzie jest dworzec", "pl")], many.schema
+    )
+    hot = spark.range(20_000).selectExpr("-100 - id as doc_id", "'hot text' as text", "'de' as lang")
+    own = language_id.train(many.unionByName(few).unionByName(hot), max_train_docs=300)
+    assert set(own.languages) == {"en", "pl", "de"}
+    assert own.predict("dziękuję")[0] == "pl" and own.predict("the house")[0] == "en"
+    assert own.predict("hot")[0] == "de"
+
+
+def test_predictions_against_plain_scores(docs):
+    """Brute force: every word of a small table scored by the stated rule."""
+    import math
+    import random
+    from collections import Counter
+
+    draw = random.Random(3)
+    words = {"aa": ["mala", "kota", "dom", "las"], "bb": ["house", "cat", "wood", "mal"]}
+    rows = [
+        (i, " ".join(draw.choices(words[lang], k=6)), lang)
+        for i, lang in enumerate(draw.choices(["aa", "bb"], k=40))
+    ]
+    own = language_id.train(docs(rows))
+    counts = {lang: Counter() for lang in words}
+    for text, lang in {(t, x) for _, t, x in rows}:
+        for w in text.split():
+            counts[lang][f"w{w}"] += 1
+            for n in range(1, language_id.LONGEST + 1):
+                for g in language_id.grams(w, n):
+                    counts[lang][f"{n}{g}"] += 1
+    kinds = {
+        (k, lang): sum(n for e, n in c.items() if e[0] == k)
+        for lang, c in counts.items()
+        for k in "w1234"
+    }
+
+    def entry(e, lang):
+        n, total = counts[lang][e], kinds[e[0], lang]
+        largest = max(kinds[e[0], x] for x in words)
+        return math.log((n + 0.5) / (total + 1)) if n else -math.log(2 * largest + 2)
+
+    known = {e for c in counts.values() for e in c}
+    order = sorted(words, key=lambda x: (-kinds["w", x], x))
+    for text in ("mala dom", "malakota", "house kot", "zzz", "wo", "cats dom dom"):
+        total = dict.fromkeys(order, 0.0)
+        for w in text.split():
+            found = [f"w{w}"] if f"w{w}" in known else []
+            for n in range(language_id.LONGEST, 0, -1):
+                found = found or [f"{n}{g}" for g in language_id.grams(w, n) if f"{n}{g}" in known]
+            for lang in order if found else []:
+                total[lang] += sum(entry(e, lang) for e in found) / len(found)
+        best = max(order, key=lambda x: (round(total[x], 4), -order.index(x)))
+        lang, score = own.predict(text)
+        assert lang == best
+        want = 1 / sum(math.exp(x - total[best]) for x in total.values())
+        assert score == pytest.approx(want, rel=1e-3)
