@@ -11,8 +11,12 @@ path, without blocks of links that lie outside the best containers. Where that i
 ``LEAST_SHARE`` of what the page's own path holds, the blocks of both are taken.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out, by tag, class, id or role. If nothing remains, names are
-disregarded and only tags count. Character references are decoded, white space inside a
+comments are left out, by tag, class, id, role or label. A name that says nothing else (like
+``sidebar`` or ``comment-list``) is enough. One that says more, or stands beside the name of an
+article (``news-alert``, ``post promo``), is not: such an element goes unless it holds most of
+the page's text outside links and at least ``ARTICLE_CHARS`` of it. Names that only file a post
+(``category-...``, ``tag-...``) say nothing. A page of boilerplate alone gives an empty text.
+Character references are decoded, white space inside a
 block becomes one space, blocks are joined in page order by a line feed. A line break
 inside a block is white space.
 
@@ -46,7 +50,7 @@ MARKUP = re.compile(
     re.S,
 )
 NAMED = re.compile(
-    r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.S
+    r"(?:^|[\s\"'/])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.S
 )
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -88,11 +92,28 @@ DROPPED_NAMES = {
     "navigation", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "share", "sharing",
     "social", "related", "recommended", "comment", "comments", "respond", "reply", "replies",
     "disqus", "popup", "modal", "overlay", "login", "search", "pagination", "pager", "toolbar",
-    "widget", "complementary", "contentinfo", "alert", "alertdialog", "form",
+    "widget", "complementary", "contentinfo", "alert", "alertdialog", "form", "discussion",
+    "discussions", "responses", "reviews", "feedback",
 }
+#: Names of reader comments, which may be articles of their own by tag.
+COMMENT_NAMES = {
+    "comment", "comments", "reply", "replies", "respond", "responses", "discussion", "discussions",
+}
+#: Words that may stand beside such a name without saying anything else.
+NEUTRAL_WORDS = {
+    "area", "bar", "block", "body", "box", "container", "content", "customer", "global", "inner",
+    "item", "left", "links", "list", "main", "outer", "page", "policy", "primary", "reader",
+    "right", "secondary", "section", "site", "thread", "top", "bottom", "user", "wrap", "wrapper",
+}
+#: Names that boilerplate has, but other things as well.
+UNSURE_NAMES = {"form", "alert", "header", "promo", "reviews", "feedback", "search"}
+#: First words of names that file a post under a topic.
+FILING_WORDS = {"category", "cat", "tag", "tagged", "topic", "format", "type"}
+#: Text outside links that an element with an unsure name must hold to be an article.
+ARTICLE_CHARS = 200
 #: Words before a name that make it a property of a layout.
 LAYOUT_WORDS = {"has", "with", "no", "without", "is"}
-NEVER_BY_NAME = {"html", "body", "main", "article"}
+NEVER_BY_NAME = {"html", "body", "main"}
 BONUS = {"article": 1.5, "main": 1.3}
 CONTENT_NAMES = {"article", "content", "entry", "post", "story", "main", "text", "body"}
 OUTER = 0.8
@@ -115,15 +136,41 @@ def _parts(value: str) -> list[str]:
     return [x.lower() for x in NAME_PARTS.findall(value)]
 
 
-def _boilerplate(tag: str, given: dict[str, str]) -> bool:
-    if tag in NEVER_BY_NAME:
-        return False
-    for value in given.values():
-        for name in value.split():
+HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s/=]|\Z)", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+
+
+def _hidden(raw: str) -> bool:
+    return "hidden" in raw.lower() and HIDDEN.search(QUOTED.sub("\"\"", raw)) is not None
+
+
+SURE, UNSURE = "sure", "unsure"
+
+
+def _boilerplate(tag: str, given: dict[str, str]) -> str | None:
+    """Whether an element's names make it boilerplate, surely or unless it holds the article."""
+    if tag in NEVER_BY_NAME or not given:
+        return None
+    found, article = None, tag == "article"
+    for kind, value in given.items():
+        for name in value.split() if kind != "aria-label" else [value]:
             words = _parts(name)
-            if DROPPED_NAMES.intersection(words) and not LAYOUT_WORDS.intersection(words):
-                return True
-    return False
+            if not words:
+                continue
+            known = DROPPED_NAMES.intersection(words)
+            if not known:
+                article = article or words[0] in CONTENT_NAMES and kind == "class"
+            elif words[0] in FILING_WORDS or LAYOUT_WORDS.intersection(words):
+                continue
+            elif COMMENT_NAMES.intersection(words) and all(
+                x in DROPPED_NAMES or x in NEUTRAL_WORDS for x in words
+            ):
+                return SURE
+            else:
+                whole = all(x in DROPPED_NAMES or x in NEUTRAL_WORDS for x in words)
+                sure = whole and not (len(words) == 1 and words[0] in UNSURE_NAMES)
+                found = SURE if sure or found == SURE else UNSURE
+    return UNSURE if found and article else found
 
 
 def _label(tag: str, given: dict[str, str]) -> str:
@@ -131,12 +178,16 @@ def _label(tag: str, given: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
-def read_blocks(page: str, by_name: bool = True) -> list[tuple[str, str, int]]:
+def read_blocks(page: str) -> list[tuple[str, str, int]]:
     """Container path, text and characters in links of each block, in page order."""
     out: list[tuple[str, str, int]] = []
     #: Open elements: tag, and whether they are dropped.
     stack: list[tuple[str, bool]] = []
     paths = [""]
+    #: Elements with an unsure name: those open at each depth, and those around each block.
+    unsure: list[tuple[int, ...]] = [()]
+    around: list[tuple[int, ...]] = []
+    n_unsure = 0
     buffer: list[str] = []
     linked = [0]
     dropped = links = 0
@@ -146,6 +197,7 @@ def read_blocks(page: str, by_name: bool = True) -> list[tuple[str, str, int]]:
             text = " ".join("".join(buffer).split())
             if text:
                 out.append((paths[-1], text, linked[0]))
+                around.append(unsure[-1])
             buffer.clear()
         linked[0] = 0
 
@@ -154,6 +206,7 @@ def read_blocks(page: str, by_name: bool = True) -> list[tuple[str, str, int]]:
         while len(stack) > to:
             tag, gone = stack.pop()
             paths.pop()
+            unsure.pop()
             dropped -= gone
             links -= tag == "a"
 
@@ -209,8 +262,14 @@ def read_blocks(page: str, by_name: bool = True) -> list[tuple[str, str, int]]:
                     if stack[i][0] in beyond:
                         break
         given = _attributes(raw)
-        gone = tag in DROPPED_TAGS or (by_name and _boilerplate(tag, given))
+        named = _boilerplate(tag, given)
+        gone = tag in DROPPED_TAGS or named == SURE or _hidden(raw)
         stack.append((tag, gone))
+        if named == UNSURE:
+            unsure.append((*unsure[-1], n_unsure))
+            n_unsure += 1
+        else:
+            unsure.append(unsure[-1])
         dropped += gone
         links += tag == "a"
         if tag in INLINE or tag in LEAVES:
@@ -227,14 +286,27 @@ def read_blocks(page: str, by_name: bool = True) -> list[tuple[str, str, int]]:
             at = end.start()
     add(page[at:])
     flush()
-    return out
+    return _without_unsure(out, around) if n_unsure else out
+
+
+def _without_unsure(
+    blocks: list[tuple[str, str, int]], around: list[tuple[int, ...]]
+) -> list[tuple[str, str, int]]:
+    """Blocks outside elements with an unsure name that don't hold most of the page's text."""
+    held: Counter = Counter()
+    total = 0
+    for (_, text, linked), names in zip(blocks, around):
+        n = max(0, len(text) - linked)
+        total += n
+        for name in names:
+            held[name] += n
+    article = {x for x, n in held.items() if n >= ARTICLE_CHARS and 2 * n > total}
+    return [b for b, names in zip(blocks, around) if all(x in article for x in names)]
 
 
 def blocks_of(page: str | None) -> list[tuple[str, str, int]]:
-    """Blocks of a page; names are disregarded if they leave nothing."""
-    if not page:
-        return []
-    return read_blocks(page) or read_blocks(page, by_name=False)
+    """Blocks of a page without its boilerplate."""
+    return read_blocks(page) if page else []
 
 
 def best_path(blocks: list[tuple[str, str, int]]) -> str | None:

@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from reviewgate.llm import html_text as H
 from reviewgate.llm.queries import QUERIES
 
@@ -110,11 +112,78 @@ def test_cases(pages):
     assert found[1] == found[2] == found[6] == ""
     assert found[3] == "plain < text & more"
     assert found[None] == "unclosed tags\ntail"
-    assert found[4] == "only a menu"
+    # Boilerplate alone is no article.
+    assert found[4] == ""
     assert found[5].count("\n") == 19_999
     assert found[7] == "q\nr"
 
 
+STORY = [f"Sentence number {i} of the story tells what happened there next." for i in range(5)]
+NOTE = "<div class={}><p>Two words</p></div>"
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "post category-social", "entry tag-search", "news-alert", "form", "story related-politics",
+        "content-header-image", "post reply-allowed", "post promo", "hentry category-comments",
+        "article sponsored-by-reader", "entry topic-advertising has-sidebar",
+    ],
+)
+def test_a_name_does_not_drop_the_article(pages, name):
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    rows = [
+        (i, f"http://h{i}/", f'<body>{NOTE.format("box")}<div class="{name}">{story}</div></body>')
+        for i in range(2)
+    ]
+    for r in extracted(pages, rows):
+        assert r.text.endswith("\n".join(STORY)), name
+    alone = f'<body><div class="{name}">{story}</div>{NOTE.format("sidebar")}</body>'
+    assert extracted(pages, [(1, "http://x/", alone)])[0].text == "\n".join(STORY)
+
+
+@pytest.mark.parametrize(
+    "other",
+    [
+        '<article class="comment"><p>{}</p></article>',
+        '<section class="user-reviews"><p>{}</p></section>',
+        '<ol class="discussion"><li>{}</li></ol>',
+        '<div class="responses"><p>{}</p></div>',
+        '<div aria-label="Advertisement"><p>{}</p></div>',
+        "<div hidden><p>{}</p></div>",
+        '<div class="x" hidden=""><p>{}</p></div>',
+        '<div class="comment-list"><p>{}</p></div>',
+        '<div id="cookie-notice"><p>{}</p></div>',
+        '<div class="related-links"><p>{}</p></div>',
+        '<div class="widget promo-box"><p>{}</p></div>',
+        '<div class="news-alert"><p>{}</p></div>',
+    ],
+)
+def test_boilerplate_inside_the_article_goes(pages, other):
+    long = "A reader or a sponsor has something to say about this. " * 3
+    inside = other.format(long)
+    page = f"<body><article>{''.join(f'<p>{x}</p>' for x in STORY)}{inside}{inside}</article></body>"
+    assert extracted(pages, [(1, "http://h/", page)])[0].text == "\n".join(STORY)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class=cookie-notice><p>We use cookies</p></div><div class=comments><p>nice post</p></div>",
+        "<div class=sidebar><p>" + "about this site " * 40 + "</p></div>",
+        "<div id=comments>" + "<p>I think otherwise, and here is why.</p>" * 30 + "</div>",
+        "<nav><p>a</p></nav><footer><p>b</p></footer><div class=form><p>Your name</p></div>",
+    ],
+)
+def test_boilerplate_alone_is_empty(pages, page):
+    assert extracted(pages, [(1, "http://h/", f"<body>{page}</body>")])[0].text == ""
+
+
+def test_values_that_only_mention_hiding(pages):
+    page = '<body><p title="a hidden word" class="not-hidden">Shown.</p></body>'
+    assert extracted(pages, [(1, "http://h/", page)])[0].text == "Shown."
+
+
 def test_many_open_tags_take_linear_time():
     assert H.read_blocks("<p>" * 50_000 + "x")[-1][1] == "x"
     assert H.read_blocks('<p a="' * 20_000 + "x") is not None
