@@ -16,7 +16,7 @@ def test_registered():
     names = entry_module.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
     assert set(ORACLE) <= set(entry_module.oracle_sql())
-    assert [f"op{n}_" for n in range(1, 11)] == sorted(
+    assert [f"op{n}_" for n in range(1, 14)] == sorted(
         (x.split("_")[0] + "_" for x in QUERIES), key=lambda x: int(x[2:-1])
     )
 
