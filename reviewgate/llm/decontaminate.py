@@ -1,22 +1,27 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman (operator 4).
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman (operator 4).
 
-The three-word n-grams of the test items are seeds. Around each seed a document is aligned
-with the seed's item by Smith-Waterman over words, which finds exact, edited and partly
-paraphrased copies at any place in the text.
-The score is the alignment's share of a perfect one; ``LEAST_SCORE`` or more is a leak.
+Seeds join passages of the documents to test items; a passage that shares enough seeds with an
+item is aligned with it by Smith-Waterman over words, which scores exact, edited and paraphrased
+copies at any place in a text. The score is the alignment's share of a perfect one;
+``LEAST_SCORE`` or more is a leak.
 
-A seed counts at any document frequency, and one is enough: a passage that leaked into
-many documents makes its own n-grams frequent. Common phrases are kept cheap by an upper
-bound of the score, from the words alone: what it refuses cannot be a leak. The corpus is
-read once a block and never shuffled: the items are the
-query set that every task holds. They go out in blocks of at most ``BLOCK_WORDS`` words,
-one pass each, so what is broadcast has a fixed largest size.
+A seed is a pair of words at distance one or two. The seeds lose no leak: an alignment that scores
+half of a perfect one over n item words has m matches and at most 2 m - n other words, so of its
+m - 1 steps from match to match at least (n - 2) / 2 hold no more than one other word. Each of
+these is a pair at distance one or two in the item as in the text, and begins at a word of its
+own. An item therefore needs only its rarest seed places, as many as make sure that a leak shares
+``wanted`` of them within twice the item's length. How rare a seed is, is counted over all documents
+first; the counts only choose places and decide how much is compared, never what is found.
+
+The corpus is read twice a block of items, once to count and once to search, and never shuffled:
+the items are the query set that every task holds. They go out in blocks of at most
+``BLOCK_WORDS`` words, so what is broadcast has a fixed largest size.
 
 Cases: null and empty texts match nothing; an item of fewer than three words proves no
-leak and is not searched; a copy without three words of the item in a row has no seed;
-equal items are found once each; repeated documents are
-rows of their own; of equally good alignments the one ending first counts; an empty
-table on either side gives an empty result; other columns are not read.
+leak and is not searched; equal items are found once each; repeated documents are
+rows of their own; of equally good alignments the one ending first counts; very long texts are
+searched in overlapping pieces; an empty table on either side gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -32,11 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
-#: Words of a seed; one is enough, so an item of this many words is found as well.
-SEED = 3
+#: Shorter items prove nothing.
+LEAST_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 BLOCK_WORDS = 1_000_000
+#: Words of a text searched at once.
+PIECE = 1 << 14
 
 
 def words(text: str | None) -> list[str]:
@@ -45,36 +52,61 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Items:
-    """A block of test items: word numbers (from 1) and n-gram codes with their places."""
+    """A block of test items: word numbers (from 1), and seeds with the items that have them."""
 
     ids: list
-    texts: list[list[int]]
+    #: Words of all items in a row, and where each item begins.
+    flat: np.ndarray
+    begins: np.ndarray
     number: dict[str, int]
-    #: Sorted codes, and for each its range in the places: item and word.
+    #: Sorted seed codes, and for each its range in the owners.
     codes: np.ndarray
-    begins: np.ndarray
-    places: np.ndarray
+    ranges: np.ndarray
+    owners: np.ndarray
+    #: Seeds of an item that a leak shares at least.
+    wanted: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple]) -> Items:
+    def of(cls, rows: list[tuple], counts: dict[int, int] | None = None) -> Items:
+        """Items with their rarest seed places by ``counts`` (code to occurrences), or with
+        equal ones taken in order."""
         number: dict[str, int] = {}
         ids, texts = [], []
         for item, text in rows:
             found = words(text)
-            if len(found) >= SEED:
+            if len(found) >= LEAST_WORDS:
                 ids.append(item)
                 texts.append([number.setdefault(w, len(number) + 1) for w in found])
-        all_codes, owners = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
-        for i, text in enumerate(texts):
-            own = ngrams(np.array(text, np.int64), SEED, len(number) + 1)
-            all_codes.append(own)
-            owners.append(np.stack([np.full(len(own), i), np.arange(len(own))], axis=1))
-        flat = np.concatenate(all_codes)
-        order = np.argsort(flat, kind="stable")
-        codes, first = np.unique(flat[order], return_index=True)
-        return cls(
-            ids, texts, number, codes, np.append(first, len(flat)), np.concatenate(owners)[order]
-        )
+        sizes = np.array([len(x) for x in texts], np.int64)
+        begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        flat = np.array([w for x in texts for w in x], np.int64)
+        # Places of one item: all but its last word. Its second seed may be missing.
+        place = np.flatnonzero(np.isin(np.arange(len(flat)), begins[1:] - 1, invert=True))
+        owner = np.searchsorted(begins, place, "right") - 1
+        second = place + 2 < begins[owner + 1]
+        base = len(number) + 1
+        near = flat[place] * base + flat[place + 1]
+        far = np.where(second, flat[place] * base + flat[np.minimum(place + 2, len(flat) - 1)], -1)
+        close = (sizes - 1) // 2  # (n - 2) / 2, rounded up
+        wanted = 1 + (close - 1) // 4
+        kept = sizes - 1 - close + wanted
+        if counts:
+            seen = np.array([counts.get(x, 0) for x in near.tolist()], np.int64)
+            seen += np.array([counts.get(x, 0) for x in far.tolist()], np.int64)
+        else:
+            seen = np.zeros(len(place), np.int64)
+        order = np.lexsort((place, seen, owner))
+        rank = np.arange(len(order)) - (begins[:-1] - np.arange(len(sizes)))[owner[order]]
+        rare = order[rank < kept[owner[order]]]
+        code = np.concatenate([near[rare], far[rare]])
+        own = np.concatenate([owner[rare], owner[rare]])
+        pairs = np.unique(np.stack([code, own], axis=1)[code >= 0], axis=0).reshape(-1, 2)
+        codes, first = np.unique(pairs[:, 0], return_index=True)
+        ranges = np.append(first, len(pairs)).astype(np.int64)
+        return cls(ids, flat, begins, number, codes, ranges, pairs[:, 1], wanted)
+
+    def words_of(self, item: int) -> np.ndarray:
+        return self.flat[self.begins[item] : self.begins[item + 1]]
 
     def numbered(self, text: str | None) -> np.ndarray:
         get = self.number.get
@@ -82,39 +114,17 @@ class Items:
 
     def found(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a text where a seed begins, and which seed."""
-        own = ngrams(numbers, SEED, len(self.number) + 1)
-        if not len(self.codes) or not len(own):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
-        hit = np.flatnonzero((self.codes[at] == own) & _known(numbers, SEED))
-        return hit, at[hit]
-
-
-def _known(numbers: np.ndarray, n: int) -> np.ndarray:
-    """Which n-grams have only words of the items."""
-    some = numbers > 0
-    out = some[: len(some) - n + 1].copy()
-    for k in range(1, n):
-        out &= some[k : len(some) - n + 1 + k]
-    return out
-
-
-def ngrams(numbers: np.ndarray, n: int, base: int) -> np.ndarray:
-    """A code per n-gram: exact while base ** n fits 64 bits, else mixed.
-
-    A chance match of mixed codes only adds a candidate, which the alignment refuses.
-    """
-    size = len(numbers) - n + 1
-    if size <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(size, np.uint64)
-    exact = base**n < 1 << 64
-    factor = np.uint64(base if exact else 0x9E3779B97F4A7C15)
-    for k in range(n):
-        out = out * factor + numbers[k : k + size].astype(np.uint64)
-        if not exact:
-            out ^= out >> np.uint64(29)
-    return out
+        places, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(self.codes):
+            for distance in (1, 2):
+                a, b = numbers[:-distance], numbers[distance:]
+                known = np.flatnonzero((a > 0) & (b > 0))
+                code = a[known] * (len(self.number) + 1) + b[known]
+                at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                hit = self.codes[at] == code
+                places.append(known[hit])
+                seeds.append(at[hit])
+        return np.concatenate(places), np.concatenate(seeds)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
@@ -150,21 +160,37 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), begin, end
 
 
+def _shared(items: Items, numbers: np.ndarray) -> np.ndarray:
+    """(item, place) of seeds from which on a passage holds as many as a leak must."""
+    begun, seeds = items.found(numbers)
+    first = items.ranges[seeds]
+    count = items.ranges[seeds + 1] - first
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    owner = items.owners[np.repeat(first, count) + step]
+    # Seeds of an alignment begin at different words, so one of an item counts per place.
+    width = max(1, len(numbers))
+    own = np.unique(owner * width + np.repeat(begun, count))
+    owner, place = own // width, own % width
+    last = np.arange(len(own)) + items.wanted[owner] - 1
+    inside = np.minimum(last, len(own) - 1)
+    size = items.begins[owner + 1] - items.begins[owner]
+    enough = (last < len(own)) & (owner[inside] == owner) & (place[inside] - place < 2 * size)
+    return np.stack([owner[enough], place[enough]], axis=1)
+
+
 def _candidates(items: Items, numbers: np.ndarray) -> dict[int, list]:
-    """For each item with a seed in a text, spans of the text to align."""
-    begun, codes = items.found(numbers)
-    if not len(begun):
+    """For each item that may leak, spans of the text to align; each leak lies in one whole."""
+    if not len(items.ids):
         return {}
-    first = items.begins[codes]
-    count = items.begins[codes + 1] - first
-    at = np.repeat(begun, count)
-    step = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-    owner = items.places[np.repeat(first, count) + step, 0]
-    order = np.lexsort((at, owner))
+    # Pieces overlap by the widest alignment.
+    more = 2 * int(np.diff(items.begins).max()) + 2
+    found = []
+    for low in range(0, max(1, len(numbers) - more), PIECE):
+        found.append(_shared(items, numbers[low : low + PIECE + more]) + [0, low])
     spans: dict[int, list] = {}
-    for item, at in zip(owner[order].tolist(), at[order].tolist()):
-        size = len(items.texts[item])
-        low, high = max(0, at - 2 * size), min(len(numbers), at + 4 * size)
+    for item, at in np.unique(np.concatenate(found), axis=0).tolist():
+        size = int(items.begins[item + 1] - items.begins[item])
+        low, high = max(0, at - 2 * size), min(len(numbers), at + 2 * size + 2)
         own = spans.setdefault(item, [])
         if own and low <= own[-1][1]:
             own[-1][1] = high
@@ -198,7 +224,7 @@ def leaks_of(items: Items, text: str | None) -> list[tuple]:
     numbers = items.numbered(text)
     out = []
     for item, spans in _candidates(items, numbers).items():
-        target = np.array(items.texts[item], np.int64)
+        target = items.words_of(item)
         step, most = 64 * len(target), (0.0, 0, 0)
         for low, high in spans:
             if score_bound(target, numbers[low:high]) < LEAST_SCORE:
@@ -227,6 +253,36 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Ite
         yield block
 
 
+def _counted(docs: DataFrame, text: str, block: list[tuple]) -> dict[int, int]:
+    """How often each seed of a block stands in the documents: at most two a word of the block."""
+    every = Items.of(block)
+    base = len(every.number) + 1
+    codes = []
+    for distance in (1, 2):
+        place = np.arange(max(0, len(every.flat) - distance))
+        codes.append(every.flat[place] * base + every.flat[place + distance])
+    every.codes = np.unique(np.concatenate(codes))
+    shared = docs.sparkSession.sparkContext.broadcast(every)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        total = np.zeros(len(own.codes), np.int64)
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                seeds = own.found(own.numbered(value))[1]
+                np.add.at(total, seeds, 1)
+        some = np.flatnonzero(total)
+        for low in range(0, len(some), 1 << 16):
+            part = some[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.codes[part]), pa.array(total[part])], ["code", "n"]
+            )
+
+    found = docs.select(text).mapInArrow(run, "code long, n long")
+    found = found.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -249,7 +305,7 @@ def find_leaks(
     )
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, item, item_text, block_words):
-        shared = spark.sparkContext.broadcast(Items.of(block))
+        shared = spark.sparkContext.broadcast(Items.of(block, _counted(docs, text, block)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
@@ -280,10 +336,10 @@ def keep_clean(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The rows without a leak of any item, with their own columns."""
-    spark = docs.sparkSession
+    spark, rows = docs.sparkSession, docs
     at = docs.columns.index(text)
     for block in _blocks(benchmark, item, item_text, block_words):
-        shared = spark.sparkContext.broadcast(Items.of(block))
+        shared = spark.sparkContext.broadcast(Items.of(block, _counted(rows, text, block)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value

@@ -51,13 +51,17 @@ def test_exact_and_edited_copies(docs, prose, items):
     rows = [(1000 + i, t) for i, t in enumerate(clean)]
     want = set()
     for n, r in enumerate(known):
-        for k, every in enumerate((10_000, 8, 5, 4)):
+        for k, every in enumerate((10_000, 8, 5, 4, 3)):
             body = clean[(n + k) % len(clean)].split()
             middle = len(body) // 2
             passage = changed(r.text, every, draw)
             text = " ".join([*body[:middle], passage.upper() if k == 1 else passage, *body[middle:]])
             rows.append((n * 10 + k, text))
-            want.add((n * 10 + k, r.item_id))
+            block = D.Items.of([(r.item_id, r.text)])
+            # Random edits may leave less than a leak; every other one has to be found.
+            if D.align(block.words_of(0), block.numbered(text))[0] >= D.LEAST_SCORE:
+                want.add((n * 10 + k, r.item_id))
+    assert len(want) >= 54
     found = D.find_leaks(docs(rows, clashing=True), items).collect()
     already = {
         (r.doc_id, r.item_id)
@@ -80,14 +84,78 @@ def test_against_aligning_everything(spark, sf, items):
     want = set()
     for r in rows:
         text = block.numbered(r.text)
-        for item, target in zip(block.ids, block.texts):
-            if D.align(np.array(target), text)[0] >= D.LEAST_SCORE:
+        for at, item in enumerate(block.ids):
+            if D.align(block.words_of(at), text)[0] >= D.LEAST_SCORE:
                 want.add((r.doc_id, item))
     frame = spark.createDataFrame(rows)
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(frame, items).collect()}
     assert got == want
 
 
+def edited(words, draw):
+    """A copy with any edits that leave it a leak, or nearly one."""
+    out = []
+    for word in words:
+        kind = draw.choices("krdi", (draw.uniform(2, 6), 1, 1, 1))[0]
+        out += {"k": [word], "r": ["x"], "d": [], "i": [word, "y"]}[kind]
+    return out
+
+
+def test_seeds_find_what_aligning_everything_finds():
+    """Items of all lengths over few words, any rarity of their seeds, dense edits, long texts."""
+    draw = random.Random(11)
+    leaks = 0
+    for trial in range(150):
+        vocabulary = [f"w{i}" for i in range(draw.choice([4, 30, 400]))]
+        rows = [(i, " ".join(draw.choices(vocabulary, k=draw.randint(1, 40)))) for i in range(8)]
+        plain = D.Items.of(rows)
+        counts = {int(c): draw.randint(0, 9) for c in plain.codes}
+        block = D.Items.of(rows, counts if trial % 2 else None)
+        item = draw.choice(rows)[1].split()
+        parts = draw.choices(vocabulary, k=60), edited(item, draw), draw.choices(vocabulary, k=60)
+        text = " ".join(w for part in parts for w in part)
+        numbers = block.numbered(text)
+        want = {
+            block.ids[i]: score
+            for i in range(len(block.ids))
+            if (score := D.align(block.words_of(i), numbers)[0]) >= D.LEAST_SCORE
+        }
+        leaks += len(want)
+        assert {x[0]: x[1] for x in D.leaks_of(block, text)} == want
+    assert leaks > 200
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda w: [x if i % 3 != 2 else "other" for i, x in enumerate(w)],  # two of three kept
+        lambda w: [x for i, x in enumerate(w) if i % 3 != 2],  # every third dropped
+        lambda w: [y for x in w for y in (x, "more")][:-1],  # a word after each
+        lambda w: w[: (len(w) + 1) // 2],  # the first half only
+    ],
+)
+def test_copies_at_the_edge_of_a_leak(items, change):
+    known = [(r.item_id, r.text) for r in items.collect()]
+    block = D.Items.of(known)
+    found = 0
+    for item, text in known:
+        copy = " ".join(change(D.words(text)))
+        score = D.align(block.words_of(block.ids.index(item)), block.numbered(copy))[0]
+        assert (item in {x[0] for x in D.leaks_of(block, copy)}) == (score >= D.LEAST_SCORE)
+        found += score >= D.LEAST_SCORE
+    assert found >= 0.9 * len(known)
+
+
+def test_a_leak_over_the_border_of_two_pieces(items, monkeypatch):
+    monkeypatch.setattr(D, "PIECE", 32)
+    item, text = max(((r.item_id, r.text) for r in items.collect()), key=lambda x: len(x[1]))
+    block = D.Items.of([(item, text)])
+    for before in range(0, 200, 7):
+        for after in (0, 150):
+            found = D.leaks_of(block, "zz " * before + text + " zz" * after)
+            assert [x[:2] for x in found] == [(item, 1.0)]
+
+
 def test_a_passage_in_every_document_is_found(docs, prose, items):
     passage = max((r.text for r in items.collect()), key=len)
     frame = docs([(i, f"{t} {passage}") for i, t in enumerate(prose[:50])])
