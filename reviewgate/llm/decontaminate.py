@@ -109,8 +109,17 @@ class Items:
         return self.flat[self.begins[item] : self.begins[item + 1]]
 
     def numbered(self, text: str | None) -> np.ndarray:
-        get = self.number.get
-        return np.array([get(w, 0) for w in words(text)], np.int64)
+        return self.joined([text])[0][:-2]
+
+    def joined(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of texts in a row, each followed by two that match nothing, so that no
+        seed reaches into the next; and where each ends."""
+        get, numbers, ends = self.number.get, [], []
+        for text in texts:
+            numbers += [get(w, 0) for w in words(text)]
+            numbers += (0, 0)
+            ends.append(len(numbers))
+        return np.array(numbers, np.int64), np.array(ends, np.int64)
 
     def found(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a text where a seed begins, and which seed."""
@@ -178,17 +187,22 @@ def _shared(items: Items, numbers: np.ndarray) -> np.ndarray:
     return np.stack([owner[enough], place[enough]], axis=1)
 
 
-def _candidates(items: Items, numbers: np.ndarray) -> dict[int, list]:
-    """For each item that may leak, spans of the text to align; each leak lies in one whole."""
+def _passages(items: Items, numbers: np.ndarray) -> np.ndarray:
+    """``_shared`` of long rows of words, in pieces that overlap by the widest alignment."""
     if not len(items.ids):
-        return {}
-    # Pieces overlap by the widest alignment.
+        return np.zeros((0, 2), np.int64)
     more = 2 * int(np.diff(items.begins).max()) + 2
-    found = []
-    for low in range(0, max(1, len(numbers) - more), PIECE):
-        found.append(_shared(items, numbers[low : low + PIECE + more]) + [0, low])
+    found = [
+        _shared(items, numbers[low : low + PIECE + more]) + [0, low]
+        for low in range(0, max(1, len(numbers) - more), PIECE)
+    ]
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _candidates(items: Items, numbers: np.ndarray) -> dict[int, list]:
+    """For each item that may leak, spans of the text to align; each leak lies in one whole."""
     spans: dict[int, list] = {}
-    for item, at in np.unique(np.concatenate(found), axis=0).tolist():
+    for item, at in _passages(items, numbers).tolist():
         size = int(items.begins[item + 1] - items.begins[item])
         low, high = max(0, at - 2 * size), min(len(numbers), at + 2 * size + 2)
         own = spans.setdefault(item, [])
@@ -219,9 +233,22 @@ def score_bound(item: np.ndarray, text: np.ndarray) -> float:
     return (total - least).max() / (MATCH * len(item))
 
 
-def leaks_of(items: Items, text: str | None) -> list[tuple]:
-    """Item id, score and word span of each leak in a text, best place per item."""
-    numbers = items.numbered(text)
+def leaks_of(items: Items, texts: list[str | None]) -> dict[int, list[tuple]]:
+    """For the texts with leaks, item id, score and word span of each, best place per item."""
+    numbers, ends = items.joined(texts)
+    # A passage over the end of a text is one too many; the text itself decides.
+    places = _passages(items, numbers)[:, 1]
+    begins = np.append(0, ends)
+    out = {}
+    for i in np.unique(np.searchsorted(ends, places, "right")).tolist():
+        found = _aligned(items, numbers[begins[i] : ends[i] - 2])
+        if found:
+            out[i] = found
+    return out
+
+
+def _aligned(items: Items, numbers: np.ndarray) -> list[tuple]:
+    """The leaks of one text."""
     out = []
     for item, spans in _candidates(items, numbers).items():
         target = items.words_of(item)
@@ -268,9 +295,11 @@ def _counted(docs: DataFrame, text: str, block: list[tuple]) -> dict[int, int]:
         own = shared.value
         total = np.zeros(len(own.codes), np.int64)
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                seeds = own.found(own.numbered(value))[1]
-                np.add.at(total, seeds, 1)
+            numbers = own.joined(batch.column(0).to_pylist())[0]
+            for low in range(0, len(numbers), 1 << 20):
+                # A seed begins in one piece and reaches at most two words further.
+                begun, seeds = own.found(numbers[low : low + (1 << 20) + 2])
+                np.add.at(total, seeds[begun < 1 << 20], 1)
         some = np.flatnonzero(total)
         for low in range(0, len(some), 1 << 16):
             part = some[low : low + (1 << 16)]
@@ -312,10 +341,9 @@ def find_leaks(
 
             own = shared.value
             for batch in batches:
+                leaks = leaks_of(own, batch.column(1).to_pylist())
                 found = [
-                    (k, *leak)
-                    for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for leak in leaks_of(own, value)
+                    (batch.column(0)[i].as_py(), *leak) for i, some in leaks.items() for leak in some
                 ]
                 columns = list(zip(*found)) or [[]] * len(schema)
                 yield pa.RecordBatch.from_arrays(
@@ -344,7 +372,8 @@ def keep_clean(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
-                clean = [not leaks_of(own, x) for x in batch.column(at).to_pylist()]
+                leaks = leaks_of(own, batch.column(at).to_pylist())
+                clean = [i not in leaks for i in range(batch.num_rows)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

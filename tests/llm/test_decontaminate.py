@@ -121,7 +121,7 @@ def test_seeds_find_what_aligning_everything_finds():
             if (score := D.align(block.words_of(i), numbers)[0]) >= D.LEAST_SCORE
         }
         leaks += len(want)
-        assert {x[0]: x[1] for x in D.leaks_of(block, text)} == want
+        assert {x[0]: x[1] for x in D.leaks_of(block, ['a b', text, None]).get(1, [])} == want
     assert leaks > 200
 
 
@@ -141,7 +141,7 @@ def test_copies_at_the_edge_of_a_leak(items, change):
     for item, text in known:
         copy = " ".join(change(D.words(text)))
         score = D.align(block.words_of(block.ids.index(item)), block.numbered(copy))[0]
-        assert (item in {x[0] for x in D.leaks_of(block, copy)}) == (score >= D.LEAST_SCORE)
+        assert (item in {x[0] for x in D.leaks_of(block, [copy]).get(0, [])}) == (score >= D.LEAST_SCORE)
         found += score >= D.LEAST_SCORE
     assert found >= 0.9 * len(known)
 
@@ -152,10 +152,36 @@ def test_a_leak_over_the_border_of_two_pieces(items, monkeypatch):
     block = D.Items.of([(item, text)])
     for before in range(0, 200, 7):
         for after in (0, 150):
-            found = D.leaks_of(block, "zz " * before + text + " zz" * after)
+            found = D.leaks_of(block, ["zz " * before + text + " zz" * after])[0]
             assert [x[:2] for x in found] == [(item, 1.0)]
 
 
+def test_texts_of_one_batch_do_not_meet(items):
+    """An item cut over two texts is found in neither if no half is a leak of its own."""
+    text = max((r.text for r in items.collect()), key=len)
+    block, w = D.Items.of([(1, text)]), D.words(text)
+    cut = [w[i : i + len(w) // 3] for i in range(0, len(w), len(w) // 3)]
+    found = D.leaks_of(block, [" ".join(x) for x in cut] + [text])
+    assert list(found) == [len(cut)]
+
+
+def test_seed_counts_against_counting_pairs(docs, prose, items):
+    from collections import Counter
+
+    rows = [(r.item_id, r.text) for r in items.collect()]
+    texts = [*prose[:20], None, "", rows[0][1]]
+    block = D.Items.of(rows)
+    want, wanted = Counter(), {(a, b) for _, t in rows for w in [D.words(t)]
+                               for d in (1, 2) for a, b in zip(w, w[d:])}
+    for t in texts:
+        w = D.words(t)
+        want.update(p for d in (1, 2) for p in zip(w, w[d:]) if p in wanted)
+    number, base = block.number, len(block.number) + 1
+    got = D._counted(docs(list(enumerate(texts))), "text", rows)
+    for (a, b), n in want.items():
+        assert got.get(number[a] * base + number[b], 0) == n
+
+
 def test_a_passage_in_every_document_is_found(docs, prose, items):
     passage = max((r.text for r in items.collect()), key=len)
     frame = docs([(i, f"{t} {passage}") for i, t in enumerate(prose[:50])])
