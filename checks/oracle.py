@@ -1012,6 +1012,39 @@ FROM ({engine_policy("gaps")}) o
 JOIN ({engine_policy("gaps", _NEW_MODES, _NEW_REGIONS, _NEW_CATEGORIES)}) n
 USING (review_id)""",
 )
+_LAST_MODES = """VALUES ('mild', 8.0::DOUBLE, 7.0::DOUBLE, 8.0::DOUBLE),
+  ('standard', 4.0, 4.0, 6.0), ('strict', 3.0, 2.0, 4.0), ('lenient', 9.0, 9.0, 9.5)"""
+_LAST_REGIONS = "VALUES ('eu-west-1', NULL::DOUBLE, 1.5::DOUBLE), ('us-east-1', 5.0, 4.0)"
+_LAST_CATEGORIES = _CATEGORIES + ", ('books', 2.5, NULL, NULL)"
+
+
+def judged_then(rows: str, modes: str, regions: str, categories: str) -> str:
+    """Both policies over some of the reviews."""
+    table = f"(SELECT * FROM gaps WHERE {rows})"
+    limits = [f"coalesce(m.{x}, s.{x})" for x in ("mt", "mb", "mh")]
+    over = " OR ".join(
+        f"coalesce({a}_score, 10.0) >= {x}" for a, x in zip(K.ASPECTS, limits)
+    )
+    shown = ", ".join(f"{x} AS {a}_limit" for a, x in zip(K.ASPECTS, limits))
+    return f"""SELECT e.review_id, e.decision AS content_decision, e.reasons AS content_reasons,
+  e.explanation AS content_explanation, e.policy_error,
+  CASE WHEN {over} THEN 'DENY' ELSE 'ALLOW' END AS threshold_decision, {shown}
+FROM ({engine_policy(table, modes, regions, categories)}) e
+LEFT JOIN ({modes}) m(mode, mt, mb, mh) ON m.mode = e.compliance_mode
+JOIN ({modes}) s(mode, mt, mb, mh) ON s.mode = 'standard'"""
+
+
+sql(
+    "policy_versions",
+    "gaps",
+    " UNION ALL ".join(
+        [
+            judged_then("k < 100", _MODES, _REGIONS, _CATEGORIES),
+            judged_then("k >= 100 AND k < 400", _NEW_MODES, _NEW_REGIONS, _NEW_CATEGORIES),
+            judged_then("k >= 400", _LAST_MODES, _LAST_REGIONS, _LAST_CATEGORIES),
+        ]
+    ),
+)
 _SUMMARY_INPUT = {
     "sinput": """
 SELECT k, review_id, CASE WHEN k % 11 <> 0 THEN k % 10 END AS reviews_excluded,

@@ -7,7 +7,7 @@ text, structs are spread, times are ISO text.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ from reviewgate.operators.policy import (
     threshold_policy,
     unknown_modes,
 )
+from reviewgate.operators.policy_history import PolicyHistory
 from reviewgate.operators.scoring import mock_scores, model_cost
 from reviewgate.plans import analysis as analysis_plans
 from reviewgate.plans import reports, rollup
@@ -849,6 +850,45 @@ def update_policies(spark, sf):
     )
 
 
+#: Minutes from the first review on, and what changes then.
+POLICY_VERSIONS = {
+    100: POLICY_UPDATES,
+    400: {
+        "toxicity": {"standard": 4.0},
+        "regional_compliance": {"eu-west-1": {"max_bias": 1.5}},
+        "category_restrictions": {"books": {"max_toxicity": 2.5}},
+    },
+}
+
+
+def _policy_history(spark) -> PolicyHistory:
+    path = scratch_path(spark, "policies")
+    for minute in sorted(POLICY_VERSIONS, reverse=True):  # the later one is registered first
+        at = datetime.fromisoformat(X.START) + timedelta(minutes=minute)
+        tables.write_policy_update(spark, path, POLICY_VERSIONS[minute], at, f"update-{minute}")
+    return tables.read_policy_history(spark, path)
+
+
+@query
+def policy_versions(spark, sf):
+    """Both policies with the limits that were in force when a review came."""
+    history = _policy_history(spark)
+    content = content_policy(_scored(spark, sf), policies=history)
+    both = threshold_policy(
+        content.withColumnRenamed("policy_result", "full"), policies=history
+    )
+    limits = [c("policy_result.thresholds_applied")[a].alias(f"{a}_limit") for a in K.ASPECTS]
+    return both.select(
+        "review_id",
+        c("full.decision").alias("content_decision"),
+        joined("full.reasons", "content_reasons"),
+        c("full.explanation").alias("content_explanation"),
+        "policy_error",
+        c("policy_result.decision").alias("threshold_decision"),
+        *limits,
+    )
+
+
 @query
 def policy_listing(spark, sf):
     """Every policy rule with the number of reviews it governs."""

@@ -1,7 +1,8 @@
 """Threshold policies over the mode, region and category tables.
 
 A policy set is configuration and held by the driver. Its tables are broadcast while
-they are known to be small; larger ones are joined as any table is.
+they are known to be small; larger ones are joined as any table is. Where a function takes
+``policies``, a ``PolicyHistory`` may stand in for the set (``operators/policy_history.py``).
 """
 
 from __future__ import annotations
@@ -73,6 +74,24 @@ class PolicySet:
             {f"{prefix}_{n}": [e.get(n) for e in entries.values()] for n in names},
         )
 
+    def with_modes(self, df: DataFrame) -> DataFrame:
+        """Add the mode's limits; NULL where this set does not have the mode."""
+        return df.join(self.hinted(self.modes(df.sparkSession)), "compliance_mode", "left")
+
+    def with_standard(self, df: DataFrame) -> DataFrame:
+        """Add the limits of the standard mode, ``_standard_`` before each name."""
+        return df.withColumns(
+            {f"_standard_{a}": F.lit(float(self.policies[a]["standard"])) for a in K.ASPECTS}
+        )
+
+    def with_regions(self, df: DataFrame) -> DataFrame:
+        return df.join(self.hinted(self.regions(df.sparkSession)), "region", "left")
+
+    def with_categories(self, df: DataFrame) -> DataFrame:
+        return df.join(
+            self.hinted(self.categories(df.sparkSession)), "product_category", "left"
+        )
+
     @staticmethod
     def load(rules: DataFrame) -> PolicySet:
         """The policy set of a stored listing, which comes to the driver; a listing of more
@@ -125,9 +144,7 @@ def _table(spark: SparkSession, texts: dict, numbers: dict) -> DataFrame:
 
 def with_mode_limits(df: DataFrame, policies: PolicySet | None = None) -> DataFrame:
     """Join the mode thresholds; an unknown mode leaves them NULL."""
-    policies = policies or PolicySet()
-    modes = policies.hinted(policies.modes(df.sparkSession))
-    return df.join(modes, "compliance_mode", "left")
+    return (policies or PolicySet()).with_modes(df)
 
 
 def threshold_policy(
@@ -141,13 +158,9 @@ def threshold_policy(
             "compliance_mode", F.coalesce("compliance_mode", F.lit("standard"))
         ),
         policies,
-    ).withColumns(
-        {
-            f"{a}_limit": F.coalesce(
-                f"{a}_limit", F.lit(float(policies.policies[a]["standard"]))
-            )
-            for a in K.ASPECTS
-        }
+    )
+    rows = policies.with_standard(rows).withColumns(
+        {f"{a}_limit": F.coalesce(f"{a}_limit", f"_standard_{a}") for a in K.ASPECTS}
     )
     reasons = {
         "toxicity": K.TOXICITY_REASON,
@@ -182,7 +195,7 @@ def threshold_policy(
         ),
     )
     return rows.withColumn("policy_result", result).drop(
-        "_broken", *[f"{a}_limit" for a in K.ASPECTS]
+        "_broken", *[x for a in K.ASPECTS for x in (f"{a}_limit", f"_standard_{a}")]
     )
 
 
@@ -196,17 +209,9 @@ def content_policy(
     result (see ``unknown_modes``).
     """
     policies = policies or PolicySet()
-    spark = df.sparkSession
-    rows = (
-        with_mode_limits(df, policies)
-        .join(policies.hinted(policies.regions(spark)), "region", "left")
-        .join(policies.hinted(policies.categories(spark)), "product_category", "left")
-        .withColumns(
-            {
-                f"_{a}": F.coalesce(c(analysis)[f"{a}_score"], F.lit(0.0))
-                for a in K.ASPECTS
-            }
-        )
+    limited = policies.with_categories(policies.with_regions(with_mode_limits(df, policies)))
+    rows = limited.withColumns(
+        {f"_{a}": F.coalesce(c(analysis)[f"{a}_score"], F.lit(0.0)) for a in K.ASPECTS}
     )
     mode_reasons = [
         ("toxicity", "Toxicity", K.TOXICITY_REASON),
@@ -290,9 +295,8 @@ def _defined() -> Column:
 
 def unknown_modes(df: DataFrame, policies: PolicySet | None = None) -> DataFrame:
     """Rows whose mode the policy set does not define, or not for every score."""
-    policies = policies or PolicySet()
-    modes = policies.modes(df.sparkSession).filter(_defined()).select("compliance_mode")
-    return df.join(policies.hinted(modes), "compliance_mode", "left_anti").withColumn(
+    rows = with_mode_limits(df, policies).filter(~_defined())
+    return rows.drop(*[f"{a}_limit" for a in K.ASPECTS]).withColumn(
         "policy_error", F.lit(K.UNKNOWN_MODE)
     )
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import time
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 
 from reviewgate.constants import DEAD_LETTER_RETENTION_DAYS
 from reviewgate.operators.lookups import latest_per_key
+from reviewgate.operators.policy import PolicySet
+from reviewgate.operators.policy_history import UPDATES, PolicyHistory, policy_update
 from reviewgate.operators.validation import validate_audit
 from reviewgate.session import discard, materialise, scratch_path
 
@@ -86,6 +89,25 @@ def _read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def write_policy_update(
+    spark: SparkSession, path: str, updates: dict, effective_at: datetime, update_id: str
+) -> DataFrame:
+    """Register a policy update; the same id again replaces it."""
+    return write_rows(policy_update(spark, updates, effective_at, update_id), path, update_id)
+
+
+def read_policy_history(
+    spark: SparkSession, path: str, first: PolicySet | None = None, time: str = "timestamp"
+) -> PolicyHistory:
+    """The policy set ``first`` with the updates registered so far, if there are any."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        updates = spark.read.schema(UPDATES).parquet(path)
+    else:
+        updates = spark.createDataFrame([], UPDATES)
+    return PolicyHistory(updates, first or PolicySet(), time)
+
+
 def put_audit_batch(
     events: DataFrame, path: str, dead_letters: str, run_id: str | int, now: Column
 ) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reviewgate import constants as K
 from reviewgate.operators.policy import PolicySet
+from reviewgate.operators.policy_history import PolicyHistory
 from reviewgate.operators.routing import responses
 from reviewgate.operators.scoring import Scorer, model_cost
 from reviewgate.operators.validation import split, validate_api
@@ -34,19 +35,21 @@ def scoring_decider(
     scorer: Scorer,
     run_id: str,
     entered_at: datetime | None = None,
-    policies: PolicySet | None = None,
+    policies: PolicySet | Callable[[SparkSession], PolicySet | PolicyHistory] | None = None,
     summary_scorer: Scorer | None = None,
     **options,
 ) -> Callable[[DataFrame], DataFrame]:
     """Turn submissions into decided rows by calling the scorer per row, which
     needs no shuffle and keeps no state. With a ``summary_scorer`` every approved
-    review also gets a summary of its own."""
+    review also gets a summary of its own. ``policies`` may be a function: it is asked for
+    every micro-batch, so a running stream takes up an update (``read_policy_history``)."""
 
     def decide_rows(rows: DataFrame) -> DataFrame:
         prepared = prepare_input(rows, _moment(entered_at), run_id)
         scored = scored_reviews(prepared, scorer, distinct=False, **options)
         costed = model_cost(scored, K.MODEL_ID, K.PROMPT_VERSION, K.INFERENCE_CONFIG)
-        decided = decide(costed, call_error="call_error", policies=policies)
+        current = policies(rows.sparkSession) if callable(policies) else policies
+        decided = decide(costed, call_error="call_error", policies=current)
         if summary_scorer is None:
             return decided
         return summarise_approved(decided, summary_scorer, **options)
