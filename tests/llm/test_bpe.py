@@ -16,6 +16,14 @@ def own():
     return bpe.tokenizer(PATH, public_tokenizers.PATTERN)
 
 
+def test_every_code_point_as_the_library(own, library):
+    """Each beside a letter, a digit, a space and itself."""
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for low in range(0, len(points), 2_000):
+        text = "".join(f"a{x}1{x} {x}{x}." for x in points[low : low + 2_000])
+        assert own.encode(text) == library.encode_ordinary(text)
+
+
 @pytest.fixture(scope="module")
 def library():
     return tiktoken.Encoding(
