@@ -1133,6 +1133,12 @@ sql(
     f"""SELECT review_id, {_SCORES}, decision, {bar("reasons")} AS reasons, explanation
 FROM decided WHERE decision <> 'ALLOW'""",
 )
+sql(
+    "audit_sink_failure",
+    "decided",
+    """SELECT review_id, decision, 'run-1' AS execution_id, 'audit' AS errors,
+  true AS is_unlogged, 200 AS status_code FROM decided""",
+)
 _MODERATED = f"""SELECT 200 AS status_code,
   CASE WHEN decision = 'ALLOW' THEN 'SUCCESS' ELSE 'REJECTED' END AS result,
   review_id, product_id,

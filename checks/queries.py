@@ -33,7 +33,13 @@ from reviewgate.operators.policy_history import PolicyHistory
 from reviewgate.operators.scoring import mock_scores, model_cost
 from reviewgate.plans import analysis as analysis_plans
 from reviewgate.plans import reports, rollup
-from reviewgate.plans.moderation import decide, prepare_input, run_moderation, scored_reviews
+from reviewgate.plans.moderation import (
+    decide,
+    log_decisions,
+    prepare_input,
+    run_moderation,
+    scored_reviews,
+)
 from reviewgate.plans.summaries import (
     stored_summaries,
     summarise_tree,
@@ -926,6 +932,30 @@ def _decided(spark, sf):
     return X.decided(X.reviews(spark, sf))
 
 
+@query
+def audit_sink_failure(spark, sf):
+    """No audit log can be written: the flow goes on and all decisions are set aside."""
+    out = scratch_path(spark, "no-audit")
+    blocked = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/audit")
+    # A file stands where the log's folder would be.
+    blocked.getFileSystem(spark._jsc.hadoopConfiguration()).create(blocked).close()
+    decided = tables.write_rows(model_cost(_decided(spark, sf)), f"{out}/decisions", "run-1")
+    logged = log_decisions(decided, out, "run-1", now())
+    answered = tables.write_rows(routing.responses(decided), f"{out}/responses", "run-1")
+    aside = tables.read_dead_letters(spark, f"{out}/audit_dead_letters")
+    fields = {
+        "review_id": "$.review_id",
+        "decision": "$.policy_result.decision",
+        "execution_id": "$.execution_id",
+    }
+    rows = aside.select(
+        *[F.get_json_object("row", path).alias(name) for name, path in fields.items()],
+        joined("errors"),
+        (F.lit(logged is None)).alias("is_unlogged"),
+    )
+    return rows.join(answered.select("review_id", "status_code"), "review_id")
+
+
 @query
 def route_approved(spark, sf):
     return routing.route_approved(_decided(spark, sf)).select(
