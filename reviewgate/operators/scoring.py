@@ -3,13 +3,16 @@
 A scorer is any picklable callable that takes a prompt text (and the call options, if
 any are given) and returns the response text, or a tuple ``(text, input tokens, output
 tokens)``. It runs inside ``mapInArrow`` with a bounded number of calls in flight
-per task, so the partition count of the stage bounds the load on the service.
+per task, so the partition count of the stage bounds the load on the service. Below that bound
+each task follows the service: a refused call (``Throttled``) lowers the number of its calls in
+flight by a factor, answered ones raise it slowly.
 """
 
 from __future__ import annotations
 
 import random
 import sys
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -38,23 +41,65 @@ class Throttled(Exception):
     """Raised by a scorer when the service asks to slow down; it is retried."""
 
 
+class InFlight:
+    """How many calls of a task may run at once: additive increase, multiplicative decrease.
+
+    Refusals of calls that began before the last decrease tell nothing new and change nothing.
+    """
+
+    FACTOR, STEP = 0.85, 0.1
+
+    def __init__(self, most: int):
+        self.most, self.limit = most, float(most)
+        self._active, self._epoch = 0, 0
+        self._changed = threading.Condition()
+
+    def enter(self) -> int:
+        with self._changed:
+            self._changed.wait_for(lambda: self._active < int(self.limit))
+            self._active += 1
+            return self._epoch
+
+    def leave(self, epoch: int, refused: bool) -> None:
+        with self._changed:
+            self._active -= 1
+            if not refused:
+                # About one more call after 1 / STEP rounds of calls.
+                self.limit = min(self.most, self.limit + self.STEP / self.limit)
+            elif epoch == self._epoch:
+                self.limit = max(1.0, self.limit * self.FACTOR)
+                self._epoch += 1
+            self._changed.notify_all()
+
+
 def _call(
     scorer: Scorer,
     prompt: str | None,
     retries: int,
     base_delay: float,
     options: dict | None = None,
+    load: InFlight | None = None,
 ):
     """(response, error, attempts, ms, input tokens, output tokens) of one call.
     An absent prompt is not called."""
     if prompt is None:
         return None, None, 0, 0, None, None
-    started = time.monotonic()
-    attempts, response, error = 0, None, None
+    attempts, response, error, started = 0, None, None, 0.0
     while True:
         attempts += 1
+        epoch = load.enter() if load else 0
+        if attempts == 1:  # waiting for one's turn is not the model's time
+            started = time.monotonic()
+        refused = False
         try:
-            response = scorer(prompt, **(options or {}))
+            try:
+                response = scorer(prompt, **(options or {}))
+            except Throttled:
+                refused = True
+                raise
+            finally:
+                if load:
+                    load.leave(epoch, refused)
             break
         except Throttled as slow:
             if attempts > retries:
@@ -109,6 +154,7 @@ def score_prompts(
     fields, kind = SCORER_RESULT.fieldNames(), to_arrow_type(SCORER_RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = InFlight(in_flight)
         with ThreadPoolExecutor(max_workers=in_flight) as pool:
             for batch in batches:
                 out = [batch.column(i) for i in kept_at]
@@ -117,7 +163,8 @@ def score_prompts(
                     if ends is not None:
                         texts = [None if x is None else x.join(ends) for x in texts]
                     results = pool.map(
-                        lambda x: _call(scorer, x, retries, base_delay, call_options), texts
+                        lambda x: _call(scorer, x, retries, base_delay, call_options, load),
+                            texts,
                     )
                     out.append(pa.array([dict(zip(fields, row)) for row in results], kind))
                 yield pa.RecordBatch.from_arrays(out, schema.names)

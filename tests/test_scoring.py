@@ -1,10 +1,14 @@
 import os
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
 from reviewgate.operators.scoring import (
+    InFlight,
     Throttled,
     _call,
     mock_scorer,
@@ -16,6 +20,50 @@ from reviewgate.operators.prompts import analysis_prompt
 from reviewgate.plans.moderation import scored_reviews
 
 
+def test_calls_in_flight_follow_the_service():
+    """A service that bears 20 calls at once, asked with up to 40: few retries, most of its rate."""
+    lock, active, seen = threading.Lock(), [0], []
+
+    def limited(prompt):
+        with lock:
+            active[0] += 1
+            over = active[0] > 20
+            seen.append((over, active[0] - over))
+        try:
+            time.sleep(0.0005 if over else 0.01)
+            if over:
+                raise Throttled("slow down")
+            return "ok"
+        finally:
+            with lock:
+                active[0] -= 1
+
+    load = InFlight(40)
+    with ThreadPoolExecutor(40) as pool:
+        found = list(
+            pool.map(lambda x: _call(limited, x, 9, 0.001, load=load), map(str, range(4_000)))
+        )
+    assert all(x[0] == "ok" for x in found)
+    assert len(seen) - 4_000 < 0.05 * 4_000
+    steady = [n for _, n in seen[500:-100]]
+    assert sum(steady) / len(steady) >= 0.9 * 20 * 0.95
+
+
+def test_one_call_at_a_time_is_always_allowed():
+    load = InFlight(4)
+    for _ in range(50):
+        load.leave(load.enter(), True)
+    assert load.limit == 1.0
+    epochs = [load.enter()]
+    load.leave(epochs[0], False)
+    assert 1.0 < load.limit < 4
+    late = InFlight(8)
+    old = [late.enter() for _ in range(8)]
+    for epoch in old:  # eight refusals of one moment count once
+        late.leave(epoch, True)
+    assert late.limit == 8 * InFlight.FACTOR
+
+
 def test_throttled_calls_are_retried():
     seen = []
 
