@@ -21,6 +21,8 @@ DEFAULTS = {
     # Split a hot key also where a later join would have reused the partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Folders of a table are listed by tasks; with one each, starting tasks takes the time.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "128",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A repeated key in a model response takes its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",

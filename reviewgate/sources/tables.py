@@ -32,6 +32,8 @@ JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 BUCKET_ROWS = 100_000
 #: Buckets that are named one by one in a filter; more are joined.
 LISTED_BUCKETS = 4096
+#: Small buckets that one task writes at most.
+TASK_BUCKETS = 64
 AUDIT_LAYOUT, KEYED_LAYOUT = ("run",), ("buckets", "bucket")
 
 
@@ -212,29 +214,31 @@ def put_by_key(
     """
     spark = updates.sparkSession
     most = bucket_rows or BUCKET_ROWS
-    stored = live_buckets(spark, path)
+    stored, left = _bucket_folders(spark, path)
     rows = _stored_names(updates, KEYED_LAYOUT)
     key, version = [f"own_{x}" if x in KEYED_LAYOUT else x for x in (key, version)]
     if not stored:
         count = buckets or max(64, -(-updates.count() // most))
         rows = rows.withColumns({"buckets": F.lit(count), "bucket": _bucket(c(key), count)})
         first = upsert(None, rows, key, version)
+        split = []
         if buckets:
             first = materialise(first, "put-first")
-            first = _grown(first, key, _split_buckets(first, most))
-        _write_buckets(first, path)
+            split = _split_buckets(first, most)
+        _write_buckets(_grown(first, key, split), path, count + _parts(split), most)
         return
     placed = materialise(_placed(spark, rows, key, stored), "put-placed")
     touched = placed.select("buckets", "bucket").distinct()
-    current = _read_stored(spark, path)
-    if len(stored) <= LISTED_BUCKETS or touched.count() <= LISTED_BUCKETS:
+    current = _read_stored(spark, path, left)
+    changed = touched.count()
+    if len(stored) <= LISTED_BUCKETS or changed <= LISTED_BUCKETS:
         current = current.filter(_listed([tuple(r) for r in touched.collect()]))
     else:
         current = current.join(touched, ["buckets", "bucket"], "left_semi")
     scratch = scratch_path(spark, "upsert")
     merged = materialise(upsert(current, placed, key, version), "upsert", scratch)
     split = _split_buckets(merged, most)
-    _write_buckets(_grown(merged, key, split), path)
+    _write_buckets(_grown(merged, key, split), path, changed + _parts(split), most)
     for count, bucket, _ in split:
         discard(spark, f"{path}/buckets={count}/bucket={bucket}")
     discard(spark, scratch)
@@ -281,6 +285,10 @@ def _split_buckets(rows: DataFrame, most: int) -> list[tuple[int, int, int]]:
     ]
 
 
+def _parts(split: list[tuple[int, int, int]]) -> int:
+    return sum(finer // count for count, _, finer in split)
+
+
 def _grown(rows: DataFrame, key: str, split: list[tuple[int, int, int]]) -> DataFrame:
     """Rows with the buckets they go to once the large ones are split."""
     if not split:
@@ -303,13 +311,15 @@ def live_buckets(spark: SparkSession, path: str) -> list[tuple[int, int]]:
 def _bucket_folders(spark: SparkSession, path: str) -> tuple[list, set]:
     """Live buckets and those that were split, from the folders' names. A bucket of which
     finer parts exist was split; what is left of it does not count."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/buckets=*/bucket=*")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    names = [str(x.getPath()) for x in found or []]
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return [], set()
+    # Listed by tasks where there are many, and no rows are read.
+    names = spark.read.schema("buckets int, bucket int").parquet(path).inputFiles()
     places = {
         (int(m[1]), int(m[2]))
         for x in names
-        if (m := re.search(r"/buckets=(\d+)/bucket=(\d+)$", x))
+        if (m := re.search(r"/buckets=(\d+)/bucket=(\d+)/[^/]*$", x))
     }
     counts = sorted({n for n, _ in places})
     coarser = {
@@ -318,10 +328,10 @@ def _bucket_folders(spark: SparkSession, path: str) -> tuple[list, set]:
     return sorted(places - coarser), places & coarser
 
 
-def _read_stored(spark: SparkSession, path: str) -> DataFrame:
-    """The live buckets with the columns of the layout."""
+def _read_stored(spark: SparkSession, path: str, split: set | None = None) -> DataFrame:
+    """The live buckets with the columns of the layout; ``split`` if their folders are known."""
     rows = spark.read.option("mergeSchema", "true").parquet(path)
-    split = _bucket_folders(spark, path)[1]
+    split = _bucket_folders(spark, path)[1] if split is None else split
     # Left only by a put that was lost at its end, and as many as it split.
     return rows.filter(~_listed(list(split))) if split else rows
 
@@ -347,8 +357,18 @@ def lookup_by_key(spark: SparkSession, path: str, key: str, value) -> DataFrame:
     return _own_names(found.drop(*KEYED_LAYOUT), KEYED_LAYOUT)
 
 
-def _write_buckets(rows: DataFrame, path: str) -> None:
-    rows.hint("rebalance", "bucket").write.mode("overwrite").option(
+def _write_buckets(rows: DataFrame, path: str, count: int, most: int) -> None:
+    """Replace these buckets, ``count`` at most, of about ``most`` rows each.
+
+    ``rebalance`` deals out by bytes. Opening a file takes longer than filling it with a small
+    bucket, so small ones are dealt out by their number.
+    """
+    each = min(TASK_BUCKETS, BUCKET_ROWS // most)
+    if each > 1:
+        rows = rows.repartition(-(-count // each), "buckets", "bucket")
+    else:
+        rows = rows.hint("rebalance", "bucket")
+    rows.write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("buckets", "bucket").parquet(path)
 

@@ -59,6 +59,31 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert len(changed) == 1 and len(before) > 20
 
 
+def test_many_small_buckets_are_dealt_out_by_number(spark, tmp_path):
+    """Few bytes in many files: written by several tasks, and not listed by a task per folder."""
+    path = str(tmp_path / "t")
+    put = lambda rows: tables.put_by_key(path, rows, "review_id", "version", 1, 5)
+    put(keyed(spark, 0, 1))
+    for version in (1, 2):
+        put(keyed(spark, 0, 1500, version))
+        files = [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+        assert len(files) == len(tables.live_buckets(spark, path)) > 256
+        tasks = Counter(f.split("-")[1] for f in files)
+        assert len(tasks) >= 4 and max(tasks.values()) <= 3 * tables.TASK_BUCKETS
+    jobs = spark.sparkContext
+    jobs.setJobGroup("listing", "listing")
+    try:
+        rows = tables.read_by_key(spark, path)
+    finally:
+        jobs.setLocalProperty("spark.jobGroup.id", None)
+    status = jobs.statusTracker()
+    stages = [
+        i for job in status.getJobIdsForGroup("listing") for i in status.getJobInfo(job).stageIds
+    ]
+    assert stages and max(status.getStageInfo(i).numTasks for i in stages) <= 128
+    assert sorted(map(tuple, rows.collect())) == sorted((f"r{i}", 2, i) for i in range(1500))
+
+
 def test_what_is_left_of_a_split_bucket_is_ignored(spark, tmp_path):
     """A put that dies after writing the parts and before dropping the old folder."""
     import shutil
